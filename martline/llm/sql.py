@@ -38,3 +38,25 @@ def quality_ctes(docs: str = "documents", risk: float = quality.RISK, error: flo
 
 OP1 = f"""WITH {quality_ctes()}
 SELECT doc_id, n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed, kept FROM judged"""
+
+
+def mixing_ctes(docs: str = "documents") -> str:
+    """CTEs up to ``mixed``: every row of ``docs`` with its source's target and its copies."""
+    return f"""
+    z AS (SELECT *, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size FROM {docs}),
+    s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM z GROUP BY source),
+    s1 AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source ASC NULLS LAST)) - 1) % 3 + 1] AS w, 2 * source_size AS cap, sum(source_size) OVER () AS everything FROM s0),
+    s2 AS (SELECT a.*, (SELECT coalesce(sum(b.cap), 0) FROM s1 b WHERE b.cap / b.w < a.cap / a.w OR (b.cap / b.w = a.cap / a.w AND coalesce(b.source < a.source, a.source IS NULL AND b.source IS NOT NULL, false))) AS full_before,
+        (SELECT coalesce(sum(b.w), 0) FROM s1 b WHERE b.cap / b.w < a.cap / a.w OR (b.cap / b.w = a.cap / a.w AND coalesce(b.source < a.source, a.source IS NULL AND b.source IS NOT NULL, false))) AS w_before, (SELECT sum(w) FROM s1) AS w_all FROM s1 a),
+    s3 AS (SELECT *, (1.5::DOUBLE * everything::DOUBLE - full_before::DOUBLE) / (w_all - w_before)::DOUBLE AS level FROM s2),
+    s4 AS (SELECT *, w * level < cap AS open FROM s3),
+    s5 AS (SELECT source, source_size, CASE WHEN open THEN w * (SELECT level FROM s4 WHERE open ORDER BY cap / w, source ASC NULLS LAST LIMIT 1) ELSE cap::DOUBLE END AS target FROM s4),
+    z1 AS (SELECT z.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS e,
+        (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM z JOIN s5 ON z.source IS NOT DISTINCT FROM s5.source),
+    z2 AS (SELECT *, floor(e)::BIGINT AS certain, CASE WHEN e - floor(e) > 0 THEN (u / (1 - u)) * ((1 - (e - floor(e))) / (e - floor(e))) END AS q FROM z1),
+    z3 AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q NULLS LAST, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto, target - sum(certain * size) OVER (PARTITION BY source) AS wanted FROM z2),
+    mixed AS (SELECT *, certain + (q IS NOT NULL AND upto - size / 2 <= wanted)::BIGINT AS copies FROM z3)"""
+
+
+OP6 = f"""WITH {mixing_ctes()}
+SELECT doc_id, size, source_size, target, size * copies AS taken FROM mixed"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martline.llm import mixing, quality, sql
+from martline.llm import mixing, quality, secrets, sql
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,5 +22,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op6_mixing": op6_mixing}
-ORACLES = {"op1_quality_rules": sql.OP1, "op6_mixing": sql.OP6}
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(_read(spark, sf_dir, "documents"))
+    joined = found.select("doc_id", "n_assign", "n_access", "n_hex", secrets.written(F.col("base_spans")).alias("base"), secrets.written(F.col("spans")).alias("spans"))
+    return joined.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op6_mixing": op6_mixing, "op9_secrets": op9_secrets}
+ORACLES = {"op1_quality_rules": sql.OP1, "op6_mixing": sql.OP6, "op9_secrets": sql.OP9}

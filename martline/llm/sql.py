@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from martline.llm import quality
+from martline.llm import quality, secrets
 
 _WORD = "[^\\x20\\x09-\\x0D]+"
 _WS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -60,3 +60,34 @@ def mixing_ctes(docs: str = "documents") -> str:
 
 OP6 = f"""WITH {mixing_ctes()}
 SELECT doc_id, size, source_size, target, size * copies AS taken FROM mixed"""
+
+
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _spans(kind: str, pattern: str) -> str:
+    """(r, kind, start, end, match) of the matches: the lengths of matches and of what lies between them, summed in order."""
+    return f"""SELECT r, '{kind}' AS kind, sum(length(gap) + length(match)) OVER (PARTITION BY r ORDER BY i) - length(match) AS start,
+        sum(length(gap) + length(match)) OVER (PARTITION BY r ORDER BY i) AS stop, match
+        FROM (SELECT r, unnest(regexp_split_to_array(t, {_q(pattern)})[1:len(regexp_extract_all(t, {_q(pattern)}))]) AS gap, unnest(regexp_extract_all(t, {_q(pattern)})) AS match,
+            unnest(range(len(regexp_extract_all(t, {_q(pattern)})))) AS i FROM d WHERE regexp_matches(t, {_q(pattern)}))"""
+
+
+OP9 = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+    base AS (SELECT * FROM ({_spans("assign", secrets.ASSIGN)}) WHERE length(regexp_replace(match, {_q("^" + secrets.ASSIGN_HEAD)}, '')) >= 6
+        UNION ALL {_spans("access", secrets.ACCESS)} UNION ALL {_spans("hex", secrets.HEX)}),
+    run AS (SELECT * FROM ({_spans("random", secrets.RUN)}) WHERE regexp_matches(match, '[0-9]') AND regexp_matches(match, '[A-Za-z]')),
+    sample AS (SELECT 'r' AS label, s FROM (SELECT DISTINCT CASE kind WHEN 'assign' THEN regexp_replace(match, {_q("^" + secrets.ASSIGN_HEAD)}, '') ELSE match END AS s FROM base) WHERE length(s) > 1 ORDER BY md5(s), s LIMIT {secrets.SAMPLE}),
+    plain AS (SELECT 'o' AS label, s FROM (SELECT DISTINCT unnest(regexp_split_to_array(regexp_replace(t, {_q("|".join((secrets.ASSIGN, secrets.ACCESS, secrets.HEX, secrets.RUN)))}, ' ', 'g'), '[^A-Za-z0-9_]+')) AS s FROM d) WHERE length(s) >= 6 ORDER BY md5(s), s LIMIT {secrets.SAMPLE}),
+    two AS (SELECT label, substr(s, i, 1) AS a, substr(s, i + 1, 1) AS b FROM (SELECT label, s, unnest(range(1, length(s))) AS i FROM (FROM sample UNION ALL FROM plain))),
+    seen AS (SELECT instr('{secrets.ALPHABET}', a) * 63 + instr('{secrets.ALPHABET}', b) AS pair, count(*) FILTER (label = 'r') AS rn, count(*) FILTER (label = 'o') AS o FROM two GROUP BY 1),
+    counts AS (SELECT p AS pair, p // 63 AS first, coalesce(rn, 0) AS rn, coalesce(o, 0) AS o FROM range(63 * 63) AS x(p) LEFT JOIN seen ON p = pair),
+    model AS (SELECT pair, CASE WHEN sum(rn) OVER () > 0 AND sum(o) OVER () > 0 THEN round(1000 * (ln((rn + 1) / (sum(rn) OVER (PARTITION BY first) + 63)) - ln((o + 1) / (sum(o) OVER (PARTITION BY first) + 63)))) ELSE 0 END AS weight FROM counts),
+    free AS (SELECT * FROM run WHERE length(match) >= {secrets.LEAST} AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = run.r AND b.start < run.stop AND run.start < b.stop)),
+    scored AS (SELECT r, start, stop, match, sum(weight) AS llr FROM (SELECT *, unnest(range(1, length(match))) AS i FROM free)
+        JOIN model ON pair = instr('{secrets.ALPHABET}', substr(match, i, 1)) * 63 + instr('{secrets.ALPHABET}', substr(match, i + 1, 1)) GROUP BY ALL),
+    ranked AS (SELECT *, list_position(['assign', 'access', 'hex', 'random'], kind) AS k FROM (SELECT r, kind, start, stop FROM base UNION ALL SELECT r, 'random', start, stop FROM scored WHERE llr > {secrets.LIMIT} * length(match))),
+    told AS (SELECT r, count(*) FILTER (k = 1) AS n_assign, count(*) FILTER (k = 2) AS n_access, count(*) FILTER (k = 3) AS n_hex,
+        string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k) FILTER (k < 4) AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k) AS spans FROM ranked GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN told USING (r)"""

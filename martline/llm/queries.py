@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martline.llm import mixing, quality, secrets, sql
+from martline.llm import mixing, quality, secrets, spotsigs, sql
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,6 +17,17 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    both = spotsigs.with_next(spotsigs.with_fingerprint(docs, "text", "fingerprint"), ["text", "fingerprint_set"])
+    both = both.withColumn("edited", spotsigs.edited(F.col("text"), F.col("next_text"))).withColumn("n_chars", F.char_length("text").cast("long")).drop("text", "next_text")
+    both = spotsigs.with_fingerprint(both, "edited", "edited_fingerprint")
+    return both.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+        spotsigs.likeness(F.col("fingerprint_set"), F.col("edited_fingerprint_set")).alias("near_edited"), spotsigs.likeness(F.col("fingerprint_set"), F.col("next_fingerprint_set")).alias("near_next"),
+    )
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -28,5 +39,5 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op6_mixing": op6_mixing, "op9_secrets": op9_secrets}
-ORACLES = {"op1_quality_rules": sql.OP1, "op6_mixing": sql.OP6, "op9_secrets": sql.OP9}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_spotsigs": op2_spotsigs, "op6_mixing": op6_mixing, "op9_secrets": op9_secrets}
+ORACLES = {"op1_quality_rules": sql.OP1, "op2_spotsigs": sql.OP2, "op6_mixing": sql.OP6, "op9_secrets": sql.OP9}

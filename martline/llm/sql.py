@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from martline.llm import quality, secrets
+from martline.llm import quality, secrets, spotsigs
 
 _WORD = "[^\\x20\\x09-\\x0D]+"
 _WS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -91,3 +91,26 @@ OP9 = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, ''
     told AS (SELECT r, count(*) FILTER (k = 1) AS n_assign, count(*) FILTER (k = 2) AS n_access, count(*) FILTER (k = 3) AS n_hex,
         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k) FILTER (k < 4) AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k) AS spans FROM ranked GROUP BY r)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN told USING (r)"""
+
+
+def _sigs(table: str, text: str) -> str:
+    """(r, s): the set of signatures of each text."""
+    words = f"list_filter(regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+    stop = "[" + ", ".join(_q(w) for w in spotsigs.ANCHORS) + "]"
+    spots = f"""list_sort(list_distinct(list_transform(list_filter(list_transform(list_filter(range(1, len(w) + 1), lambda i: list_contains({stop}, w[i])),
+        lambda i: list_concat([w[i]], list_filter(w[i + 1:i + {spotsigs.SPAN}], lambda y: NOT list_contains({stop}, y))[1:{spotsigs.CHAIN}])), lambda l: len(l) = {spotsigs.CHAIN + 1}), lambda l: array_to_string(l, ' '))))"""
+    return f"""SELECT r, CASE WHEN len(s) > 0 THEN s WHEN t = '' THEN [] WHEN len(w) > 1 THEN list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: '= ' || w[i] || ' ' || w[i + 1]))) ELSE ['=' || md5(t)] END AS s
+        FROM (SELECT r, t, w, {spots} AS s FROM (SELECT r, {text} AS t, {words} AS w FROM {table}))"""
+
+
+def _like(a: str, b: str) -> str:
+    common = f"len(list_intersect({a}, {b}))"
+    return f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN (len({a}) = len({b}))::INT::DOUBLE ELSE {common} / (len({a}) + len({b}) - {common}) END"
+
+
+OP2 = f"""WITH d AS (SELECT row_number() OVER (ORDER BY doc_id DESC NULLS LAST, coalesce(text, '')) AS r, doc_id, coalesce(text, '') AS text FROM documents),
+    n AS (SELECT *, r % count(*) OVER () + 1 AS following FROM d),
+    e AS (SELECT n.r, n.doc_id, n.text, n.following, left(n.text, length(n.text) - length(n.text) // 3) || left(f.text, length(n.text) // 3) AS edited FROM n JOIN d f ON f.r = n.following),
+    a AS ({_sigs("d", "text")}), b AS ({_sigs("e", "edited")})
+SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, len(a.s) || ':' || sha256(array_to_string(a.s, chr(10))) AS fingerprint, len(b.s) || ':' || sha256(array_to_string(b.s, chr(10))) AS edited_fingerprint,
+    {_like("a.s", "b.s")} AS near_edited, {_like("a.s", "f.s")} AS near_next FROM e JOIN a USING (r) JOIN b USING (r) JOIN a f ON f.r = e.following"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martline.llm import mixing, quality, secrets, spotsigs, sql
+from martline.llm import mixing, neardup, quality, secrets, spotsigs, sql
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_read(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -39,5 +43,5 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_spotsigs": op2_spotsigs, "op6_mixing": op6_mixing, "op9_secrets": op9_secrets}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_spotsigs": op2_spotsigs, "op5_near_dedup": op5_near_dedup, "op6_mixing": op6_mixing, "op9_secrets": op9_secrets}
 ORACLES = {"op1_quality_rules": sql.OP1, "op2_spotsigs": sql.OP2, "op6_mixing": sql.OP6, "op9_secrets": sql.OP9}

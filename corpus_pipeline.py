@@ -5,18 +5,50 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from martline.llm import quality
-from martline.plans.storage import shared_dir
+from martline.llm import bpe, lines, mixing, neardup, quality
+from martline.llm.queries import PATTERN, RANKS
+from martline.plans.storage import broadcast_if_small, materialize, shared_dir
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` but for the ids in ``gone`` (doc_id), which is written first so that its size decides how it is joined."""
+    gone = broadcast_if_small(materialize(gone.select(F.col("doc_id").alias("_gone")).distinct(), "gone"))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep. Rows that share an id share the verdict of the worst of them."""
     judged = quality.judge(docs.select("doc_id", "text", "lang"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.join(judged.filter("not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    return _without(docs, judged.filter("not kept"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with the lines that stay; those of which no line with a word stays are copies, and go."""
+    cleaned = lines.dedup_lines(docs)
+    return cleaned.filter("n_lines = 0 or n_kept > 0").withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near-duplicates (shingles of five words)."""
+    return _without(docs, neardup.near_duplicates(docs).filter("not kept"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    mixed = materialize(mixing.mix(docs), "mixed")
+    return mixing.expand(docs, mixed)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document (unsigned little-endian 32-bit), their number and the digest of the decoded text."""
+    coded = bpe.code(docs.select("doc_id", "source", "text"), RANKS, PATTERN)
+    return coded.select("doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-STAGES = [("quality_rules", quality_rules)]
+STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("source_mix", source_mix), ("encode", encode)]
+#: The stages go through MinHash and a tokenizer, which SQL cannot express; tests/llm holds them against brute force.
 ORACLE_SQL = None
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martline.llm import mixing, neardup, quality, secrets, spotsigs, sql
+from martline.llm import bpe, lines, mixing, neardup, quality, secrets, spotsigs, sql
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -28,6 +29,10 @@ def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_kept", "text")
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, sf_dir, "documents"), width=2, percent=80)
 
@@ -37,11 +42,20 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+#: The rank file and the pattern of op8; a path of the machine that starts the query.
+RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.code(_read(spark, sf_dir, "documents").select("doc_id", "text"), RANKS, PATTERN)
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(_read(spark, sf_dir, "documents"))
     joined = found.select("doc_id", "n_assign", "n_access", "n_hex", secrets.written(F.col("base_spans")).alias("base"), secrets.written(F.col("spans")).alias("spans"))
     return joined.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_spotsigs": op2_spotsigs, "op5_near_dedup": op5_near_dedup, "op6_mixing": op6_mixing, "op9_secrets": op9_secrets}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_spotsigs": op2_spotsigs, "op3_line_dedup": op3_line_dedup, "op5_near_dedup": op5_near_dedup, "op6_mixing": op6_mixing, "op8_byte_bpe": op8_byte_bpe, "op9_secrets": op9_secrets}
 ORACLES = {"op1_quality_rules": sql.OP1, "op2_spotsigs": sql.OP2, "op6_mixing": sql.OP6, "op9_secrets": sql.OP9}

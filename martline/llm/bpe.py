@@ -17,6 +17,7 @@ each get their result; other columns are carried unchanged.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 from collections.abc import Iterator
 
@@ -149,8 +150,8 @@ class Coder:
 _coders: dict = {}
 
 
-def _coder(ranks, pattern: str) -> Coder:
-    key = (ranks.id, pattern)
+def _coder(name: str, ranks, pattern: str) -> Coder:
+    key = (name, pattern)
     if key not in _coders:
         _coders.clear()
         _coders[key] = Coder(ranks.value, pattern)
@@ -160,11 +161,12 @@ def _coder(ranks, pattern: str) -> Coder:
 def code(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``docs`` (text, ...) with ids (binary: unsigned little-endian 32-bit each) and decoded (binary) in place of the text."""
     spark = docs.sparkSession
-    ranks = spark.sparkContext.broadcast(read_ranks(path))
+    table = read_ranks(path)
+    ranks, name = spark.sparkContext.broadcast(table), hashlib.sha256(repr(sorted(table.items())).encode()).hexdigest()
     keep = [c for c in docs.columns if c not in ("text", "ids", "decoded")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(ranks, pattern)
+        coder = _coder(name, ranks, pattern)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             rest = batch.select(keep)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martline.llm import bpe, lines, mixing, neardup, quality, secrets, spotsigs, sql
+from martline.llm import bpe, chat, lines, mixing, neardup, quality, secrets, spotsigs, sql, urlfilter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,6 +33,17 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_kept", "text")
 
 
+def op4_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    back = chat.read_back(*chat.build(conversations.unionByName(own)))
+    told = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, sf_dir, "documents"), width=2, percent=80)
 
@@ -42,6 +53,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.verdicts(_read(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
 #: The rank file and the pattern of op8; a path of the machine that starts the query.
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -57,5 +72,5 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_spotsigs": op2_spotsigs, "op3_line_dedup": op3_line_dedup, "op5_near_dedup": op5_near_dedup, "op6_mixing": op6_mixing, "op8_byte_bpe": op8_byte_bpe, "op9_secrets": op9_secrets}
-ORACLES = {"op1_quality_rules": sql.OP1, "op2_spotsigs": sql.OP2, "op6_mixing": sql.OP6, "op9_secrets": sql.OP9}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_spotsigs": op2_spotsigs, "op3_line_dedup": op3_line_dedup, "op4_chat_tree": op4_chat_tree, "op5_near_dedup": op5_near_dedup, "op6_mixing": op6_mixing, "op7_url_filter": op7_url_filter, "op8_byte_bpe": op8_byte_bpe, "op9_secrets": op9_secrets}
+ORACLES = {"op1_quality_rules": sql.OP1, "op2_spotsigs": sql.OP2, "op4_chat_tree": sql.OP4, "op6_mixing": sql.OP6, "op7_url_filter": sql.OP7, "op9_secrets": sql.OP9}

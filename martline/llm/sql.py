@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from martline.llm import quality, secrets, spotsigs
+from martline.llm import quality, secrets, spotsigs, urlfilter
 
 _WORD = "[^\\x20\\x09-\\x0D]+"
 _WS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -114,3 +114,18 @@ OP2 = f"""WITH d AS (SELECT row_number() OVER (ORDER BY doc_id DESC NULLS LAST,
     a AS ({_sigs("d", "text")}), b AS ({_sigs("e", "edited")})
 SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, len(a.s) || ':' || sha256(array_to_string(a.s, chr(10))) AS fingerprint, len(b.s) || ':' || sha256(array_to_string(b.s, chr(10))) AS edited_fingerprint,
     {_like("a.s", "b.s")} AS near_edited, {_like("a.s", "f.s")} AS near_next FROM e JOIN a USING (r) JOIN b USING (r) JOIN a f ON f.r = e.following"""
+
+
+_CTRL = "/?s>|/?INST\\]|/?ROLE[ \\]]"
+OP4 = f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+    e AS (SELECT *, length(regexp_replace(text, '([<\\[])(\\\\*)({_CTRL})', '\\1\\2#\\3', 'g')) AS n, length(regexp_replace(regexp_replace(role, '([<\\[])(\\\\*)({_CTRL})', '\\1\\2\\\\\\3', 'g'), '[\\\\\\]]', '##', 'g')) AS rn FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sum(n + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 6 ELSE 19 + rn END)::BIGINT AS formatted_chars FROM e GROUP BY conv_id"""
+
+_FITS = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN " + "'{0}'" .format(f"{v} {h}{p}") for v, h, p in sorted(urlfilter.RULES, key=lambda r: -len(r[1] + r[2])))
+OP7 = f"""WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+    f AS (SELECT *, CASE {_FITS} END AS fit FROM u)
+SELECT page_id, host, path, split_part(fit, ' ', 2) AS rule, coalesce(split_part(fit, ' ', 1), CASE WHEN len(list_intersect(string_split(host, '.'), {list(urlfilter.LISTED)!r})) > 0 THEN 'block' ELSE 'allow' END) AS verdict FROM f"""

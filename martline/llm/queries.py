@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martline.llm import bpe, chat, lines, mixing, neardup, quality, secrets, spotsigs, sql, urlfilter
+from martline.llm import bpe, chat, lines, mixing, neardup, quality, secrets, spotsigs, sql, toxicity, urlfilter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -72,5 +72,12 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_spotsigs": op2_spotsigs, "op3_line_dedup": op3_line_dedup, "op4_chat_tree": op4_chat_tree, "op5_near_dedup": op5_near_dedup, "op6_mixing": op6_mixing, "op7_url_filter": op7_url_filter, "op8_byte_bpe": op8_byte_bpe, "op9_secrets": op9_secrets}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
+    labels = _read(spark, sf_dir, "labels").filter(~held_out).select("doc_id", "toxic")
+    scored = toxicity.score(_read(spark, sf_dir, "documents").select("doc_id", "text"), labels)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "evidence")
+
+
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_spotsigs": op2_spotsigs, "op3_line_dedup": op3_line_dedup, "op4_chat_tree": op4_chat_tree, "op5_near_dedup": op5_near_dedup, "op6_mixing": op6_mixing, "op7_url_filter": op7_url_filter, "op8_byte_bpe": op8_byte_bpe, "op9_secrets": op9_secrets, "op10_toxicity": op10_toxicity}
 ORACLES = {"op1_quality_rules": sql.OP1, "op2_spotsigs": sql.OP2, "op4_chat_tree": sql.OP4, "op6_mixing": sql.OP6, "op7_url_filter": sql.OP7, "op9_secrets": sql.OP9}

@@ -135,6 +135,16 @@ def _voting(sent, schema_ids: bool):
     return run
 
 
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(t, n): in how many texts of a batch each term is."""
+    for batch in batches:
+        lists = batch.column("found")
+        owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        both = np.unique(np.stack([owner, lists.flatten().to_numpy()]), axis=1) if len(owner) else np.zeros((2, 0), np.int64)
+        terms, n = np.unique(both[1], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int32()), pa.array(n, pa.int64())], names=["t", "n"])
+
+
 def score(docs: DataFrame, labels: DataFrame, terms: int = TERMS, examples: int = EXAMPLES) -> DataFrame:
     """(doc_id, score, evidence: ids of the neighbours) for every row of ``docs`` (doc_id, text); all of ``labels``
     (doc_id, toxic) may be learned from."""
@@ -144,7 +154,7 @@ def score(docs: DataFrame, labels: DataFrame, terms: int = TERMS, examples: int
     chosen = choose_terms(docs, labels, terms)
     found = materialize(vectors(docs, chosen), "toxic-vectors")
     n = found.count()
-    df = {r["t"]: r["n"] for r in found.select(F.explode(F.array_distinct("found")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}
+    df = {r["t"]: r["n"] for r in found.select("found").mapInArrow(_frequencies, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()}
     idf = np.array([np.log((n + 1) / (df.get(i, 0) + 1)) + 1 for i in range(len(chosen))], np.float32)
     known = materialize(found.join(broadcast_if_small(labels), "doc_id").select("doc_id", "found", "toxic").dropDuplicates(["doc_id"]).withColumn("lot", F.xxhash64("doc_id")), "toxic-known")
     taken = [known.filter((F.col("toxic") == t) & (F.size("found") > 0)).orderBy("lot", "doc_id").limit(examples).collect() for t in (0, 1)]

@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from martline.llm import links, sketch
-from martline.llm.neardup import as_lists, comparer
+from martline.llm.neardup import as_lists
 from martline.llm.text import WS
 from martline.plans.storage import broadcast_if_small, materialize
 
-WIDTH, PERCENT = 6, 80
+WIDTH, PERCENT = 8, 80
 BANDS, ROWS = 12, 4
 #: Code points of lines that are sketched together.
 CHUNK = 1 << 18
@@ -70,28 +70,32 @@ def _sketched(width: int, bands: int, rows: int):
     return run
 
 
-def _full(width: int):
-    """(id, elements) of the lines at the given places, from batches of (text, places)."""
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, content) of the lines at the given places, from batches of (text, places)."""
+    for batch in batches:
+        lines = []
+        for text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            split = (text or "").split("\n")
+            lines += [split[k] for k in places if k < len(split)]
+        yield pa.RecordBatch.from_arrays([pa.array([_key(x) for x in lines], pa.int64()), pa.array(lines, pa.string())], names=["id", "content"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, places = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            split = [(text or "").split("\n") for text in texts]
-            lines = [split[d][k] for d, at in enumerate(places) for k in at if k < len(split[d])]
-            for a, b in sketch.chunks([len(x) for x in lines], CHUNK):
-                elements, owner = sketch.distinct(*sketch.char_shingles(lines[a:b], width), b - a)
-                cut = np.searchsorted(owner, np.arange(b - a + 1))
-                sets = [elements[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array([_key(x) for x in lines[a:b]], pa.int64()), pa.array(sets, pa.binary())], names=["id", "elements"])
 
-    return run
+def _unpack(width: int):
+    def unpack(contents: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lines, parts = contents.to_pylist(), []
+        for a, b in sketch.chunks([len(x) for x in lines], CHUNK):
+            elements, owner = sketch.distinct(*sketch.char_shingles(lines[a:b], width), b - a)
+            parts.append((elements, owner + a))
+        return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+    return unpack
 
 
-def _sets(docs: DataFrame, found: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(id, elements) of the lines in ``ids``, each read where it first stands."""
+def _contents(docs: DataFrame, found: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, content) of the lines in ``ids``, each read where it first stands."""
     first = found.select("node", "doc_id", "place").join(broadcast_if_small(ids), found["node"] == ids["id"]).groupBy("node").agg(F.min(F.struct("doc_id", "place")).alias("at"))
     places = broadcast_if_small(materialize(first.groupBy(F.col("at.doc_id").alias("_doc")).agg(F.collect_set("at.place").alias("places")), "line-places"))
-    return docs.join(places, docs["doc_id"].eqNullSafe(places["_doc"])).select("text", "places").mapInArrow(_full(width), "id long, elements binary").dropDuplicates(["id"])
+    return docs.join(places, docs["doc_id"].eqNullSafe(places["_doc"])).select("text", "places").mapInArrow(_texts, "id long, content string")
 
 
 def dedup_lines(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -99,8 +103,8 @@ def dedup_lines(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, ban
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = materialize(texts.mapInArrow(_sketched(width, bands, rows), "doc_id long, place int, node long, bands array<long>"), "line-sketches")
     members = links.shared_buckets(found.select(F.explode("bands").alias("bucket"), F.col("node").alias("id")))
-    sets = materialize(_sets(texts, found, materialize(members.select("id").distinct(), "line-candidates"), width), "line-sets")
-    labels = materialize(links.connect(members, comparer(sets, percent)), "line-labels")
+    contents = materialize(_contents(texts, found, materialize(members.select("id").distinct(), "line-candidates")), "line-texts")
+    labels = materialize(links.connect(members, contents, _unpack(width), percent), "line-labels")
     few = broadcast_if_small(labels)
     node = found.select("doc_id", "place", "node").join(few, found["node"] == few["id"], "left").select("doc_id", "place", F.coalesce("component", "node").alias("node"))
     # null ids come last: the flag leads the order

@@ -1,10 +1,12 @@
 """From buckets of candidates to linked components, without listing all pairs of a bucket.
 
-Members of a bucket are compared in rounds. Buckets of at most ``SMALL`` members compare all their pairs. A larger bucket
-first compares everybody with one pivot; found links merge components, and a bucket whose members are all in one component
-is settled: no pair in it can change the result. Those not settled go on with more pivots, and what is left after
-``PIVOTS`` compares all pairs across components. No link between components is lost, while a bucket of m near copies costs
-about m comparisons and not m * m.
+Members of a bucket are compared in rounds. Buckets of at most ``SMALL`` members compare all their pairs. From a larger
+bucket those members go first that cannot be linked with anybody: of a set x with u elements that no other candidate has,
+at most |x| - u can be common with a y, which bounds the coefficient from above. The others are compared with one pivot,
+the member with the fewest elements of its own; found links merge components, and a bucket whose members are all in one
+component is settled: no pair in it can change the result. Those not settled go on with more pivots, and what is left
+after ``PIVOTS`` compares all pairs across components. No link between components is lost, while a bucket of m near copies
+costs about m comparisons and not m * m.
 
 Components come from the large-star and small-star steps of Kiveris et al. (2014): every node links its neighbours to the
 least of them until nothing changes, a number of rounds about the logarithm of the longest chain. All state is in written
@@ -13,14 +15,16 @@ tables; the driver sees counts and sums alone.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from martline.plans.storage import broadcast_if_small, materialize
 
-SMALL, PIVOTS = 8, (1, 4, 16)
+SMALL, PIVOTS, BLOCK = 8, (1, 4), 1024
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -54,32 +58,147 @@ def shared_buckets(members: DataFrame) -> DataFrame:
     return materialize(members.join(crowded, "bucket", "left_semi").distinct(), "members")
 
 
-def connect(members: DataFrame, compare: Callable[[DataFrame], DataFrame], small: int = SMALL, pivots=PIVOTS) -> DataFrame:
-    """(id, component) as of ``components`` over all links among members of a bucket. ``members`` (bucket, id: long) is a
-    written table of buckets of two ids or more; ``compare`` keeps those of the pairs (a, b) that are linked."""
+#: From an Arrow array of contents to (elements, owner): the distinct 64-bit elements of each, sorted within each owner.
+Unpack = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
+
+
+def _verified(unpack: Unpack, percent: int):
+    """Keeps pairs (a, b) whose contents (left, right) are alike enough; each content is unpacked once a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = np.concatenate([batch.column("a").to_numpy(), batch.column("b").to_numpy()])
+            _, first, place = np.unique(ids, return_index=True, return_inverse=True)
+            contents = pa.concat_arrays([batch.column("left"), batch.column("right")])
+            elements, owner = unpack(contents.take(pa.array(first)))
+            cut = np.searchsorted(owner, np.arange(len(first) + 1))
+            keep = []
+            for i, j in zip(place[: len(batch)], place[len(batch) :]):
+                p, q = elements[cut[i] : cut[i + 1]], elements[cut[j] : cut[j + 1]]
+                low, high = sorted((len(p), len(q)))
+                common = len(np.intersect1d(p, q, assume_unique=True)) if 100 * low >= percent * high else 0
+                keep.append(high > 0 and 100 * common >= percent * (len(p) + len(q) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _counted(unpack: Unpack):
+    """(element, id, n): how often a batch has each element, and one who has it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            elements, owner = unpack(batch.column("content"))
+            found, first, n = np.unique(elements, return_index=True, return_counts=True)
+            ids = batch.column("id").to_numpy()[owner[first]] if len(first) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(ids, pa.int64()), pa.array(n, pa.int64())], names=["element", "id", "n"])
+
+    return run
+
+
+def _sizes(unpack: Unpack):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, owner = unpack(batch.column("content"))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.bincount(owner, minlength=len(batch)), pa.int64())], names=["id", "size"])
+
+    return run
+
+
+def _linkable(members: DataFrame, contents: DataFrame, unpack: Unpack, percent: int) -> DataFrame:
+    """The rows of ``members`` (bucket, id) that may still have a link in their bucket, with ``own``, the number of
+    elements that no other member of these buckets has."""
+    ids = broadcast_if_small(materialize(members.select("id").distinct(), "crowd"))
+    sets = contents.join(ids, "id", "left_semi")
+    alone = sets.mapInArrow(_counted(unpack), "element long, id long, n long").groupBy("element").agg(F.sum("n").alias("n"), F.min("id").alias("id")).filter("n = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+    told = sets.mapInArrow(_sizes(unpack), "id long, size long").dropDuplicates(["id"]).join(alone, "id", "left").fillna(0, ["own"])
+    told = members.join(broadcast_if_small(materialize(told, "shared")), "id")
+    least = told.groupBy("bucket").agg(F.min("size").alias("least"))
+    # the other set has at least percent % of the size, and at least that of the smallest member
+    common, other = F.col("size") - F.col("own"), F.greatest(F.col("least"), F.ceil(F.col("size") * percent / 100))
+    return told.join(broadcast_if_small(materialize(least, "least")), "bucket").filter(100 * common >= percent * (F.col("size") + other - common)).select("bucket", "id", "own")
+
+
+def _block(unpack: Unpack, percent: int):
+    """Links (a, b) across components among the members of two blocks (or within one), one for each two components."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        ids, component = table["id"].to_numpy(), table["component"].to_numpy()
+        elements, owner = unpack(table["content"].chunk(0) if table.num_rows else pa.array([], table.schema.field("content").type))
+        size = np.bincount(owner, minlength=len(ids)).astype(np.float32)
+        _, column, n = np.unique(elements, return_inverse=True, return_counts=True)
+        place = np.cumsum(n > 1) - 1
+        shared = n[column] > 1
+        column, owner = place[column[shared]], owner[shared]
+        order = np.argsort(column, kind="stable")
+        column, owner = column[order], owner[order]
+        common = np.zeros((len(ids), len(ids)), np.float32)
+        for start in range(0, int((n > 1).sum()), 4096):
+            i, j = np.searchsorted(column, (start, start + 4096))
+            part = np.zeros((len(ids), 4096), np.float32)
+            part[owner[i:j], column[i:j] - start] = 1
+            common += part @ part.T
+        linked = (100 * common >= percent * (size[:, None] + size[None, :] - common)) & (common > 0) & (component[:, None] < component[None, :])
+        a, b = np.nonzero(linked)
+        _, first = np.unique(np.stack([component[a], component[b]]), axis=1, return_index=True)
+        return pa.table({"a": pa.array(ids[a[first]], pa.int64()), "b": pa.array(ids[b[first]], pa.int64())})
+
+    return run
+
+
+def _rest(members: DataFrame, contents: DataFrame, unpack: Unpack, percent: int, block: int) -> DataFrame:
+    """Links across components among ``members`` (bucket, id, component), by blocks of whole groups of buckets: those that
+    are joined by common members."""
+    hubs = members.groupBy("bucket").agg(F.min("id").alias("b"))
+    group = components(members.join(broadcast_if_small(materialize(hubs, "hubs")), "bucket").select(F.col("id").alias("a"), "b"))
+    ids = members.select("id", "component").distinct().join(broadcast_if_small(group.withColumnRenamed("component", "group")), "id", "left").withColumn("group", F.coalesce("group", "id"))
+    blocks = ids.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    ids = ids.join(broadcast_if_small(materialize(blocks, "blocks")), "group").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    each = contents.join(broadcast_if_small(materialize(ids, "rest")), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    each = each.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "component", "content")
+    return each.groupBy("group", "i", "j").applyInArrow(_block(unpack, percent), "a long, b long")
+
+
+def connect(members: DataFrame, contents: DataFrame, unpack: Unpack, percent: int, small: int = SMALL, pivots=PIVOTS, block: int = BLOCK) -> DataFrame:
+    """(id, component) as of ``components`` over the links among members of a bucket. ``members`` (bucket, id: long) and
+    ``contents`` (id, content) are written tables; two are linked if their Jaccard coefficient is at least percent / 100."""
     spark = members.sparkSession
+    n = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    sized = materialize(members.join(broadcast_if_small(materialize(n.filter(F.col("n") > small), "large")), "bucket", "left").select("bucket", "id", F.col("n").isNotNull().alias("large")), "sized")
+    few = sized.filter("not large").select("bucket", "id")
+    large = materialize(_linkable(sized.filter("large").select("bucket", "id"), contents, unpack, percent), "linkable")
     labels, edges, done = None, None, None
-    for k in (*pivots, None):
+    for k in (0, *pivots, None):
+        members = few.withColumn("own", F.lit(0).cast("long")) if k == 0 else large
         now = members.withColumn("component", F.col("id")) if labels is None else members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        state = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").select("bucket", "n")
-        members = materialize(now.join(state, "bucket").select("bucket", "id", "component", "n"), "unsettled")
-        if members.isEmpty():
+        if k == 0:
+            members = now
+        else:
+            open_ = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
+            large = members = materialize(now.join(broadcast_if_small(materialize(open_, "open")), "bucket", "left_semi"), "unsettled")
+            large = large.drop("component")
+            if members.isEmpty():
+                break
+        if k is None:
+            edges = edges.unionByName(materialize(_rest(members, contents, unpack, percent, block), "links"))
+            labels = components(edges)
             break
-        all_of = members.filter(F.lit(True) if k is None else F.col("n") <= small)
-        other = all_of.select("bucket", F.col("id").alias("b"), F.col("component").alias("cb"))
-        pairs = all_of.withColumnRenamed("id", "a").join(other, "bucket").filter("a < b and component <> cb").select("a", "b")
-        if k is not None:
-            rank = F.col("id") if k == 1 else F.xxhash64("id", F.lit(k))
-            pivot = members.filter(F.col("n") > small).groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(k)).alias("lot")).agg(F.min_by(F.struct("id", "component"), rank).alias("p"))
-            star = members.filter(F.col("n") > small).join(pivot, "bucket").filter("component <> p.component")
-            pairs = pairs.unionByName(star.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")))
+        if k == 0:
+            other = members.select("bucket", F.col("id").alias("b"), F.col("component").alias("cb"))
+            pairs = members.withColumnRenamed("id", "a").join(other, "bucket").filter("a < b and component <> cb").select("a", "b")
+        else:
+            lot = F.pmod(F.xxhash64("id"), F.lit(k)).alias("lot")
+            pivot = materialize(members.groupBy("bucket", lot).agg(F.min_by(F.struct("id", "component"), F.struct("own", F.xxhash64("id"))).alias("p")).select("bucket", "p"), "pivots")
+            star = members.join(broadcast_if_small(pivot), "bucket").filter("component <> p.component")
+            pairs = star.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
         pairs = pairs.distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
-        new = materialize(compare(pairs), "links")
+        both = pairs.join(contents.select(F.col("id").alias("a"), F.col("content").alias("left")), "a").join(contents.select(F.col("id").alias("b"), F.col("content").alias("right")), "b")
+        new = materialize(both.select("a", "b", "left", "right").mapInArrow(_verified(unpack, percent), "a long, b long"), "links")
         edges = new if edges is None else edges.unionByName(new)
         done = pairs if done is None else done.unionByName(pairs)
         labels = components(edges)
-        members = members.filter(F.col("n") > small).select("bucket", "id")
     return labels if labels is not None else spark.createDataFrame([], "id long, component long")

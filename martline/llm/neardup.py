@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,36 +70,15 @@ def _full(width: int):
             for a, b, elements, owner in _sets(batch.column(0).to_pylist(), width):
                 at = np.searchsorted(owner, np.arange(b - a + 1))
                 sets = pa.array([elements[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(digests(elements, owner, b - a)), sets], names=["id", "elements"])
+                yield pa.RecordBatch.from_arrays([pa.array(digests(elements, owner, b - a)), sets], names=["id", "content"])
 
     return run
 
 
-def verified(percent: int):
-    """A mapInArrow function that keeps pairs (a, b) whose sets (left, right: sorted 64-bit hashes) are alike enough."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("left"), batch.column("right")):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                low, high = sorted((len(p), len(q)))
-                common = len(np.intersect1d(p, q, assume_unique=True)) if 100 * low >= percent * high else 0
-                keep.append(high > 0 and 100 * common >= percent * (len(p) + len(q) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
-def comparer(sets: DataFrame, percent: int):
-    """A ``compare`` for ``links.connect`` from a written table (id, elements)."""
-
-    def compare(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("left")), "a")
-        both = both.join(sets.select(F.col("id").alias("b"), F.col("elements").alias("right")), "b")
-        return both.select("a", "b", "left", "right").mapInArrow(verified(percent), "a long, b long")
-
-    return compare
+def unpack(contents: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(elements, owner) of sets kept as the bytes of their sorted hashes."""
+    sizes = pa.compute.binary_length(contents).to_numpy(zero_copy_only=False) // 8
+    return np.frombuffer(b"".join(contents.to_pylist()), np.uint64), np.repeat(np.arange(len(contents)), sizes)
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -110,10 +90,10 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     members = links.shared_buckets(classes.select(F.explode("bands").alias("bucket"), F.col("node").alias("id")))
     wanted = materialize(classes.select("node", "doc_id").join(members.select(F.col("id").alias("node")).distinct(), "node", "left_semi"), "candidates")
     few = broadcast_if_small(wanted.select("doc_id").distinct())
-    sets = docs.join(few, docs["doc_id"].eqNullSafe(few["doc_id"]), "left_semi").select("text").mapInArrow(_full(width), "id long, elements binary")
+    sets = docs.join(few, docs["doc_id"].eqNullSafe(few["doc_id"]), "left_semi").select("text").mapInArrow(_full(width), "id long, content binary")
     # rows that share an id may differ in text, so the digest decides
-    sets = sets.join(broadcast_if_small(wanted.select(F.col("node").alias("id"))), "id", "left_semi").dropDuplicates(["id"])
-    labels = links.connect(members, comparer(materialize(sets, "sets"), percent))
+    sets = sets.join(broadcast_if_small(wanted.select(F.col("node").alias("id"))), "id", "left_semi")
+    labels = links.connect(members, materialize(sets, "sets"), unpack, percent)
     labels = materialize(labels.unionByName(labels.select(F.col("component").alias("id"), "component").distinct()), "labels")
     named = labels.join(classes.select(F.col("node").alias("id"), "doc_id"), "id")
     named = named.join(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select(F.col("id").alias("node"), "component_id")

@@ -8,8 +8,10 @@ component is settled: no pair in it can change the result. Those not settled go
 after ``PIVOTS`` compares all pairs across components. No link between components is lost, while a bucket of m near copies
 costs about m comparisons and not m * m.
 
-Components come from the large-star and small-star steps of Kiveris et al. (2014): every node links its neighbours to the
-least of them until nothing changes, a number of rounds about the logarithm of the longest chain. All state is in written
+Components come from a distributed union-find: each task turns slices of its links into stars, and between these passes
+the large-star and small-star steps of Kiveris et al. (2014) link every node's neighbours to the least of them, until all
+that is left are stars, a number of rounds about the logarithm of the longest chain. New links are added to the stars
+found before. All state is in written
 tables; the driver sees counts and sums alone.
 """
 
@@ -25,13 +27,15 @@ from pyspark.sql import functions as F
 from martline.plans.storage import broadcast_if_small, materialize
 
 SMALL, PIVOTS, BLOCK = 8, (1, 4), 1024
+#: Nodes that union-find holds in a task before it passes their stars on.
+FOREST = 1 << 19
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, component): for each id in ``edges`` (a, b) but the least of its component, that least one."""
-    e = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "cc")
-    mark = _mark(e)
-    while mark[0]:
+def components(edges: DataFrame, held: int = FOREST) -> DataFrame:
+    """(id, component): for each id in ``edges`` (a, b) but the least of its component, that least one. A task holds about
+    ``held`` nodes at a time."""
+    e = materialize(_merged(edges, held), "cc")
+    while not _starred(e):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         # large star: greater neighbours go to the least one
@@ -39,16 +43,46 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: a node and its lesser neighbours go to the least of these
         least = e.groupBy("a").agg(F.min("b").alias("m"))
         e = e.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x")).select("x.*")
-        e = materialize(e.filter("a <> b").distinct(), "cc")
-        was, mark = mark, _mark(e)
-        if was == mark:
-            break
-    return e.select(F.col("a").alias("id"), F.col("b").alias("component"))
+        e = materialize(_merged(e.distinct(), held), "cc")
+    return e.select(F.col("a").alias("id"), F.col("b").alias("component")).distinct()
+
+
+def _merged(edges: DataFrame, held: int) -> DataFrame:
+    """Edges (a, b) with the same components and shorter chains: each slice of a partition becomes stars by union-find."""
+    return edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(_forest(held), "a long, b long")
+
+
+def _forest(held: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                up[x] = up.get(y, y)
+                x = y
+            return x
 
+        def stars() -> pa.RecordBatch:
+            pairs = [(x, r) for x in up if (r := root(x)) != x]
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([r for _, r in pairs], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                p, q = root(x), root(y)
+                if p != q:
+                    up[max(p, q)] = min(p, q)
+                if len(up) >= held:
+                    yield stars()
+                    up.clear()
+        yield stars()
+
+    return run
 
-def _mark(e: DataFrame) -> tuple:
-    row = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-    return tuple(row)
+
+def _starred(e: DataFrame) -> bool:
+    """Whether every node of ``e`` is either the least of its component or linked with that one alone."""
+    ends = e.distinct().select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("b").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("x")).select("x.*")
+    return ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or up = 1 and down = 1").isEmpty()
 
 
 def shared_buckets(members: DataFrame) -> DataFrame:
@@ -160,6 +194,10 @@ def _rest(members: DataFrame, contents: DataFrame, unpack: Unpack, percent: int,
     return each.groupBy("group", "i", "j").applyInArrow(_block(unpack, percent), "a long, b long")
 
 
+def _with(labels: DataFrame | None, new: DataFrame) -> DataFrame:
+    return new if labels is None else labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(new)
+
+
 def connect(members: DataFrame, contents: DataFrame, unpack: Unpack, percent: int, small: int = SMALL, pivots=PIVOTS, block: int = BLOCK) -> DataFrame:
     """(id, component) as of ``components`` over the links among members of a bucket. ``members`` (bucket, id: long) and
     ``contents`` (id, content) are written tables; two are linked if their Jaccard coefficient is at least percent / 100."""
@@ -168,7 +206,7 @@ def connect(members: DataFrame, contents: DataFrame, unpack: Unpack, percent: in
     sized = materialize(members.join(broadcast_if_small(materialize(n.filter(F.col("n") > small), "large")), "bucket", "left").select("bucket", "id", F.col("n").isNotNull().alias("large")), "sized")
     few = sized.filter("not large").select("bucket", "id")
     large = materialize(_linkable(sized.filter("large").select("bucket", "id"), contents, unpack, percent), "linkable")
-    labels, edges, done = None, None, None
+    labels, done = None, None
     for k in (0, *pivots, None):
         members = few.withColumn("own", F.lit(0).cast("long")) if k == 0 else large
         now = members.withColumn("component", F.col("id")) if labels is None else members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -181,8 +219,7 @@ def connect(members: DataFrame, contents: DataFrame, unpack: Unpack, percent: in
             if members.isEmpty():
                 break
         if k is None:
-            edges = edges.unionByName(materialize(_rest(members, contents, unpack, percent, block), "links"))
-            labels = components(edges)
+            labels = components(_with(labels, materialize(_rest(members, contents, unpack, percent, block), "links")))
             break
         if k == 0:
             other = members.select("bucket", F.col("id").alias("b"), F.col("component").alias("cb"))
@@ -198,7 +235,6 @@ def connect(members: DataFrame, contents: DataFrame, unpack: Unpack, percent: in
         pairs = materialize(pairs, "pairs")
         both = pairs.join(contents.select(F.col("id").alias("a"), F.col("content").alias("left")), "a").join(contents.select(F.col("id").alias("b"), F.col("content").alias("right")), "b")
         new = materialize(both.select("a", "b", "left", "right").mapInArrow(_verified(unpack, percent), "a long, b long"), "links")
-        edges = new if edges is None else edges.unionByName(new)
         done = pairs if done is None else done.unionByName(pairs)
-        labels = components(edges)
+        labels = components(_with(labels, new))
     return labels if labels is not None else spark.createDataFrame([], "id long, component long")

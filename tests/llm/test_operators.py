@@ -7,7 +7,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import compare
-from martline.llm import bpe, chat, lines, mixing, neardup, quality, secrets, spotsigs, toxicity, urlfilter
+from martline.llm import bpe, chat, lines, links, mixing, neardup, quality, secrets, spotsigs, toxicity, urlfilter
 from martline.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -171,3 +171,25 @@ def test_pipeline_runs(spark):
 
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 0 and len(hashlib.sha256(b"").hexdigest()) == len(out.first()["decoded_sha256"])
+
+
+@pytest.mark.parametrize("held", [2, 1 << 19])
+def test_components_of_chains_and_hubs(spark, held):
+    rng = np.random.default_rng(3)
+    chain = [(int(a), int(a) + 1) for a in rng.permutation(300)]
+    hub = [(5000 + k, 5000 + int(k * rng.random())) for k in range(1, 200)]
+    loose = [(int(a), int(b)) for a, b in rng.integers(10_000, 10_400, (250, 2))]
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in chain + hub + loose:
+        p, q = root(a), root(b)
+        up[max(p, q)] = min(p, q)
+    want = {(x, root(x)) for x in up if root(x) != x}
+    got = [tuple(r) for r in links.components(spark.createDataFrame(chain + hub + loose + chain[:9], "a long, b long").repartition(16), held).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert links.components(spark.createDataFrame([], "a long, b long")).collect() == []

@@ -4,8 +4,8 @@ Members of a bucket are compared in rounds. Buckets of at most ``SMALL`` members
 bucket those members go first that cannot be linked with anybody: of a set x with u elements that no other candidate has,
 at most |x| - u can be common with a y, which bounds the coefficient from above. The others are compared with one pivot,
 the member with the fewest elements of its own; found links merge components, and a bucket whose members are all in one
-component is settled: no pair in it can change the result. Those not settled go on with more pivots, and what is left
-after ``PIVOTS`` compares all pairs across components. No link between components is lost, while a bucket of m near copies
+component is settled: no pair in it can change the result. Those not settled go on with more pivots while these settle
+at least half of them, and what is left compares all pairs across components. No link between components is lost, while a bucket of m near copies
 costs about m comparisons and not m * m.
 
 Components come from a distributed union-find: each task turns slices of its links into stars, and between these passes
@@ -39,11 +39,12 @@ def components(edges: DataFrame, held: int = FOREST) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         # large star: greater neighbours go to the least one
-        e = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        e = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # small star: a node and its lesser neighbours go to the least of these
         least = e.groupBy("a").agg(F.min("b").alias("m"))
         e = e.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x")).select("x.*")
-        e = materialize(_merged(e.distinct(), held), "cc")
+        # no distinct: rows of one node meet in a task, where the forest keeps one of them
+        e = materialize(_merged(e, held), "cc")
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).distinct()
 
 
@@ -81,8 +82,10 @@ def _forest(held: int):
 
 def _starred(e: DataFrame) -> bool:
     """Whether every node of ``e`` is either the least of its component or linked with that one alone."""
-    ends = e.distinct().select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("b").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("x")).select("x.*")
-    return ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or up = 1 and down = 1").isEmpty()
+    up, down = F.struct(F.col("a").alias("id"), F.col("b").alias("up")), F.struct(F.col("b").alias("id"), F.lit(None).cast("long").alias("up"))
+    ends = e.select(F.explode(F.array(up, down)).alias("x")).select("x.*")
+    told = ends.groupBy("id").agg(F.min("up").alias("lo"), F.max("up").alias("hi"), F.max(F.col("up").isNull()).alias("hub"))
+    return told.filter("lo < hi or lo is not null and hub").count() == 0
 
 
 def shared_buckets(members: DataFrame) -> DataFrame:
@@ -206,7 +209,7 @@ def connect(members: DataFrame, contents: DataFrame, unpack: Unpack, percent: in
     sized = materialize(members.join(broadcast_if_small(materialize(n.filter(F.col("n") > small), "large")), "bucket", "left").select("bucket", "id", F.col("n").isNotNull().alias("large")), "sized")
     few = sized.filter("not large").select("bucket", "id")
     large = materialize(_linkable(sized.filter("large").select("bucket", "id"), contents, unpack, percent), "linkable")
-    labels, done = None, None
+    labels, done, left = None, None, None
     for k in (0, *pivots, None):
         members = few.withColumn("own", F.lit(0).cast("long")) if k == 0 else large
         now = members.withColumn("component", F.col("id")) if labels is None else members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -216,8 +219,12 @@ def connect(members: DataFrame, contents: DataFrame, unpack: Unpack, percent: in
             open_ = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
             large = members = materialize(now.join(broadcast_if_small(materialize(open_, "open")), "bucket", "left_semi"), "unsettled")
             large = large.drop("component")
-            if members.isEmpty():
+            n = members.count()
+            if n == 0:
                 break
+            if left is not None and 2 * n > left:
+                k = None  # the last pivots settled little: blocks end it
+            left = n
         if k is None:
             labels = components(_with(labels, materialize(_rest(members, contents, unpack, percent, block), "links")))
             break

@@ -114,7 +114,8 @@ def dedup_lines(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, ban
     gone = gone.filter("doc_id is not null or at.none = false").groupBy("doc_id").agg(F.collect_set("place").alias("_gone"))
     gone = materialize(gone, "line-removals").withColumnRenamed("doc_id", "_doc")
     worded = lambda x: F.btrim(x, F.lit(WS)) != ""
-    out = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_doc"]), "left").drop("_doc")
+    # what goes grows with the documents, in rows of no fixed length: never broadcast, at any size
+    out = docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(gone["_doc"]), "left").drop("_doc")
     out = out.withColumn("_lines", F.split("text", "\n", -1)).withColumn("n_lines", F.coalesce(F.size(F.filter("_lines", worded)), F.lit(0)).cast("long"))
     out = out.withColumn("_left", F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda x, i: ~F.array_contains("_gone", i))))
     out = out.withColumn("n_kept", F.coalesce(F.size(F.filter("_left", worded)), F.lit(0)).cast("long"))

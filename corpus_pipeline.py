@@ -9,18 +9,21 @@ from pyspark.sql import functions as F
 
 from martline.llm import bpe, lines, mixing, neardup, quality
 from martline.llm.queries import PATTERN, RANKS
+from martline.llm.rowkey import KEY, keyed, renamed, same
 from martline.plans.storage import broadcast_if_small, materialize, shared_dir
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` but for the ids in ``gone`` (doc_id), which is written first so that its size decides how it is joined."""
-    gone = broadcast_if_small(materialize(gone.select(F.col("doc_id").alias("_gone")).distinct(), "gone"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    """The rows of ``docs`` (of ``keyed``) but for the keys in ``gone``, which is written first so that its size decides
+    how it is joined; without the key."""
+    gone = broadcast_if_small(materialize(renamed(gone.select(*KEY)), "gone"))
+    return docs.join(gone, same(docs, gone), "left_anti").drop(*KEY[1:])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep. Rows that share an id share the verdict of the worst of them."""
-    judged = quality.judge(docs.select("doc_id", "text", "lang"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Documents that the quality rules keep, each row by its own verdict."""
+    docs = keyed(docs)
+    judged = quality.judge(docs.select(*KEY, "text", "lang"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return _without(docs, judged.filter("not kept"))
 
 
@@ -32,13 +35,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near-duplicates (shingles of five words)."""
-    return _without(docs, neardup.near_duplicates(docs).filter("not kept"))
+    docs = keyed(docs)
+    return _without(docs, neardup.verdicts(docs).filter("not kept"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    mixed = materialize(mixing.mix(docs), "mixed")
-    return mixing.expand(docs, mixed)
+    """Documents as often as the mix takes them, each row by its own copies."""
+    rows = keyed(docs)
+    mixed = materialize(mixing.mix(rows), "mixed")
+    return mixing.expand(rows, mixed).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

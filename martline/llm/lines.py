@@ -8,8 +8,8 @@ from ``sketch``, are cut into BANDS bands of ROWS values (a pair at 0.8 is misse
 
 Defined cases: a null text stays null and an empty one empty; lines without a word (blank) are never removed; a line
 shorter than a shingle is its own one shingle; a document whose every line with a word was removed keeps its blank lines
-(n_kept is 0); rows with the same id are cleaned as one: where their lines stand at the same place they share their fate;
-null ids come last, and lines in them are removed only for lines before them; an empty table gives an empty result.
+(n_kept is 0); rows with the same id, or without one, are documents of their own, each cleaned by its own lines, in the
+order of their ``rowkey``; null ids come last; an empty table gives an empty result.
 Other columns are carried unchanged.
 """
 
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from martline.llm import links, sketch
 from martline.llm.neardup import as_lists
+from martline.llm.rowkey import KEY, keyed, renamed, same
 from martline.llm.text import WS
 from martline.plans.storage import broadcast_if_small, materialize
 
@@ -39,32 +40,33 @@ def _key(line: str) -> int:
 
 
 def _lines(batches: Iterator[pa.RecordBatch]):
-    """(ids, places, lines) of slices of the lines with a word in batches of (doc_id, text)."""
+    """(keys, places, lines) of slices of the lines with a word in batches of the key and the text."""
     for batch in batches:
-        ids, places, lines = [], [], []
+        owner, places, lines = [], [], []
         total = 0
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        keys = batch.select(list(KEY))
+        for at, text in enumerate(batch.column("text").to_pylist()):
             for place, line in enumerate((text or "").split("\n")):
                 if line.strip(WS):
-                    ids.append(doc)
+                    owner.append(at)
                     places.append(place)
                     lines.append(line)
                     total += len(line)
                     if total >= CHUNK:
-                        yield ids, places, lines
-                        ids, places, lines, total = [], [], [], 0
+                        yield keys.take(pa.array(owner)), places, lines
+                        owner, places, lines, total = [], [], [], 0
         if lines:
-            yield ids, places, lines
+            yield keys.take(pa.array(owner)), places, lines
 
 
 def _sketched(width: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, places, lines in _lines(batches):
+        for keyed_by, places, lines in _lines(batches):
             elements, owner = sketch.char_shingles(lines, width)
             keys = sketch.bands(sketch.sketch(elements, owner, len(lines), bands * rows), rows)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array([_key(x) for x in lines], pa.int64()), as_lists(keys, np.ones(len(lines), bool))],
-                names=["doc_id", "place", "node", "bands"],
+                [*keyed_by.columns, pa.array(places, pa.int32()), pa.array([_key(x) for x in lines], pa.int64()), as_lists(keys, np.ones(len(lines), bool))],
+                names=[*KEY, "place", "node", "bands"],
             )
 
     return run
@@ -93,31 +95,32 @@ def _unpack(width: int):
 
 def _contents(docs: DataFrame, found: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, content) of the lines in ``ids``, each read where it first stands."""
-    first = found.select("node", "doc_id", "place").join(broadcast_if_small(ids), found["node"] == ids["id"]).groupBy("node").agg(F.min(F.struct("doc_id", "place")).alias("at"))
-    places = broadcast_if_small(materialize(first.groupBy(F.col("at.doc_id").alias("_doc")).agg(F.collect_set("at.place").alias("places")), "line-places"))
-    return docs.join(places, docs["doc_id"].eqNullSafe(places["_doc"])).select("text", "places").mapInArrow(_texts, "id long, content string")
+    first = found.select("node", *KEY, "place").join(broadcast_if_small(ids), found["node"] == ids["id"]).groupBy("node").agg(F.min(F.struct(*KEY, "place")).alias("at"))
+    places = first.select("at.*").groupBy(*KEY).agg(F.collect_set("place").alias("places"))
+    places = broadcast_if_small(materialize(renamed(places), "line-places"))
+    return docs.join(places, same(docs, places)).select("text", "places").mapInArrow(_texts, "id long, content string")
 
 
 def dedup_lines(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``docs`` (doc_id, text, ...) with the text cleaned, and n_lines and n_kept (lines with a word before and after)."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = materialize(texts.mapInArrow(_sketched(width, bands, rows), "doc_id long, place int, node long, bands array<long>"), "line-sketches")
+    own, docs = docs.columns, keyed(docs)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *KEY[1:], "text")
+    found = materialize(texts.mapInArrow(_sketched(width, bands, rows), "doc_id long, row_hash long, row_nth long, place int, node long, bands array<long>"), "line-sketches")
     members = links.shared_buckets(found.select(F.explode("bands").alias("bucket"), F.col("node").alias("id")))
     contents = materialize(_contents(texts, found, materialize(members.select("id").distinct(), "line-candidates")), "line-texts")
     labels = materialize(links.connect(members, contents, _unpack(width), percent), "line-labels")
     few = broadcast_if_small(labels)
-    node = found.select("doc_id", "place", "node").join(few, found["node"] == few["id"], "left").select("doc_id", "place", F.coalesce("component", "node").alias("node"))
+    node = found.select(*KEY, "place", "node").join(few, found["node"] == few["id"], "left").select(*KEY, "place", F.coalesce("component", "node").alias("node"))
     # null ids come last: the flag leads the order
-    at = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc"), F.col("place").alias("place"))
+    at = F.struct(F.col("doc_id").isNull().alias("none"), *KEY, "place")
     first = node.groupBy("node").agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("node", "at")
     gone = node.join(broadcast_if_small(materialize(first, "line-firsts")), "node").filter(~at.eqNullSafe(F.col("at")))
-    gone = gone.filter("doc_id is not null or at.none = false").groupBy("doc_id").agg(F.collect_set("place").alias("_gone"))
-    gone = materialize(gone, "line-removals").withColumnRenamed("doc_id", "_doc")
+    gone = renamed(materialize(gone.groupBy(*KEY).agg(F.collect_set("place").alias("_gone")), "line-removals"))
     worded = lambda x: F.btrim(x, F.lit(WS)) != ""
     # what goes grows with the documents, in rows of no fixed length: never broadcast, at any size
-    out = docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(gone["_doc"]), "left").drop("_doc")
+    out = docs.join(gone.hint("merge"), same(docs, gone), "left")
     out = out.withColumn("_lines", F.split("text", "\n", -1)).withColumn("n_lines", F.coalesce(F.size(F.filter("_lines", worded)), F.lit(0)).cast("long"))
     out = out.withColumn("_left", F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda x, i: ~F.array_contains("_gone", i))))
     out = out.withColumn("n_kept", F.coalesce(F.size(F.filter("_left", worded)), F.lit(0)).cast("long"))
     out = out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join("_left", "\n")))
-    return out.select(*docs.columns, "n_lines", "n_kept")
+    return out.select(*own, "n_lines", "n_kept")

@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from martline.llm.rowkey import KEY, renamed, same
 from martline.llm.text import n_words
 from martline.plans.storage import broadcast_if_small, materialize
 
@@ -57,10 +58,11 @@ def uniform(key: Column) -> Column:
 
 
 def mix(docs: DataFrame, weight: str | None = None, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """(doc_id, size, source_size, target, copies) for every row of ``docs`` (doc_id, text, source and, if named, a
+    """(doc_id, size, source_size, target, copies, and the key of the rows of ``keyed``) for every row of ``docs`` (doc_id, text, source and, if named, a
     non-negative ``weight`` that scales a document's expected copies within its source, up to ``most``)."""
     own = F.coalesce(F.col(weight), F.lit(0.0)) if weight else F.lit(1.0)
-    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), own.cast("double").alias("own"), F.xxhash64("text").alias("tie"))
+    key = [k for k in KEY[1:] if k in docs.columns]
+    rows = docs.select("doc_id", *key, "source", n_words(F.col("text")).alias("size"), own.cast("double").alias("own"), F.xxhash64("text").alias("tie"))
     rows = materialize(rows, "mix-sizes")
     goal = materialize(targets(rows, weights, share, most), "mix-targets")
     n = goal.count()
@@ -72,15 +74,15 @@ def mix(docs: DataFrame, weight: str | None = None, weights=WEIGHTS, share: floa
     rows = rows.withColumn("certain", F.floor(copies)).withColumn("p", copies - F.floor(copies))
     u = uniform(F.col("doc_id"))
     rows = rows.withColumn("q", F.when(F.col("p") > 0, (u / (1 - u)) * ((1 - F.col("p")) / F.col("p"))))
-    rows = materialize(rows.withColumn("at", F.col("q") / (1 + F.col("q"))).select("doc_id", "source", "size", "tie", "source_size", "target", "certain", "q", "at"), "mix-ranks")
+    rows = materialize(rows.withColumn("at", F.col("q") / (1 + F.col("q"))).select("doc_id", *key, "source", "size", "tie", "source_size", "target", "certain", "q", "at"), "mix-ranks")
     cut = _crossing(rows)
     out = rows.join(cut, rows["source"].eqNullSafe(cut["cut_source"]), "left")
     out = out.withColumn("extra", F.col("q").isNotNull() & (_lot("at") < F.col("bin")))
     edge = out.filter(F.col("q").isNotNull() & (_lot("at") == F.col("bin")))
-    by = Window.partitionBy("source", "bin").orderBy("q", "doc_id", "size", "tie")
+    by = Window.partitionBy("source", "bin").orderBy("q", "doc_id", "size", "tie", *key)
     edge = edge.withColumn("extra", F.col("before") + F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size") / 2 <= F.col("wanted"))
     out = out.filter(F.col("q").isNull() | F.col("bin").isNull() | (_lot("at") != F.col("bin"))).unionByName(edge)
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("certain") + F.coalesce(F.col("extra"), F.lit(False)).cast("long")).alias("copies"))
+    return out.select("doc_id", *key, "source", "size", "source_size", "target", (F.col("certain") + F.coalesce(F.col("extra"), F.lit(False)).cast("long")).alias("copies"))
 
 
 def _lot(at: str, bins: int = BINS * BINS) -> Column:
@@ -129,7 +131,7 @@ def _scaled(rows: DataFrame, most: int) -> DataFrame:
 
 
 def expand(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in the mix, each as often as ``mixed`` (doc_id, copies) says, with their columns alone."""
-    taken = mixed.filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    many = docs.join(taken, docs["doc_id"].eqNullSafe(taken["doc_id"])).drop(taken["doc_id"])
+    """The rows of ``docs`` (of ``keyed``) in the mix, each as often as ``mixed`` (key, copies) says, with their columns alone."""
+    taken = renamed(mixed.filter("copies > 0").select(*KEY, F.col("copies").alias("_copies")))
+    many = docs.join(taken, same(docs, taken))
     return many.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)

@@ -1,15 +1,15 @@
 """MinHash near-dedup by fast similarity sketching, banding and exact verification.
 
 A document's set are the hashes of its word shingles; documents are linked where the Jaccard coefficient of their full
-sets is at least ``percent``, and every component keeps the document of least id. Equal sets are one class from the start
+sets is at least ``percent``, and every component keeps one row, that of least id. Equal sets are one class from the start
 and copies are never compared; classes are sketched (see ``sketch``), the sketches cut into bands, and classes that share
 a band are candidates: at a coefficient of 0.8 a pair is missed with a chance of (1 - 0.8 ** ROWS) ** BANDS, 1 in 14,000,
 less at higher ones. Candidates are verified on their full sets (see ``links``).
 
 Words are runs of characters other than \\x20 and \\x09-\\x0D, A-Z lower-cased. Defined cases: null, empty and blank texts
 have the empty set, are linked with nothing and kept; a text shorter than a shingle is one shingle; rows with the same id
-are documents of their own, each linked by its own text, and kept if its id is the least one of its component; a null id
-counts only where no other id is in the component; an empty table gives an empty result.
+are documents of their own, each linked by its own text, and of those of least id in a component one is kept (by its
+``rowkey``); a null id counts only where no other id is in the component; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from martline.llm import links, sketch
+from martline.llm.rowkey import KEY, keyed, renamed, same
 from martline.plans.storage import broadcast_if_small, materialize
 
 BANDS, ROWS = 24, 5
@@ -53,12 +54,12 @@ def as_lists(keys: np.ndarray, has: np.ndarray) -> pa.ListArray:
 def _sketched(width: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            keyed_by, texts = batch.select(list(KEY)), batch.column("text").to_pylist()
             for a, b, elements, owner in _sets(texts, width):
                 n = np.bincount(owner, minlength=b - a)
                 keys = sketch.bands(sketch.sketch(elements, owner, b - a, bands * rows), rows)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(digests(elements, owner, b - a)), as_lists(keys, n > 0)], names=["doc_id", "n_shingles", "node", "bands"]
+                    [*keyed_by.slice(a, b - a).columns, pa.array(n.astype(np.int64)), pa.array(digests(elements, owner, b - a)), as_lists(keys, n > 0)], names=[*KEY, "n_shingles", "node", "bands"]
                 )
 
     return run
@@ -83,21 +84,26 @@ def unpack(contents: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    rows_ = materialize(docs.mapInArrow(_sketched(width, bands, rows), "doc_id long, n_shingles long, node long, bands array<long>"), "sketches")
-    # the class of a set goes by the set's digest, and has the least id of its documents
-    classes = materialize(rows_.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "classes")
+    return verdicts(keyed(docs.select("doc_id", "text")), width, percent, bands, rows).drop(*KEY[1:])
+
+
+def verdicts(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """``near_duplicates`` with the key of each row, of the rows of ``keyed``."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *KEY[1:], "text")
+    rows_ = materialize(docs.mapInArrow(_sketched(width, bands, rows), "doc_id long, row_hash long, row_nth long, n_shingles long, node long, bands array<long>"), "sketches")
+    # the class of a set goes by the set's digest, and has the least key of its rows; null ids come last
+    head = F.struct(F.col("doc_id").isNull().alias("none"), *KEY)
+    classes = materialize(rows_.filter("n_shingles > 0").groupBy("node").agg(F.min(head).alias("head"), F.first("bands").alias("bands")), "classes")
     members = links.shared_buckets(classes.select(F.explode("bands").alias("bucket"), F.col("node").alias("id")))
-    wanted = materialize(classes.select("node", "doc_id").join(members.select(F.col("id").alias("node")).distinct(), "node", "left_semi"), "candidates")
-    few = broadcast_if_small(wanted.select("doc_id").distinct())
-    sets = docs.join(few, docs["doc_id"].eqNullSafe(few["doc_id"]), "left_semi").select("text").mapInArrow(_full(width), "id long, content binary")
-    # rows that share an id may differ in text, so the digest decides
-    sets = sets.join(broadcast_if_small(wanted.select(F.col("node").alias("id"))), "id", "left_semi")
+    wanted = materialize(classes.select("node", "head").join(members.select(F.col("id").alias("node")).distinct(), "node", "left_semi"), "candidates")
+    few = broadcast_if_small(renamed(wanted.select("head.*").drop("none")))
+    sets = docs.join(few, same(docs, few), "left_semi").select("text").mapInArrow(_full(width), "id long, content binary")
     labels = links.connect(members, materialize(sets, "sets"), unpack, percent)
     labels = materialize(labels.unionByName(labels.select(F.col("component").alias("id"), "component").distinct()), "labels")
-    named = labels.join(classes.select(F.col("node").alias("id"), "doc_id"), "id")
-    named = named.join(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select(F.col("id").alias("node"), "component_id")
-    classes = classes.join(broadcast_if_small(materialize(named, "named")), "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = labels.join(classes.select(F.col("node").alias("id"), "head"), "id")
+    named = named.join(named.groupBy("component").agg(F.min("head").alias("least")), "component").select(F.col("id").alias("node"), "least")
+    classes = classes.join(broadcast_if_small(materialize(named, "named")), "node", "left").select("node", F.coalesce("least", "head").alias("least"))
     out = rows_.drop("bands").join(classes, "node", "left")
-    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+    empty = F.col("n_shingles") == 0
+    own = F.when(empty, F.col("doc_id")).otherwise(F.col("least.doc_id"))
+    return out.select(*KEY, "n_shingles", own.alias("component_id"), (empty | head.eqNullSafe(F.col("least"))).alias("kept"))

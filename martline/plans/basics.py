@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from martline.operators import relational as rel
@@ -116,8 +116,20 @@ def join_on_extra_predicate(c: Core) -> DataFrame:
 
 @query("SELECT a.customer_id, count(*) AS pairs FROM core_orders a JOIN core_orders b ON a.customer_id = b.customer_id AND b.order_date > a.order_date GROUP BY 1")
 def join_theta_after_equi(c: Core) -> DataFrame:
-    a, b = c.orders.select("customer_id", "order_date"), c.orders.select("customer_id", F.col("order_date").alias("later"))
-    return a.join(b, "customer_id").filter("later > order_date").groupBy("customer_id").agg(F.count(F.lit(1)).alias("pairs"))
+    """Each date's orders times the customer's later ones, summed; no pair is listed. A customer's dates of one month stand in
+    a window of their own, and the months' sums in another."""
+    return later_pairs(c.orders, "customer_id", "order_date")
+
+
+def later_pairs(rows: DataFrame, key: str, at: str) -> DataFrame:
+    """(key, pairs): how many pairs of rows of the key have a later and an earlier ``at``; keys without a pair are left out."""
+    by = rows.filter(F.col(key).isNotNull() & F.col(at).isNotNull()).groupBy(key, F.date_trunc("month", at).alias("_month"), at).agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(key, "_month").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    within = by.withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
+    months = within.groupBy(key, "_month").agg(F.sum("_n").alias("_n"), F.sum(F.col("_n") * F.col("_before")).alias("_pairs"))
+    past = Window.partitionBy(key).orderBy("_month").rowsBetween(Window.unboundedPreceding, -1)
+    months = months.withColumn("_pairs", F.col("_pairs") + F.col("_n") * F.coalesce(F.sum("_n").over(past), F.lit(0)))
+    return months.groupBy(key).agg(F.sum("_pairs").alias("pairs")).filter("pairs > 0")
 
 
 @query("SELECT customer_id, EXISTS (SELECT 1 FROM core_orders o WHERE o.customer_id = c.customer_id AND order_status = 'pending') AS has_pending FROM customers c")

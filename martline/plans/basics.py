@@ -101,7 +101,18 @@ def join_cross_scalar(c: Core) -> DataFrame:
 
 @query("SELECT item_id, unnest(range(1, quantity + 1))::INT AS unit_no FROM items WHERE item_id % 10 = 1")
 def join_lateral_series(c: Core) -> DataFrame:
-    return c.items.filter("item_id % 10 = 1 and quantity >= 1").select("item_id", F.explode(F.sequence(F.lit(1), F.col("quantity"))).alias("unit_no"))
+    return units(c.items.filter("item_id % 10 = 1"))
+
+
+@query(None)
+def join_lateral_series_all(c: Core) -> DataFrame:
+    """All items; without SQL, as that of ``join_lateral_series`` holds line 1 of each order alone."""
+    return units(c.items)
+
+
+def units(items: DataFrame) -> DataFrame:
+    """(item_id, unit_no) for each unit of each item; items of no unit have no rows."""
+    return items.filter("quantity >= 1").select("item_id", F.explode(F.sequence(F.lit(1), F.col("quantity"))).alias("unit_no"))
 
 
 @query("SELECT a.category_id, coalesce(b.category_name, a.category_name) AS parent_name FROM categories a LEFT JOIN categories b ON a.parent_id = b.category_id")

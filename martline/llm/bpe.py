@@ -2,12 +2,14 @@
 
 A task cuts its texts into pieces by the tokenizer's pattern and encodes every piece that it has not met before: the rows
 (piece, position, token) of a batch of pieces go through a recursive query that joins neighbouring tokens to the merge
-table and contracts the leftmost pair of least rank of every piece, until no piece has a pair to merge. Documents are then
-put together from their pieces. Ids are decoded by a join with the vocabulary and an ordered aggregation per document.
+table and contracts the leftmost pair of least rank of every piece, until no piece has a pair to merge; a piece without
+one leaves the recursion. Documents are then put together from their pieces. Ids are decoded by a join with the
+vocabulary and an aggregation in the order of their places.
 
 The merge table holds each way to cut a vocabulary entry into two others; its rank is the entry's. A piece that is an
-entry itself is that entry. The recursion over a piece of n bytes makes up to n * n / 2 rows, so pieces of more than
-``LONG`` bytes are contracted in the same order by a heap instead (``merge_long``).
+entry itself is that entry. A query keeps the rows of all its steps, so it makes at most as many steps as hold
+``STEP_ROWS`` rows, and pieces that still have a pair go into the next one: memory is bounded for pieces of any length,
+while the time of one of n bytes grows with n * n.
 
 Defined cases: a null text is empty, an empty text has no ids and decodes to no bytes; no special tokens: their strings
 are ordinary text; bytes that no entry covers cannot occur, as a byte-level vocabulary has all 256; repeated rows and ids
@@ -18,7 +20,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 
 import duckdb
@@ -30,29 +31,33 @@ from pyspark.sql import types as T
 
 from martline.llm import sketch
 
-#: Bytes of a piece up to which it goes through the recursive query; pieces of a query; pieces remembered by a worker.
-LONG, BATCH, MEMORY = 256, 50_000, 800_000
+#: Bytes of pieces in a query (or one longer piece), rows that its steps hold, and pieces that a worker remembers.
+BATCH, STEP_ROWS, MEMORY = 1 << 19, 1 << 22, 250_000
 #: Code points of texts that are coded together.
-CHUNK = 1 << 22
+CHUNK = 1 << 21
 
 MERGE = """
-WITH RECURSIVE steps(n, piece, pos, token) AS (
-    SELECT 0, piece, pos, token FROM start
+WITH RECURSIVE steps(n, piece, pos, token, rank, best) AS (
+    SELECT 0, piece, pos, token, rank, min(rank << 32 | pos) OVER (PARTITION BY piece)
+    FROM (SELECT piece, pos, token, lead(token) OVER (PARTITION BY piece ORDER BY pos) AS following FROM start) LEFT JOIN merges ON token = a AND following = b
     UNION ALL
-    SELECT n + 1, piece, pos, CASE WHEN pos = best & 255 THEN best >> 8 ELSE token END
-    FROM (
-        SELECT n, piece, pos, token, before, min(rank << 8 | pos) OVER (PARTITION BY piece) AS best
+    (WITH merged AS MATERIALIZED (
+        SELECT n, piece, pos, CASE WHEN here THEN made ELSE token END AS token, CASE WHEN here OR there THEN fresh.rank ELSE old.rank END AS rank
         FROM (
-            SELECT n, piece, pos, token, lag(pos) OVER spot AS before, lead(token) OVER spot AS following
-            FROM steps WINDOW spot AS (PARTITION BY piece ORDER BY pos)
-        ) LEFT JOIN merges ON token = a AND following = b
-    ) WHERE best IS NOT NULL AND before IS DISTINCT FROM best & 255
+            SELECT n + 1 AS n, piece, pos, token, rank, best & 4294967295 AS spot, (best >> 32)::INT AS made, lag(pos) OVER w AS before,
+                pos = spot AS here, coalesce(lead(pos) OVER w = spot, false) AS there, lead(token, 2) OVER w AS after
+            FROM steps WHERE best IS NOT NULL AND n < $steps WINDOW w AS (PARTITION BY piece ORDER BY pos)
+        ) old LEFT JOIN merges fresh ON fresh.a = CASE WHEN here THEN made WHEN there THEN token END AND fresh.b = CASE WHEN here THEN after WHEN there THEN made END
+        WHERE before IS DISTINCT FROM spot
+    )
+    SELECT n, piece, pos, token, rank, best FROM merged JOIN (SELECT piece, min(rank << 32 | pos) AS best FROM merged GROUP BY piece) USING (piece))
 )
-SELECT piece, list(token ORDER BY pos) AS tokens
-FROM (SELECT *, max(n) OVER (PARTITION BY piece) AS last FROM steps) WHERE n = last GROUP BY piece ORDER BY piece
+SELECT piece, best IS NOT NULL AS unfinished, list(token ORDER BY pos) AS tokens
+FROM steps WHERE best IS NULL OR n = $steps GROUP BY ALL ORDER BY piece
 """
 
-DECODE = "SELECT doc, string_agg(hex, '' ORDER BY pos) AS hex FROM ids JOIN vocabulary USING (token) GROUP BY doc"
+#: One thread hands the rows to the aggregate in the order of the subquery. Bytes stand as the code points 0 to 255.
+DECODE = "SELECT doc, string_agg(bytes, '') AS bytes FROM (SELECT doc, bytes FROM ids JOIN vocabulary USING (token) ORDER BY pos) GROUP BY doc"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -61,75 +66,61 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(None, file.read().split(b"\n")))}
 
 
-def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Contract the leftmost pair of least rank until none is left, with a heap of pairs and linked neighbours."""
-    n = len(piece)
-    after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-    rank = lambda i: ranks.get(piece[i : end[after[i]]]) if after[i] < n else None
-    current = [rank(i) for i in range(n)]
-    heap = [(r, i) for i, r in enumerate(current) if r is not None]
-    heapq.heapify(heap)
-    alive = bytearray(b"\1" * n)
-    while heap:
-        r, i = heapq.heappop(heap)
-        if not alive[i] or current[i] != r:
-            continue
-        j = after[i]
-        alive[j], end[i], after[i] = 0, end[j], after[j]
-        if after[i] < n:
-            before[after[i]] = i
-        for k in (i, before[i]):
-            if k >= 0:
-                current[k] = rank(k)
-                if current[k] is not None:
-                    heapq.heappush(heap, (current[k], k))
-    return [ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
-
-
 class Coder:
     """A worker's tables and what it has encoded so far."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         self.bytes_to_token = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+        # pieces met lately, and before them: a piece that is met again moves up, so that common ones stay
         self.known: dict[str, bytes] = {}
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.older: dict[str, bytes] = {}
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
         cuts = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         a, b, r = (pa.array(x, pa.int32()) for x in zip(*cuts)) if cuts else (pa.array([], pa.int32()),) * 3
-        self._table("merges", a=a, b=b, rank=r)
-        self._table("vocabulary", token=pa.array(list(ranks.values()), pa.int32()), hex=pa.array([t.hex() for t in ranks]))
+        self._table("merges", a=a, b=b, rank=r.cast(pa.int64()))
+        self._table("vocabulary", token=pa.array(list(ranks.values()), pa.int32()), bytes=pa.array([t.decode("latin-1") for t in ranks]))
 
     def _table(self, name: str, **columns) -> None:
         self.con.register("given", pa.table(columns))
         self.con.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM given")
         self.con.unregister("given")
 
-    def _merge(self, pieces: list[bytes]) -> list[bytes]:
-        joined = np.frombuffer(b"".join(pieces), np.uint8)
-        size = np.array([len(p) for p in pieces], np.int64)
-        pos = np.arange(len(joined)) - np.repeat(np.cumsum(size) - size, size)
-        self._table("start", piece=pa.array(np.repeat(np.arange(len(pieces)), size), pa.int32()), pos=pa.array(pos, pa.int32()), token=pa.array(self.bytes_to_token[joined]))
-        tokens = self.con.sql(MERGE).to_arrow_table()["tokens"].combine_chunks()
-        at, flat = np.asarray(tokens.offsets) * 4, tokens.values.to_numpy().astype("<u4").tobytes()
-        return [flat[i:j] for i, j in zip(at[:-1], at[1:])]
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece, by as many queries as its steps take."""
+        out, number = [b""] * len(pieces), np.arange(len(pieces))
+        size, tokens = np.array([len(p) for p in pieces], np.int64), self.bytes_to_token[np.frombuffer(b"".join(pieces), np.uint8)]
+        while len(number):
+            pos = np.arange(len(tokens)) - np.repeat(np.cumsum(size) - size, size)
+            self._table("start", piece=pa.array(np.repeat(number, size), pa.int32()), pos=pa.array(pos, pa.int64()), token=pa.array(tokens))
+            found = self.con.sql(MERGE, params={"steps": max(16, STEP_ROWS // len(tokens))}).to_arrow_table()
+            lists, open_ = found["tokens"].combine_chunks(), found["unfinished"].to_numpy().astype(bool)
+            number, flat = found["piece"].to_numpy(), lists.flatten().to_numpy()
+            size = np.diff(lists.offsets.to_numpy())
+            ends, raw = np.cumsum(size) * 4, flat.astype("<u4").tobytes()
+            for i, start, end, go_on in zip(number.tolist(), (ends - size * 4).tolist(), ends.tolist(), open_.tolist()):
+                if not go_on:
+                    out[i] = raw[start:end]
+            tokens = flat[np.repeat(open_, size)]
+            number, size = number[open_], size[open_]
+        return out
 
     def learn(self, pieces: set[str]) -> None:
         if len(self.known) > MEMORY:
-            self.known.clear()
-        short = []
-        for piece in pieces:
-            if piece in self.known:
+            self.known, self.older = {}, self.known
+        new = []
+        for piece in pieces.difference(self.known):
+            if (old := self.older.get(piece)) is not None:
+                self.known[piece] = old
                 continue
             raw = piece.encode()
             if (whole := self.ranks.get(raw)) is not None:
                 self.known[piece] = whole.to_bytes(4, "little")
-            elif len(raw) > LONG:
-                self.known[piece] = np.array(merge_long(raw, self.ranks), "<u4").tobytes()
             else:
-                short.append((piece, raw))
-        for i in range(0, len(short), BATCH):
-            part = short[i : i + BATCH]
-            self.known.update(zip((p for p, _ in part), self._merge([raw for _, raw in part])))
+                new.append((piece, raw))
+        new.sort(key=lambda x: len(x[1]))
+        for i, j in sketch.chunks([len(raw) for _, raw in new], BATCH):
+            self.known.update(zip((p for p, _ in new[i:j]), self.merge([raw for _, raw in new[i:j]])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.split(t) for t in texts]
@@ -142,7 +133,7 @@ class Coder:
         self.con.register("ids", pa.table({"doc": pa.array(np.repeat(np.arange(len(ids)), size), pa.int32()), "pos": pa.array(np.arange(len(flat)), pa.int32()), "token": pa.array(flat.astype(np.int32))}))
         out = [b""] * len(ids)
         for doc, text in self.con.execute(DECODE).fetchall():
-            out[doc] = bytes.fromhex(text)
+            out[doc] = text.encode("latin-1")
         self.con.unregister("ids")
         return out
 

@@ -66,7 +66,7 @@ def mix(docs: DataFrame, weight: str | None = None, weights=WEIGHTS, share: floa
     rows = materialize(rows, "mix-sizes")
     goal = materialize(targets(rows, weights, share, most), "mix-targets")
     n = goal.count()
-    goal = broadcast_if_small(goal, count=n)
+    goal = broadcast_if_small(goal)
     rows = rows.join(goal, rows["source"].eqNullSafe(goal["source"])).drop(goal["source"])
     copies = _scaled(rows, most) if weight else F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     if weight:

@@ -19,10 +19,9 @@ def keyed(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, ...) with row_hash and row_nth: together with doc_id no two rows have the same."""
     zeros = {"row_hash": F.lit(0).cast("long"), "row_nth": F.lit(0).cast("long")}
     shared = materialize(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("_id")), "shared-ids")
-    n = shared.count()
-    if n == 0:
+    if shared.isEmpty():
         return docs.withColumns(zeros)
-    shared = broadcast_if_small(shared, count=n)
+    shared = broadcast_if_small(shared)
     on = docs["doc_id"].eqNullSafe(shared["_id"])
     many = docs.join(shared, on, "left_semi").withColumns({"row_hash": F.xxhash64("text"), "row_nth": F.monotonically_increasing_id()})
     many = materialize(many, "shared-rows")

@@ -1,115 +1,202 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Words are runs of letters, lower-cased. From all labelled rows to learn from, the ``TERMS`` words are taken whose presence
-tells most of the label (chi-squared of the counts of documents with and without them); their document frequencies come
-from all documents. A text is its TF-IDF vector over these terms, scaled to length 1. The index holds at most ``EXAMPLES``
-labelled rows of each label (those of least hash; a bounded sample by intent) in blocks of ``BLOCK``, with the largest
-weight of each term in each block: a block is looked at only if the sum of its largest weights times the query's can
-still reach the query's ``NEIGHBOURS``-th best cosine, so the neighbours are exactly those of a full scan.
+Words are runs of letters, lower-cased. The index holds at most ``EXAMPLES`` labelled rows of each label (those of least
+hash; a bounded sample by intent), and every word of these is a term: none is left out. A text is its TF-IDF vector,
+(1 + log tf) * idf * (FLOOR + phi) for each term, scaled to length 1, where phi is what the term's presence correlates
+with the label over all labelled rows to learn from, and idf comes from all documents. Words that no example has cannot
+add to a cosine but by the text's own length, which neither the order of its neighbours nor the shares of their votes
+depend on; they are left out of that length.
 
-Neighbours vote by cosine. The share of the toxic votes is calibrated on all labelled rows, none of which votes for
-itself: in ``BINS`` of that share the rate of label 1 among them is read off after pooling adjacent violators, so the
-score rises with the vote. A text without any of the terms takes the rate of such labelled rows.
+The index keeps a posting list for each term: of the ``HEAD`` terms most examples have as dense rows with the largest
+weight in each block of ``BLOCK`` examples, of the others as (example, weight). Texts are searched in batches: the rare
+terms' postings are added up, which gives every block a bound with the common terms' block maxima, and the common terms
+are added in those blocks alone whose bound reaches the ``NEIGHBOURS``-th best cosine found in the best two blocks. So the
+neighbours are exactly those of a full scan (cosines are compared to six digits, ties go by the index's order).
+
+Neighbours vote by cosine; a row never votes for itself. The share of the toxic votes is calibrated on all labelled rows:
+in ``BINS`` of that share the rate of label 1 among them is read off after pooling adjacent violators, so the score rises
+with the vote. A text without a neighbour takes the rate of such labelled rows.
 
 Defined cases: null and empty texts have no terms; a document with several labels counts as toxic if any says so; null
-labels say nothing; without labelled rows of both kinds the score is the rate of label 1, or 0; equal cosines go by
-the index's order; repeated rows each get their score; an empty table gives an empty result.
+labels say nothing; of rows with one id the least text is the example; without labelled rows of both kinds the score is
+the rate of label 1, or 0; repeated rows each get their score; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from martline.llm import sketch
 from martline.plans.storage import broadcast_if_small, materialize
 
-TERMS, EXAMPLES, BLOCK, NEIGHBOURS, BINS = 512, 3000, 64, 16, 20
+EXAMPLES, BLOCK, HEAD, NEIGHBOURS, BINS, FLOOR = 3000, 64, 512, 16, 20, 0.1
+#: Code points of texts that are cut into words together, and texts that are searched together.
+CHUNK, BATCH = 1 << 21, 256
+
+_words = re.compile(r"[^\W\d_]+").findall
+
+
+def words(text: str | None) -> list[str]:
+    return _words((text or "").lower())
+
+
+def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = set().union(*map(words, batch.column("text").to_pylist()))
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["term"])
+
+
+def counted(texts: list, number: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ends, terms, counts): for each text, up to its end, the numbers of its terms in order and how often they stand."""
+    lists = [[i for w in words(t) if (i := number.get(w)) is not None] for t in texts]
+    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    flat = np.fromiter((i for x in lists for i in x), np.int64, len(owner))
+    both, n = np.unique(owner << 32 | flat, return_counts=True)
+    return np.searchsorted(both >> 32, np.arange(1, len(lists) + 1)), (both & 0xFFFFFFFF).astype(np.int32), n.astype(np.int32)
+
+
+def _vectors(sent):
+    """(doc_id, terms, counts) of batches of (doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for a, b in sketch.chunks([len(t or "") for t in texts], CHUNK):
+                ends, terms, n = counted(texts[a:b], sent.value)
+                offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.ListArray.from_arrays(offsets, pa.array(terms)), pa.ListArray.from_arrays(offsets, pa.array(n))], names=["doc_id", "terms", "counts"])
+
+    return run
+
+
+def _frequencies(size: int):
+    """(t, n, pos, neg): in how many texts of a task each term is, and in how many labelled 1 and 0."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((3, size), np.int64)
+        for batch in batches:
+            terms, toxic = batch.column("terms"), batch.column("toxic").fill_null(2).to_numpy()
+            flat, label = terms.flatten().to_numpy(), np.repeat(toxic, np.diff(terms.offsets.to_numpy()))
+            for row, part in enumerate((flat, flat[label == 1], flat[label == 0])):
+                total[row] += np.bincount(part, minlength=size)
+        [t] = np.nonzero(total[0])
+        yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int32)), *(pa.array(x[t]) for x in total)], names=["t", "n", "pos", "neg"])
 
-def _words(text: Column) -> Column:
-    return F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}]+")
+    return run
 
 
-def choose_terms(docs: DataFrame, labels: DataFrame, terms: int = TERMS) -> list[str]:
-    """The terms of largest chi-squared over all of ``labels`` (doc_id, toxic); ties by term."""
-    labels = broadcast_if_small(labels)
-    rows = docs.select("doc_id", "text").join(labels, "doc_id").select("toxic", F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).filter("term <> ''")
-    n = labels.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
-    pos, neg = float(n[0] or 0), float(n[1] or 0)
-    seen = rows.groupBy("term").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b"))
-    a, b = F.col("a"), F.col("b")
-    chi = (a * (F.lit(neg) - b) - b * (F.lit(pos) - a)) ** 2 / ((a + b) * (F.lit(pos + neg) - a - b + 1))
-    return [r["term"] for r in seen.filter("a + b > 1").orderBy(chi.desc(), "term").limit(terms).collect()]
+def weights(n: np.ndarray, pos: np.ndarray, neg: np.ndarray, texts: int, toxic: int, clean: int) -> np.ndarray:
+    """What a term weighs: idf over all texts times FLOOR and phi, the correlation of presence and label without what one
+    degree of freedom gives by chance."""
+    both, all_ = pos + neg, toxic + clean
+    below = np.maximum(both * (all_ - both) * float(toxic) * float(clean), 1.0)
+    chi = (pos * (clean - neg) - neg * (toxic - pos)).astype(np.float64) ** 2 * all_ / below
+    return (np.log((texts + 1) / (n + 1)) + 1) * (FLOOR + np.sqrt(np.maximum(chi - 1, 0) / max(all_, 1)))
 
 
-def vectors(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """(doc_id, found: array<int> of the numbers of the terms in the text, sorted, repeats kept), one row a document."""
-    number = F.create_map(*[x for i, t in enumerate(terms) for x in (F.lit(t), F.lit(i))]) if terms else F.lit(None).cast("map<string,int>")
-    hits = F.filter(_words(F.col("text")), lambda w: w.isin(terms)) if terms else F.array().cast("array<string>")
-    return docs.select("doc_id", F.array_sort(F.transform(hits, lambda w: F.get(F.map_values(number), F.array_position(F.map_keys(number), w).cast("int") - 1))).alias("found"))
+def _unit(owner: np.ndarray, terms: np.ndarray, counts: np.ndarray, weight: np.ndarray, rows: int) -> np.ndarray:
+    value = (1 + np.log(counts)) * weight[terms]
+    length = np.sqrt(np.bincount(owner, value * value, minlength=rows))
+    return value / np.maximum(length, 1e-12)[owner]
 
 
-def _dense(found: list, idf: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(found), len(idf)), np.float32)
-    size = np.array([len(x) for x in found], np.int64)
-    if size.sum():
-        np.add.at(out, (np.repeat(np.arange(len(found)), size), np.concatenate([np.asarray(x, np.int64) for x in found if len(x)])), 1)
-    out = np.where(out > 0, 1 + np.log(np.maximum(out, 1)), 0) * idf
-    norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
-    return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0).astype(np.float32)
+def _flat(terms: pa.ListArray, counts: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.repeat(np.arange(len(terms)), np.diff(terms.offsets.to_numpy())), terms.flatten().to_numpy(), counts.flatten().to_numpy()
 
 
 class Index:
-    """Blocks of example vectors with the largest weight of every term in each."""
-
-    def __init__(self, ids: list, found: list, toxic: list, idf: np.ndarray, block: int = BLOCK):
-        self.idf, self.block = idf, block
-        dense = _dense(found, idf)
-        # rows of the same terms stand together, so that the largest weights of a block are close to its rows'
-        order = np.lexsort((np.arange(len(ids)), dense.argmax(axis=1) if len(idf) else np.zeros(len(ids), np.int64)))
-        self.ids, self.toxic, self.rows = np.asarray(ids, np.int64)[order], np.asarray(toxic, np.int64)[order], dense[order]
-        starts = np.arange(0, len(ids), block)
-        self.most = np.maximum.reduceat(self.rows, starts, axis=0) if len(ids) else np.zeros((0, len(idf)), np.float32)
-
-    def nearest(self, found: list, k: int = NEIGHBOURS) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each query the (rows, cosines) of its k nearest examples with a cosine over 0, best first, ties by row."""
-        queries = _dense(found, self.idf)
-        bounds = queries @ self.most.T
-        out = []
-        for q, bound in zip(queries, bounds):
-            terms = np.flatnonzero(q)
-            rows, cosines, least = np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0
-            if len(terms):
-                weights, step = q[terms], 1
-                order = np.argsort(-bound, kind="stable")
-                at = 0
-                while at < len(order) and bound[order[at]] > 0 and bound[order[at]] >= least - 1e-6:
-                    blocks = order[at : at + step]
-                    at, step = at + step, min(2 * step, 8)
-                    new = (blocks[:, None] * self.block + np.arange(self.block)[None, :]).ravel()
-                    new = new[new < len(self.ids)]
-                    rows = np.concatenate([rows, new])
-                    cosines = np.concatenate([cosines, self.rows[np.ix_(new, terms)] @ weights])
-                    best = np.lexsort((rows, -cosines))[:k]
-                    rows, cosines = rows[best], cosines[best]
-                    least = float(cosines[-1]) if len(rows) == k else 0.0
-                keep = cosines > 0
-                rows, cosines = rows[keep], cosines[keep]
-            out.append((rows, cosines))
-        return out
-
-    def votes(self, found: list, k: int = NEIGHBOURS, without: list | None = None) -> tuple[np.ndarray, list]:
-        """The toxic share of the cosine votes (-1 without a neighbour) and the ids of the neighbours; the ids in
-        ``without`` get no vote from themselves."""
-        near = self.nearest(found, k if without is None else k + 1)
-        if without is not None:
-            near = [(r[self.ids[r] != own][:k], c[self.ids[r] != own][:k]) for (r, c), own in zip(near, without)]
-        share = np.array([float((c * self.toxic[r]).sum() / c.sum()) if len(r) else -1.0 for r, c in near])
-        return share, [self.ids[r].tolist() for r, _ in near]
+    """Posting lists of the examples' terms, with block maxima of the common ones."""
+
+    def __init__(self, ids: np.ndarray, toxic: np.ndarray, owner: np.ndarray, terms: np.ndarray, counts: np.ndarray, weight: np.ndarray, block: int = BLOCK, head: int = HEAD):
+        self.weight, self.block, rows = weight, block, len(ids)
+        value = _unit(owner, terms, counts, weight, rows)
+        # examples of the same heaviest term stand together, so that a block's largest weights are close to its rows'
+        best = np.zeros(rows, np.int64)
+        by = np.lexsort((value, owner))
+        best[owner[by]] = terms[by]
+        order = np.lexsort((ids, best))
+        place = np.empty(rows, np.int64)
+        place[order] = np.arange(rows)
+        self.ids, self.toxic, row = ids[order], toxic[order], place[owner]
+        self.size = -(-max(rows, 1) // block) * block
+        often = np.bincount(terms, minlength=len(weight))
+        common = np.argsort(-often, kind="stable")[:head]
+        self.column = np.full(len(weight), -1, np.int64)
+        self.column[common] = np.arange(len(common))
+        at = self.column[terms]
+        self.dense = np.zeros((len(common), self.size), np.float32)
+        self.dense[at[at >= 0], row[at >= 0]] = value[at >= 0]
+        self.most = self.dense.reshape(len(common), -1, block).max(axis=2)
+        term, row, value = terms[at < 0], row[at < 0], value[at < 0]
+        by = np.lexsort((row, term))
+        self.start = np.searchsorted(term[by], np.arange(len(weight) + 1))
+        self.row, self.value = row[by].astype(np.int32), value[by]
+        self.own: dict[int, int] = {int(x): i for i, x in enumerate(self.ids)}
+
+    def nearest(self, without: list, owner: np.ndarray, terms: np.ndarray, counts: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, cosines) of the k nearest examples of each text, best first; the cosine is 0 where there are fewer. A text
+        has no neighbour of the id in ``without``."""
+        n, block, blocks = len(without), self.block, self.size // self.block
+        value = _unit(owner, terms, counts, self.weight, n)
+        column = self.column[terms]
+        query = np.zeros((n, len(self.dense)), np.float32)
+        query[owner[column >= 0], column[column >= 0]] = value[column >= 0]
+        rare = column < 0
+        first = self.start[terms[rare]]
+        long = self.start[terms[rare] + 1] - first
+        posting = np.arange(long.sum()) + np.repeat(first - (np.cumsum(long) - long), long)
+        cell = np.repeat(owner[rare] * self.size, long) + self.row[posting]
+        score = np.bincount(cell, np.repeat(value[rare], long) * self.value[posting], minlength=n * self.size).astype(np.float32).reshape(n, self.size)
+        for i, own in enumerate(without):
+            if (at := self.own.get(own)) is not None:
+                score[i, at] = -4
+        bound = score.reshape(n, blocks, block).max(axis=2) + query @ self.most
+        done = np.zeros((n, blocks), bool)
+
+        def add(need: np.ndarray) -> None:
+            for b in np.flatnonzero(need.any(axis=0)):
+                [q] = np.nonzero(need[:, b])
+                score[q, b * block : (b + 1) * block] += query[q] @ self.dense[:, b * block : (b + 1) * block]
+            done[need] = True
+
+        two = np.argpartition(-bound, min(1, blocks - 1), axis=1)[:, :2]
+        need = np.zeros((n, blocks), bool)
+        np.put_along_axis(need, two, True, axis=1)
+        add(need)
+        seen = np.take_along_axis(score.reshape(n, blocks, block), two[:, :, None], axis=1).reshape(n, -1)
+        least = np.partition(seen, max(seen.shape[1] - k, 0), axis=1)[:, max(seen.shape[1] - k, 0)]
+        add(~done & (bound >= least[:, None] - 1e-5) & (bound > 0))
+        score[~np.repeat(done, block, axis=1)] = -4
+        key = np.rint(score * 1e6).astype(np.int64) * self.size + np.arange(self.size - 1, -1, -1)
+        key = -np.sort(np.partition(-key, min(k, self.size) - 1, axis=1)[:, :k], axis=1)
+        rows = self.size - 1 - key % self.size
+        return rows, np.maximum(np.floor_divide(key, self.size), 0) / 1e6
+
+    def votes(self, without: list, terms: pa.ListArray, counts: pa.ListArray) -> tuple[np.ndarray, list]:
+        """The toxic share of the cosine votes (-1 without a neighbour) and the ids of the neighbours."""
+        if not len(self.ids):
+            return np.full(len(without), -1.0), [[] for _ in without]
+        rows, cosine = self.nearest(without, *_flat(terms, counts))
+        total, rows = cosine.sum(axis=1), np.minimum(rows, len(self.ids) - 1)
+        share = np.where(total > 0, (cosine * self.toxic[rows]).sum(axis=1) / np.maximum(total, 1e-12), -1.0)
+        return share, [self.ids[r[c > 0]].tolist() for r, c in zip(rows, cosine)]
+
+
+def _voting(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, len(batch), BATCH):
+                part = batch.slice(start, BATCH)
+                share, near = sent.value.votes(part.column("doc_id").to_pylist(), part.column("terms"), part.column("counts"))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array(share), pa.array(near, pa.list_(pa.int64()))], names=["doc_id", "toxic", "share", "evidence"])
+
+    return run
 
 
 def _pooled(rate: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -123,46 +210,36 @@ def _pooled(rate: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.concatenate([[v] * n for v, _, n in parts])
 
 
-def _voting(sent, schema_ids: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, len(batch), 512):
-                part = batch.slice(start, 512)
-                share, near = sent.value.votes(part.column("found").to_pylist(), without=None if schema_ids else part.column("doc_id").to_pylist())
-                columns = [part.column("doc_id"), pa.array(share)] + ([pa.array(near, pa.list_(pa.int64()))] if schema_ids else [])
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "share"] + (["evidence"] if schema_ids else []))
-
-    return run
-
-
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(t, n): in how many texts of a batch each term is."""
-    for batch in batches:
-        lists = batch.column("found")
-        owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-        both = np.unique(np.stack([owner, lists.flatten().to_numpy()]), axis=1) if len(owner) else np.zeros((2, 0), np.int64)
-        terms, n = np.unique(both[1], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int32()), pa.array(n, pa.int64())], names=["t", "n"])
+def _column(table: pa.Table, name: str) -> pa.Array:
+    return pa.concat_arrays(table[name].chunks) if table.num_rows else pa.array([], table.schema.field(name).type)
 
 
-def score(docs: DataFrame, labels: DataFrame, terms: int = TERMS, examples: int = EXAMPLES) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> DataFrame:
     """(doc_id, score, evidence: ids of the neighbours) for every row of ``docs`` (doc_id, text); all of ``labels``
     (doc_id, toxic) may be learned from."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    labels = materialize(labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")), "toxic-labels")
-    chosen = choose_terms(docs, labels, terms)
-    found = materialize(vectors(docs, chosen), "toxic-vectors")
-    n = found.count()
-    df = {r["t"]: r["n"] for r in found.select("found").mapInArrow(_frequencies, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()}
-    idf = np.array([np.log((n + 1) / (df.get(i, 0) + 1)) + 1 for i in range(len(chosen))], np.float32)
-    known = materialize(found.join(broadcast_if_small(labels), "doc_id").select("doc_id", "found", "toxic").dropDuplicates(["doc_id"]).withColumn("lot", F.xxhash64("doc_id")), "toxic-known")
-    taken = [known.filter((F.col("toxic") == t) & (F.size("found") > 0)).orderBy("lot", "doc_id").limit(examples).collect() for t in (0, 1)]
-    taken = [r for part in taken for r in part]
-    sent = spark.sparkContext.broadcast(Index([r["doc_id"] for r in taken], [list(r["found"]) for r in taken], [r["toxic"] for r in taken], idf))
-    held = known.select("doc_id", "found").mapInArrow(_voting(sent, False), "doc_id long, share double").join(known.select("doc_id", "toxic"), "doc_id")
-    counts = held.groupBy(F.when(F.col("share") < 0, -1).otherwise(F.least(F.floor(F.col("share") * BINS), F.lit(BINS - 1))).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).collect()
-    by, total, toxic = {r["bin"]: (r["n"], r["t"]) for r in counts}, sum(r["n"] for r in counts), sum(r["t"] for r in counts)
+    labels = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+    labels = broadcast_if_small(materialize(labels.agg(F.max("toxic").cast("int").alias("toxic")), "toxic-labels"))
+    known = docs.filter(F.col("text").rlike("\\p{L}")).select("doc_id").distinct().join(labels, "doc_id")
+    taken = [known.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples) for t in (0, 1)]
+    taken = materialize(taken[0].unionByName(taken[1]), "toxic-examples")
+    shown = docs.join(F.broadcast(taken), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))  # 2 * examples rows at most
+    shown = materialize(shown, "toxic-texts")
+    terms = shown.select("text").mapInArrow(_vocabulary, "term string").distinct().orderBy("term").toArrow()["term"].to_pylist()
+    number = spark.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
+    schema = "doc_id long, terms array<int>, counts array<int>"
+    found = materialize(docs.mapInArrow(_vectors(number), schema).join(labels, "doc_id", "left"), "toxic-vectors")
+    told = found.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("toxic") == 1).alias("pos"), F.count_if(F.col("toxic") == 0).alias("neg")).first()
+    seen = found.select("terms", "toxic").mapInArrow(_frequencies(len(terms)), "t int, n long, pos long, neg long").groupBy("t").agg(*[F.sum(c).alias(c) for c in ("n", "pos", "neg")]).toArrow()
+    counts = np.zeros((3, len(terms)), np.int64)
+    counts[:, _column(seen, "t").to_numpy()] = [_column(seen, c).to_numpy() for c in ("n", "pos", "neg")]
+    rows = shown.select("doc_id", "text").mapInArrow(_vectors(number), schema).join(F.broadcast(taken), "doc_id").toArrow()
+    index = Index(*(_column(rows, c).to_numpy().astype(np.int64) for c in ("doc_id", "toxic")), *_flat(_column(rows, "terms"), _column(rows, "counts")), weights(*counts, *told))
+    voted = materialize(found.mapInArrow(_voting(spark.sparkContext.broadcast(index)), "doc_id long, toxic int, share double, evidence array<bigint>"), "toxic-votes")
+    bin_ = F.when(F.col("share") < 0, -1).otherwise(F.least(F.floor(F.col("share") * BINS), F.lit(BINS - 1))).cast("int").alias("bin")
+    held = voted.filter("toxic is not null").groupBy(bin_).agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).collect()
+    by, total, toxic = {r["bin"]: (r["n"], r["t"]) for r in held}, sum(r["n"] for r in held), sum(r["t"] for r in held)
     rate = toxic / total if total else 0.0
     smooth = lambda b: ((by.get(b, (0, 0))[1] + rate) / (by.get(b, (0, 0))[0] + 1), by.get(b, (0, 0))[0] + 1)
     curve = _pooled(*map(np.array, zip(*[smooth(b) for b in range(BINS)])))
@@ -171,5 +248,5 @@ def score(docs: DataFrame, labels: DataFrame, terms: int = TERMS, examples: int
     at = F.col("share") * (BINS - 1)
     low = F.floor(at).cast("int")
     value = F.get(table, low) + (F.get(table, low + 1) - F.get(table, low)) * (at - low)
-    voted = found.mapInArrow(_voting(sent, True), "doc_id long, share double, evidence array<bigint>")
-    return voted.select("doc_id", F.when(F.col("share") < 0, F.lit(float(smooth(-1)[0]))).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))).alias("score"), "evidence")
+    value = F.when(F.col("share") < 0, F.lit(float(smooth(-1)[0]))).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))
+    return voted.select("doc_id", value.alias("score"), "evidence")

@@ -5,17 +5,21 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a narrow key table may be broadcast (a few tens of bytes a row).
-BROADCAST_ROWS = 1_000_000
+#: Bytes up to which a written table may be broadcast.
+BROADCAST_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a temporary one is set where it is unset."""
+    """The folder all executors share, from ``spark.checkpoint.dir``. Where it is unset, a temporary one is set if driver
+    and executors are one process; on a cluster that is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = f"file://{tempfile.mkdtemp(prefix='martline-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -30,8 +34,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, count: int | None = None) -> DataFrame:
-    """Mark ``df`` (already materialised and narrow) for broadcast if it has at most ``rows`` rows;
+def _bytes(value: Column, kind: T.DataType) -> Column:
+    """Bytes of a value in memory, beyond its place in the row."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        size = F.octet_length(value)
+    elif isinstance(kind, T.ArrayType):
+        fixed = not isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType))
+        size = F.size(value) * 8 if fixed else F.aggregate(value, F.lit(0).cast("long"), lambda acc, x: acc + 8 + _bytes(x, kind.elementType).cast("long"))
+    elif isinstance(kind, T.StructType):
+        size = sum((_bytes(value[f.name], f.dataType) + 8 for f in kind), F.lit(16))
+    else:
+        return F.lit(0)
+    return F.coalesce(size, F.lit(0)).cast("long")
+
+
+def held_bytes(df: DataFrame) -> int:
+    """About how many bytes the rows of ``df`` take in memory."""
+    row = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) + 8 for f in df.schema), F.lit(32))
+    return df.agg(F.sum(row.cast("long"))).first()[0] or 0
+
+
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark ``df`` (already materialised) for broadcast if its rows take at most ``most`` bytes;
     beyond that it is returned as it is and the join shuffles."""
-    n = count if count is not None else df.count()
-    return F.broadcast(df) if n <= rows else df
+    return F.broadcast(df) if held_bytes(df) <= most else df

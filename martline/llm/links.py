@@ -29,6 +29,8 @@ from martline.plans.storage import broadcast_if_small, materialize
 SMALL, PIVOTS, BLOCK = 8, (1, 4), 1024
 #: Nodes that union-find holds in a task before it passes their stars on.
 FOREST = 1 << 19
+#: Tasks over which the edges of a hub are dealt.
+EVEN = 64
 
 
 def components(edges: DataFrame, held: int = FOREST) -> DataFrame:
@@ -37,17 +39,28 @@ def components(edges: DataFrame, held: int = FOREST) -> DataFrame:
     e = materialize(_merged(edges, held), "cc")
     while not _starred(e):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("n"))
         # large star: greater neighbours go to the least one
-        e = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        e = materialize(_matched(both, materialize(least, "least")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")), "large")
         # small star: a node and its lesser neighbours go to the least of these
-        least = e.groupBy("a").agg(F.min("b").alias("m"))
-        e = e.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x")).select("x.*")
+        least = materialize(e.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "least")
+        e = _matched(e, least).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x")).select("x.*")
         # no distinct: rows of one node meet in a task, where the forest keeps one of them
         e = materialize(_merged(e, held), "cc")
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).distinct()
 
 
+def _matched(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """``edges`` (a, b) with m of their node in ``least`` (a, m, n: its number of edges), a written table. Nodes with more
+    than an ``EVEN``-th of all edges, fewer than EVEN by that, are dealt over as many tasks."""
+    hot = F.col("n") > F.lit((least.agg(F.sum("n")).first()[0] or 0) / EVEN)
+    hubs = least.filter(hot).select("a", F.lit(True).alias("hub"))
+    lot = F.pmod(F.xxhash64("b"), F.lit(EVEN)).cast("int")
+    dealt = edges.join(F.broadcast(hubs), "a", "left").select("a", "b", F.when(F.col("hub"), lot).otherwise(0).alias("lot"))
+    copies = F.when(hot, F.sequence(F.lit(0), F.lit(EVEN - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(least.select("a", "m", F.explode(copies).alias("lot")), ["a", "lot"]).select("a", "b", "m")
+
+
 def _merged(edges: DataFrame, held: int) -> DataFrame:
     """Edges (a, b) with the same components and shorter chains: each slice of a partition becomes stars by union-find."""
     return edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(_forest(held), "a long, b long")

@@ -1,13 +1,15 @@
 """Quality rules with risk-controlled thresholds (DataFrame functions only).
 
-Every rule is a share of a text in thousandths, and rejects above a cutoff. A cutoff is used in a stratum only if
-labelled documents prove it safe there: of the n good documents of the stratum k lie above the cutoff, and the exact
-binomial tail P(Bin(n, risk) <= k) must not exceed the error level, so that the true rate of false rejections is under
-``risk`` with that confidence. Cutoffs of a rule are tried in a fixed order from lenient to strict and the trial ends at
-the first that fails (fixed-sequence testing needs no further correction); the error level is split evenly over all
-pairs of stratum and rule (Bonferroni), and the risk over the rules (union bound). Rules, cutoffs and order are fixed
-before any label is seen, so all labels serve as the holdout. A stratum with too few labels proves nothing, and there
-the rules reject nothing.
+Every rule is a share of a text in thousandths, and rejects above a cutoff. The labelled good documents that pass the
+base rule are split by a hash of their id: a quarter proposes cutoffs, the others are the holdout that proves them. In
+each stratum the proposals form a ladder (``LEVELS``) from lenient to strict: on each rung every rule has the strictest
+cutoff that leaves at most a set share of the proposing documents above it, on the first rung doubled. A rung is safe if the
+holdout proves it for all rules together: of its n documents k are rejected by any rule, and the exact binomial tail
+P(Bin(n, risk) <= k) must not exceed the error level, so that the true rate of false rejections is under ``risk`` with
+that confidence. Rungs are tried in order and the trial ends at the first that fails (fixed-sequence testing needs no
+further correction); the error level is split evenly over the strata (Bonferroni). The stratum uses the last safe rung;
+one with too few labels proves nothing (under 145 good documents in the holdout, if there are four strata), and there the
+rules reject nothing.
 
 Defined cases: a null text has no words; a null stratum counts as ''; a document labelled more than once is good if any
 of its labels is 1; labels without a document, and null labels, say nothing; repeated rows each get their verdict;
@@ -34,6 +36,10 @@ RULES = {
 #: Cutoffs in thousandths, lenient to strict.
 CUTOFFS = (800, 600, 500, 400, 300, 250, 200, 150, 120, 100, 80, 60, 50, 40, 30, 20)
 RISK, ERROR = 0.03, 0.05
+#: Rungs: thousandths of the proposing documents that may lie above a rule's cutoff, and what the cutoff is multiplied by.
+LEVELS = ((0, 2), (0, 1), (1, 1), (2, 1), (4, 1), (8, 1))
+#: First hex digits of the hash of the ids that propose.
+PROPOSE = ("0", "1", "2", "3")
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals", "n_exclaims", "n_lines")
 
 
@@ -98,21 +104,33 @@ def tail(n: str, k: str, risk: float) -> Column:
             acc -> exp(acc.total)))""")
 
 
-def certified(measured: DataFrame, labels: DataFrame, stratum: str, risk: float = RISK, error: float = ERROR, cutoffs=CUTOFFS) -> DataFrame:
-    """One row per stratum with the strictest cutoff proved safe for each rule (columns cut_<rule>, null: none)."""
+def _fires(suffix: str = "") -> Column:
+    """Whether any rule fires at the cutoffs cut_<rule><suffix>; null cutoffs never do."""
+    return F.greatest(*[F.coalesce(_above(r, F.col(f"cut_{r}{suffix}")), F.lit(False)) for r in RULES])
+
+
+def certified(measured: DataFrame, labels: DataFrame, stratum: str, risk: float = RISK, error: float = ERROR, cutoffs=CUTOFFS, levels=LEVELS) -> DataFrame:
+    """One row per stratum with the cutoffs of its last safe rung (columns cut_<rule>, null: none)."""
     good = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("_q")).filter("_q = 1")
-    held = measured.join(good.select("doc_id"), "doc_id", "left_semi").filter(~base_failed())
-    counts = held.groupBy(stratum).agg(
-        F.count(F.lit(1)).alias("n"), *[F.count_if(_above(r, c)).alias(f"{r}_{c}") for r in RULES for c in cutoffs]
-    )
-    trials = counts.select(stratum, "n", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"{r}_{c}").alias("k")) for r in RULES for c in cutoffs])).alias("t")).select(stratum, "n", "t.*")
-    strata = counts.agg(F.count(F.lit(1)).alias("strata"))
-    tested = trials.crossJoin(F.broadcast(strata)).withColumn("passed", tail("n", "k", risk / len(RULES)) <= F.lit(error) / (F.col("strata") * len(RULES)))
-    ends = tested.groupBy(stratum, "rule").agg(
-        F.max(F.when(~F.col("passed"), F.col("cutoff"))).alias("fails"), F.sort_array(F.collect_list(F.when(F.col("passed"), F.col("cutoff")))).alias("passes")
-    )
-    chosen = ends.withColumn("cut", F.get(F.filter("passes", lambda c: c > F.coalesce(F.col("fails"), F.lit(-1))), F.lit(0)))
-    return chosen.groupBy(stratum).agg(*[F.max(F.when(F.col("rule") == r, F.col("cut"))).alias(f"cut_{r}") for r in RULES])
+    good = measured.join(good.select("doc_id"), "doc_id", "left_semi").filter(~base_failed())
+    propose = F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 1).isin(*PROPOSE)
+    good = materialize(good.select(stratum, propose.alias("_p"), *{c for pair in RULES.values() for c in pair}), "quality-good")
+    counts = good.groupBy(stratum).agg(F.count_if("_p").alias("n"), *[F.count_if(F.col("_p") & _above(r, c)).alias(f"{r}_{c}") for r in RULES for c in cutoffs])
+
+    def cut(rule: str, share: int, times: int) -> Column:
+        told = F.array(*[F.struct(F.lit(c).alias("cutoff"), F.col(f"{rule}_{c}").alias("k")) for c in cutoffs])
+        least = F.array_min(F.filter(told, lambda x: 1000 * x["k"] <= share * F.col("n")))["cutoff"]
+        return F.array_min(F.filter(F.array(*[F.lit(c) for c in cutoffs]), lambda c: c >= times * least))
+
+    rungs = materialize(counts.select(stratum, *[cut(r, *level).alias(f"cut_{r}_{j}") for r in RULES for j, level in enumerate(levels)]), "quality-rungs")
+    held = good.filter("not _p").join(broadcast_if_small(rungs), stratum)
+    tested = held.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(_fires(f"_{j}")).alias(f"k_{j}") for j in range(len(levels))])
+    strata = tested.agg(F.count(F.lit(1)).alias("strata"))
+    passed = F.array(*[tail("n", f"k_{j}", risk) <= F.lit(error) / F.col("strata") for j in range(len(levels))])
+    safe = F.array_position(F.concat(passed, F.array(F.lit(False))), False) - 1
+    chosen = tested.crossJoin(F.broadcast(strata)).select(stratum, safe.alias("safe"))
+    pick = lambda r: F.get(F.array(*[F.col(f"cut_{r}_{j}") for j in range(len(levels))]), (F.col("safe") - 1).cast("int"))
+    return rungs.join(chosen, stratum).select(stratum, *[pick(r).alias(f"cut_{r}") for r in RULES])
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, error: float = ERROR) -> DataFrame:

@@ -12,10 +12,8 @@ def quality_ctes(docs: str = "documents", risk: float = quality.RISK, error: flo
     """CTEs up to ``judged``: every row of ``docs`` with its measures and verdict."""
     rules = quality.RULES
     fires = " OR ".join(f"coalesce(1000 * {a} > cut_{r} * {b}, false)" for r, (a, b) in rules.items())
-    trials = " UNION ALL ".join(
-        f"SELECT s, '{r}' AS rule, {c} AS cutoff, count(*) AS n, count(*) FILTER (1000 * {a} > {c} * {b}) AS k FROM held GROUP BY s" for r, (a, b) in rules.items() for c in quality.CUTOFFS
-    )
-    each = risk / len(rules)
+    counts = " UNION ALL ".join(f"SELECT s, '{r}' AS rule, {c} AS cutoff, count(*) FILTER (tune AND 1000 * {a} > {c} * {b}) AS k FROM good GROUP BY s" for r, (a, b) in rules.items() for c in quality.CUTOFFS)
+    rungs = ", ".join(f"({j}, {share}, {times})" for j, (share, times) in enumerate(quality.LEVELS))
     return f"""
     d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS s, coalesce(text, '') AS t FROM {docs}),
     f AS (SELECT r, doc_id, s, regexp_extract_all(t, '{_WORD}') AS w, length(translate(t, {_WS}, '')) AS word_chars,
@@ -27,12 +25,17 @@ def quality_ctes(docs: str = "documents", risk: float = quality.RISK, error: flo
     m AS (SELECT f.r, doc_id, s, len(w)::BIGINT AS n_words, word_chars, n_symbols, n_capitals, n_exclaims, len(l)::BIGINT AS n_lines,
         len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM f LEFT JOIN cov USING (r)),
     b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
-    held AS (SELECT * FROM b WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING max(quality) = 1)),
-    trials AS ({trials}),
-    tested AS (SELECT s, rule, cutoff, (CASE WHEN k >= n * {each!r} THEN 1 ELSE (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({each!r}) + (n - i) * ln(1 - {each!r})))
-        FROM unnest(range(0, k + 1)) AS x(i)) END) <= {error!r} / ((SELECT count(DISTINCT s) FROM held) * {len(rules)}) AS passed FROM trials),
-    ends AS (SELECT s, rule, max(cutoff) FILTER (NOT passed) AS fails FROM tested GROUP BY s, rule),
-    cuts AS (SELECT s, {", ".join(f"min(cutoff) FILTER (rule = '{r}' AND passed AND cutoff > coalesce(fails, -1)) AS cut_{r}" for r in rules)} FROM tested JOIN ends USING (s, rule) GROUP BY s),
+    good AS (SELECT *, substr(md5(doc_id::VARCHAR), 1, 1) IN {quality.PROPOSE!r} AS tune FROM b
+        WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING max(quality) = 1)),
+    proposing AS (SELECT s, count(*) FILTER (tune) AS tuned FROM good GROUP BY s),
+    counts AS ({counts}),
+    least AS (SELECT s, rule, level, times, min(cutoff) FILTER (1000 * k <= share * tuned) AS least FROM counts JOIN proposing USING (s), (VALUES {rungs}) AS x(level, share, times) GROUP BY ALL),
+    rung AS (SELECT s, level, {", ".join(f"min(cut) FILTER (rule = '{r}') AS cut_{r}" for r in rules)} FROM (SELECT s, rule, level, (SELECT min(c) FROM unnest({list(quality.CUTOFFS)}) AS y(c) WHERE c >= times * least) AS cut FROM least) GROUP BY s, level),
+    held AS (SELECT s, level, count(*) AS n, count(*) FILTER ({fires}) AS k FROM good JOIN rung USING (s) WHERE NOT tune GROUP BY s, level),
+    tested AS (SELECT s, level, (CASE WHEN k >= n * {risk!r} THEN 1 ELSE (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({risk!r}) + (n - i) * ln(1 - {risk!r})))
+        FROM unnest(range(0, k + 1)) AS x(i)) END) <= {error!r} / (SELECT count(DISTINCT s) FROM held) AS passed FROM held),
+    safe AS (SELECT s, max(level) AS level FROM tested t WHERE NOT EXISTS (SELECT 1 FROM tested u WHERE u.s = t.s AND u.level <= t.level AND NOT u.passed) GROUP BY s),
+    cuts AS (SELECT rung.* FROM rung JOIN safe USING (s, level)),
     judged AS (SELECT b.*, NOT base_failed AND NOT ({fires}) AS kept FROM b LEFT JOIN cuts USING (s))"""
 
 
@@ -77,17 +80,22 @@ def _spans(kind: str, pattern: str) -> str:
 OP9 = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
     base AS (SELECT * FROM ({_spans("assign", secrets.ASSIGN)}) WHERE length(regexp_replace(match, {_q("^" + secrets.ASSIGN_HEAD)}, '')) >= 6
         UNION ALL {_spans("access", secrets.ACCESS)} UNION ALL {_spans("hex", secrets.HEX)}),
-    run AS (SELECT * FROM ({_spans("random", secrets.RUN)}) WHERE regexp_matches(match, '[0-9]') AND regexp_matches(match, '[A-Za-z]')),
-    sample AS (SELECT 'r' AS label, s FROM (SELECT DISTINCT CASE kind WHEN 'assign' THEN regexp_replace(match, {_q("^" + secrets.ASSIGN_HEAD)}, '') ELSE match END AS s FROM base) WHERE length(s) > 1 ORDER BY md5(s), s LIMIT {secrets.SAMPLE}),
-    plain AS (SELECT 'o' AS label, s FROM (SELECT DISTINCT unnest(regexp_split_to_array(regexp_replace(t, {_q("|".join((secrets.ASSIGN, secrets.ACCESS, secrets.HEX, secrets.RUN)))}, ' ', 'g'), '[^A-Za-z0-9_]+')) AS s FROM d) WHERE length(s) >= 6 ORDER BY md5(s), s LIMIT {secrets.SAMPLE}),
+    run AS (SELECT row_number() OVER () AS n, * FROM ({_spans("random", secrets.RUN)}) WHERE regexp_matches(match, {_q(secrets.TOLD)})),
+    sample AS (SELECT 'r' AS label, s FROM (SELECT DISTINCT CASE kind WHEN 'assign' THEN regexp_replace(match, {_q("^" + secrets.ASSIGN_HEAD)}, '') ELSE match END AS s FROM base) WHERE length(s) > 1),
+    plain AS (SELECT 'o' AS label, s FROM (SELECT DISTINCT unnest(regexp_split_to_array(regexp_replace(t, {_q("|".join((secrets.ASSIGN, secrets.ACCESS, secrets.HEX, secrets.RUN)))}, ' ', 'g'), '[^A-Za-z0-9_]+')) AS s FROM d) WHERE length(s) >= 6),
     two AS (SELECT label, substr(s, i, 1) AS a, substr(s, i + 1, 1) AS b FROM (SELECT label, s, unnest(range(1, length(s))) AS i FROM (FROM sample UNION ALL FROM plain))),
     seen AS (SELECT instr('{secrets.ALPHABET}', a) * 63 + instr('{secrets.ALPHABET}', b) AS pair, count(*) FILTER (label = 'r') AS rn, count(*) FILTER (label = 'o') AS o FROM two GROUP BY 1),
     counts AS (SELECT p AS pair, p // 63 AS first, coalesce(rn, 0) AS rn, coalesce(o, 0) AS o FROM range(63 * 63) AS x(p) LEFT JOIN seen ON p = pair),
-    model AS (SELECT pair, CASE WHEN sum(rn) OVER () > 0 AND sum(o) OVER () > 0 THEN round(1000 * (ln((rn + 1) / (sum(rn) OVER (PARTITION BY first) + 63)) - ln((o + 1) / (sum(o) OVER (PARTITION BY first) + 63)))) ELSE 0 END AS weight FROM counts),
-    free AS (SELECT * FROM run WHERE length(match) >= {secrets.LEAST} AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = run.r AND b.start < run.stop AND run.start < b.stop)),
-    scored AS (SELECT r, start, stop, match, sum(weight) AS llr FROM (SELECT *, unnest(range(1, length(match))) AS i FROM free)
-        JOIN model ON pair = instr('{secrets.ALPHABET}', substr(match, i, 1)) * 63 + instr('{secrets.ALPHABET}', substr(match, i + 1, 1)) GROUP BY ALL),
-    ranked AS (SELECT *, list_position(['assign', 'access', 'hex', 'random'], kind) AS k FROM (SELECT r, kind, start, stop FROM base UNION ALL SELECT r, 'random', start, stop FROM scored WHERE llr > {secrets.LIMIT} * length(match))),
+    totals AS (SELECT *, sum(rn) OVER (PARTITION BY first) AS rs, sum(o) OVER (PARTITION BY first) AS os, sum(rn) OVER () > 0 AND sum(o) OVER () > 0 AS told FROM counts),
+    model AS (SELECT pair, CASE WHEN told AND first > 0 AND pair % 63 > 0 THEN round(1000 * (ln({1 - secrets.MIXED[0]!r} * (CASE WHEN rs > 0 THEN rn / rs ELSE 1.0 / 63 END)::DOUBLE + {secrets.MIXED[0] / 63!r}::DOUBLE)
+        - ln({1 - secrets.MIXED[1]!r}::DOUBLE * (CASE WHEN os > 0 THEN o / os ELSE 1.0 / 63 END)::DOUBLE + {secrets.MIXED[1] / 63!r}::DOUBLE))) ELSE 0 END AS weight FROM totals),
+    piece AS (SELECT n AS r, start, stop, match FROM ({_spans("random", secrets.STRETCH).replace("FROM d WHERE", "FROM (SELECT n AS r, match AS t FROM run) WHERE")}) AS x(n, kind, start, stop, match)),
+    part AS (SELECT n, true AS whole, r, start, stop, match FROM run UNION ALL SELECT n, false, run.r, run.start + piece.start, run.start + piece.stop, piece.match FROM piece JOIN run ON run.n = piece.r),
+    free AS (SELECT * FROM part WHERE length(match) >= {secrets.LEAST} AND regexp_matches(match, {_q(secrets.TOLD)}) AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = part.r AND b.start < part.stop AND part.start < b.stop)),
+    judged AS (SELECT n, whole, r, start, stop, match, sum(weight) AS llr FROM (SELECT *, unnest(range(1, length(match))) AS i FROM free)
+        JOIN model ON pair = instr('{secrets.ALPHABET}', substr(match, i, 1)) * 63 + instr('{secrets.ALPHABET}', substr(match, i + 1, 1)) GROUP BY ALL HAVING sum(weight) > {secrets.LIMIT} * length(match)),
+    scored AS (SELECT * FROM judged WHERE whole OR n NOT IN (SELECT n FROM judged WHERE whole)),
+    ranked AS (SELECT *, list_position(['assign', 'access', 'hex', 'random'], kind) AS k FROM (SELECT r, kind, start, stop FROM base UNION ALL SELECT r, 'random', start, stop FROM scored)),
     told AS (SELECT r, count(*) FILTER (k = 1) AS n_assign, count(*) FILTER (k = 2) AS n_access, count(*) FILTER (k = 3) AS n_hex,
         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k) FILTER (k < 4) AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k) AS spans FROM ranked GROUP BY r)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN told USING (r)"""

@@ -132,7 +132,7 @@ class Index:
         at = self.column[terms]
         self.dense = np.zeros((len(common), self.size), np.float32)
         self.dense[at[at >= 0], row[at >= 0]] = value[at >= 0]
-        self.most = self.dense.reshape(len(common), -1, block).max(axis=2)
+        self.most = self.dense.reshape(len(common), self.size // block, block).max(axis=2)
         term, row, value = terms[at < 0], row[at < 0], value[at < 0]
         by = np.lexsort((row, term))
         self.start = np.searchsorted(term[by], np.arange(len(weight) + 1))

@@ -1,4 +1,8 @@
+import base64
 import hashlib
+import random
+import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -9,6 +13,7 @@ from pyspark.sql import functions as F
 import compare
 from martline.llm import bpe, chat, lines, links, mixing, neardup, quality, secrets, spotsigs, toxicity, urlfilter
 from martline.llm.queries import ORACLES, QUERIES
+from martline.plans.storage import materialize
 
 SF = "/root/testdata/sf0.001"
 LONG = "word " * 4000 + "x" * 3000
@@ -117,22 +122,112 @@ def test_bpe_equals_tiktoken(spark, odd):
         assert np.frombuffer(bytes(r["ids"]), "<u4").tolist() == other.encode_ordinary(text) and bytes(r["decoded"]) == text.encode()
 
 
-def test_block_max_search_equals_a_full_scan():
+@pytest.mark.parametrize("head", [0, 5, 400])
+def test_block_max_search_equals_a_full_scan(head):
     rng = np.random.default_rng(3)
-    found = [sorted(rng.choice(40, rng.integers(0, 9)).tolist()) for _ in range(700)]
-    index = toxicity.Index(list(range(500)), found[:500], rng.integers(0, 2, 500).tolist(), rng.random(40).astype(np.float32) + 1, block=16)
-    queries = toxicity._dense(found[500:], index.idf)
-    for (rows, cosines), q in zip(index.nearest(found[500:], 10), queries):
-        every = np.sort(index.rows @ q)[::-1][:10]
-        assert np.allclose(cosines, every[every > 0], atol=1e-5)
+    found = [np.unique(rng.choice(40, rng.integers(0, 9))) for _ in range(700)]
+    owner, terms = np.repeat(np.arange(700), [len(x) for x in found]), np.concatenate(found)
+    counts, weight = rng.integers(1, 4, len(terms)), rng.random(40) + 0.1
+    dense = np.zeros((700, 40))
+    dense[owner, terms] = (1 + np.log(counts)) * weight[terms]
+    dense /= np.maximum(np.linalg.norm(dense, axis=1), 1e-12)[:, None]
+    old, new = owner < 500, owner >= 500
+    index = toxicity.Index(np.arange(500), rng.integers(0, 2, 500), owner[old], terms[old], counts[old], weight, block=16, head=head)
+    own = rng.integers(0, 500, 200).tolist()
+    rows, cosines = index.nearest(own, owner[new] - 500, terms[new], counts[new], 10)
+    every = dense[500:] @ dense[:500].T
+    every[np.arange(200), own] = 0
+    assert np.allclose(cosines, -np.sort(-every, axis=1)[:, :10], atol=3e-6)
+    assert all(x not in index.ids[r[c > 0]] for x, r, c in zip(own, rows, cosines))
+
+
+def _scores(docs, labels):
+    """Shares of the toxic votes by a full scan, as toxicity describes them, and the calibrated scores of one row a document."""
+    words = {i: Counter(toxicity.words(t)) for i, t in docs}
+    known = {i: t for i, t in labels.items() if i in words}
+    examples = [i for i in known if words[i]]
+    terms = sorted(set().union(*(words[i] for i in examples)))
+    number = {w: k for k, w in enumerate(terms)}
+    seen, pos, neg = np.zeros((3, len(terms)))
+    for i, c in words.items():
+        at = [number[w] for w in c if w in number]
+        seen[at] += 1
+        if i in known:
+            (pos if known[i] else neg)[at] += 1
+    p, q = sum(known.values()), len(known) - sum(known.values())
+    chi = (pos * (q - neg) - neg * (p - pos)) ** 2 * (p + q) / np.maximum((pos + neg) * (p + q - pos - neg) * p * q, 1)
+    weight = (np.log((len(docs) + 1) / (seen + 1)) + 1) * (toxicity.FLOOR + np.sqrt(np.maximum(chi - 1, 0) / (p + q)))
+    vector = np.zeros((len(docs), len(terms)))
+    for r, (i, _) in enumerate(docs):
+        for w, n in words[i].items():
+            if w in number:
+                vector[r, number[w]] = (1 + np.log(n)) * weight[number[w]]
+    vector /= np.maximum(np.linalg.norm(vector, axis=1), 1e-12)[:, None]
+    place = {i: r for r, (i, _) in enumerate(docs)}
+    cosines = vector @ vector[[place[i] for i in examples]].T
+    share = {}
+    for i, _ in docs:
+        near = sorted(((c, known[e]) for c, e in zip(cosines[place[i]], examples) if e != i and c > 1e-6), reverse=True)[: toxicity.NEIGHBOURS]
+        share[i] = sum(c * t for c, t in near) / sum(c for c, _ in near) if near else -1
+    rate = p / (p + q)
+    bins = {b: [] for b in range(-1, toxicity.BINS)}
+    for i, t in known.items():
+        bins[-1 if share[i] < 0 else min(int(share[i] * toxicity.BINS + 1e-9), toxicity.BINS - 1)].append(t)
+    level = lambda b: (sum(bins[b]) + rate) / (len(bins[b]) + 1)
+    curve = list(toxicity._pooled(*map(np.array, zip(*[(level(b), len(bins[b]) + 1) for b in range(toxicity.BINS)]))))
+    curve.append(curve[-1])
+    out = {}
+    for i, s in share.items():
+        low = int(s * (toxicity.BINS - 1))
+        out[i] = level(-1) if s < 0 else min(1, max(0, curve[low] + (curve[low + 1] - curve[low]) * (s * (toxicity.BINS - 1) - low)))
+    return out
+
 
+def test_toxicity_equals_brute_force(spark):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2}
+    want = _scores(docs, labels)
+    got = {r["doc_id"]: r for r in QUERIES["op10_toxicity"](spark, SF).collect()}
+    assert set(got) == set(want)
+    # neighbours of equal cosine may be told apart in the seventh digit only
+    assert sum(abs(got[i]["score"] - want[i]) > 1e-3 for i in want) <= len(want) // 50
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) and r["predicted"] == int(r["score"] >= 0.3) for i, r in got.items())
 
-def test_cascade_is_exact_on_its_universe(spark):
-    universe = spark.range(3000).select(F.xxhash64("id").alias("key"), (F.col("id") % 5 == 0).alias("listed")).persist()
-    cascade = urlfilter.build(universe)
+
+@pytest.mark.parametrize(("shard", "limit"), [(1 << 20, 1 << 20), (100, 1)])
+def test_cascade_is_exact_on_its_universe(spark, shard, limit):
+    universe = materialize(spark.range(3000).select(F.xxhash64("id").alias("a"), F.xxhash64("id", F.lit(1)).alias("b"), (F.col("id") % 5 == 0).alias("listed")), "universe")
+    filters, shards = urlfilter.build(universe, shard)
     rows = universe.collect()
-    assert cascade.listed(np.array([r["key"] for r in rows])).tolist() == [r["listed"] for r in rows] and len(cascade.levels) > 1
-    assert urlfilter.build(universe, limit=8) is None
+    a, b = (np.array([r[c] for r in rows]) for c in "ab")
+    got = np.zeros(len(rows), bool)
+    groups = list(urlfilter.groups(filters, limit))
+    for group in groups:
+        for s, levels in group.items():
+            at = a % shards == s
+            got[at] = urlfilter.lookup(levels, a[at], b[at])
+    assert got.tolist() == [r["listed"] for r in rows] and filters.filter("level > 0").count() > 0 and (len(groups) == 1) == (shards == 1)
+
+
+def test_urls_in_many_shards_long_and_repeated(spark):
+    rows = [(k % 400, f"https://h{k % 400}.{'casino' if k % 7 == 0 else 'fine'}.org/{'x' * (20_000 if k == 5 else 3)}") for k in range(800)]
+    pages = spark.createDataFrame(rows, "page_id int, url string")
+    for shard, limit in ((1 << 20, 64 << 20), (50, 1)):
+        got = urlfilter.verdicts(pages, shard=shard, limit=limit).collect()
+        assert len(got) == 800 and all((r["verdict"] == "block") == (".casino." in r["url"]) for r in got)
+    assert urlfilter.verdicts(pages.limit(0)).collect() == []
+
+
+def test_secrets_are_found_beside_the_base_patterns(spark):
+    rng, chars = random.Random(5), "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    draw = lambda n: "".join(rng.choices(chars, k=n))
+    forms_ = [lambda: draw(20), lambda: draw(32), lambda: "/static/assets/documents/" + draw(32), lambda: "session_identifier=" + draw(20), lambda: base64.b64encode(rng.randbytes(30)).decode()]
+    plain = [lambda: f"/usr/local/lib/python3/site-packages/module{rng.randint(1, 99)}", lambda: "_".join(rng.choices(["load", "file", "by", "name", "v2", "index"], k=6)), lambda: "".join(rng.choices("0123456789", k=16))]
+    planted = [(10**6 + k, f"see {(forms_ if k < 500 else plain)[k % (5 if k < 500 else 3)]()} here", None) for k in range(800)]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", F.lit(None).cast("string").alias("spans"))
+    found = secrets.scan(docs.unionByName(spark.createDataFrame(planted, docs.schema))).filter("doc_id >= 1000000").select("doc_id", F.exists("spans", lambda s: s["kind"] == 3).alias("hit")).collect()
+    recall, wrong = (np.mean([r["hit"] for r in found if (r["doc_id"] < 10**6 + 500) == true]) for true in (True, False))
+    assert recall >= 0.95 and wrong <= 0.05
 
 
 def test_urls_without_host(spark):
@@ -146,10 +241,35 @@ def test_chat_tree_shares_turns_and_reads_back(spark):
     assert nodes.count() == 5
     got = {r["conv_id"]: ([tuple(t) for t in r["turns"]], r["loss"]) for r in chat.read_back(nodes, leaves).collect()}
     assert got[2] == ([("user", "hi <s> \\"), ("assistant", "b[/INST]")], "b[/INST]") and got[3][0][1] == ("we]ird", "") and got[None][0] == [("", "[ROLE ")]
+    assert all(sum(a["end"] - a["start"] for a in r["attends"]) == r["position"] + r["end"] - r["start"] for r in nodes.collect())
     empty = chat.build(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
     assert chat.read_back(*empty).collect() == []
 
 
+@pytest.mark.parametrize("parts", [1, 23])
+def test_chat_trees_of_deep_repeated_and_tied_rows(spark, parts):
+    rng = random.Random(3)
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", rng.choice("ab"), "x") for c in range(300) for t in range(rng.choice([1, 2, 3, 5, 8]))]
+    rows += [(c, t, "user" if t % 2 == 0 else "assistant", f"x{t // 7 if t < 900 or c == 1000 else t}", "x") for c in (1000, 1001) for t in range(1000)]
+    rows += [(None, None, None, None, None), (None, 1, "sys]tem\\", "</s>\n", None), (5000, 1, "user", "q" * 100_000, None), (5000, 1, "user", "q" * 100_000, None), (5000, 1, "assistant", "q", None)]
+    want: dict = {}
+    for c, t, role, text, _ in rows:
+        want.setdefault(c, []).append((t is not None, t or 0, role or "", text or ""))
+    want = {c: [x[2:] for x in sorted(v)] for c, v in want.items()}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        nodes, leaves = chat.build(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, node string"))
+        assert {r["conv_id"]: [tuple(x) for x in r["turns"]] for r in chat.read_back(nodes, leaves).collect()} == want
+        nodes = sorted(nodes.collect(), key=lambda r: (r["tree"], r["start"]))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+    assert len(nodes) == len({tuple(v[: k + 1]) for v in want.values() for k in range(len(v))})
+    for before, node in zip([None, *nodes], nodes):
+        assert node["start"] == (before["end"] if before and before["tree"] == node["tree"] else 0) and node["end"] - node["start"] == len(node["segment"])
+
+
 def test_certified_cutoffs_need_evidence(spark):
     labels = spark.range(4000).select(F.col("id").alias("doc_id"), (F.col("id") % 10 != 0).cast("int").alias("quality"))
     docs = labels.select("doc_id", F.when(F.col("quality") == 1, F.concat_ws(" ", *[F.concat(F.lit(f"w{k}x"), F.col("doc_id")) for k in range(30)])).otherwise(F.concat_ws(" ", *[F.concat(F.lit(f"###{k}$$"), F.col("doc_id")) for k in range(30)])).alias("text"), F.lit("en").alias("lang"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from martline.plans.storage import broadcast_if_small, materialize
+from martline.plans.storage import broadcast_if_small, drop, materialize
 
 SMALL, PIVOTS, BLOCK = 8, (1, 4), 1024
 #: Nodes that union-find holds in a task before it passes their stars on.
@@ -37,7 +37,13 @@ def components(edges: DataFrame, held: int = FOREST) -> DataFrame:
     """(id, component): for each id in ``edges`` (a, b) but the least of its component, that least one. A task holds about
     ``held`` nodes at a time."""
     e = materialize(_merged(edges, held), "cc")
-    while not _starred(e):
+    while True:
+        # as few tasks as can hold what is left; a single one leaves nothing but stars
+        tasks = -(-2 * e.count() // held) or 1
+        e, last = materialize(_merged(e.coalesce(tasks), held), "cc"), e
+        drop(last)
+        if tasks == 1 or _starred(e):
+            break
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("n"))
         # large star: greater neighbours go to the least one
@@ -85,7 +91,7 @@ def _forest(held: int):
                 p, q = root(x), root(y)
                 if p != q:
                     up[max(p, q)] = min(p, q)
-                if len(up) >= held:
+                if len(up) > held:
                     yield stars()
                     up.clear()
         yield stars()

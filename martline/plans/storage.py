@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bytes up to which a written table may be broadcast.
-BROADCAST_BYTES = 8 << 20
+#: Bytes up to which a written table may be broadcast: few enough that what grows with the input joins by a shuffle at any
+#: size that matters, and that many broadcasts of a run take a few tens of MB.
+BROADCAST_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,7 +32,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def drop(table: DataFrame) -> None:
+    """Delete a table of ``materialize`` that nothing reads any more; other frames are left alone."""
+    if path := getattr(table, "_written_to", None):
+        spark = table.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def _bytes(value: Column, kind: T.DataType) -> Column:

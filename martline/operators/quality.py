@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from martline.functions.normalize import EMAIL, strip
@@ -72,9 +72,59 @@ def violations(rejected: DataFrame) -> DataFrame:
     return rejected.select(F.explode(F.split("error_code", r"\|")).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
-def check_invariant(tagged: DataFrame, dataset: str = "dataset") -> DataFrame:
-    """(dataset, input, valid, rejected); raises if input is not valid + rejected anywhere."""
-    stats = tagged.groupBy(dataset).agg(F.count(F.lit(1)).alias("input"), F.count_if(F.col("error_code").isNull()).alias("valid"), F.count_if(F.col("error_code").isNotNull()).alias("rejected"))
+def check_invariant(given: DataFrame, valid: DataFrame, rejected: DataFrame, dataset: str = "dataset") -> DataFrame:
+    """(dataset, input, valid, rejected), counted in the three frames; raises if input is not valid + rejected in every
+    dataset, however the totals stand."""
+    one = lambda df, name: df.select(dataset, *[F.lit(int(name == n)).cast("long").alias(n) for n in ("input", "valid", "rejected")])
+    every = one(given, "input").unionByName(one(valid, "valid")).unionByName(one(rejected, "rejected"))
+    stats = every.groupBy(dataset).agg(*[F.sum(n).alias(n) for n in ("input", "valid", "rejected")])
     if not stats.filter("input <> valid + rejected").isEmpty():
         raise ValueError("input is not valid + rejected")
     return stats
+
+
+def exceeds_gross(quantity: str, price: str, discount: str) -> Rule:
+    """A discount of more than the line's gross; equality passes."""
+    return Rule("DISCOUNT_EXCEEDS_GROSS", F.col(discount) > F.col(quantity) * F.col(price))
+
+
+def split_duplicate_keys(valid: DataFrame, keys: list[str], order: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """(first of every key, the later ones with error_code DUPLICATE_PRIMARY_KEY); null keys are told apart from others."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    numbered = valid.withColumn("_n", F.row_number().over(w))
+    return numbered.filter("_n = 1").drop("_n"), numbered.filter("_n > 1").drop("_n").withColumn("error_code", F.lit("DUPLICATE_PRIMARY_KEY"))
+
+
+def reference_keys(history: DataFrame, valid: DataFrame, key: str) -> DataFrame:
+    """What a foreign key may point to: keys loaded before and the valid ones of this batch."""
+    return history.select(key).unionByName(valid.select(key)).filter(F.col(key).isNotNull()).distinct()
+
+
+def chronology(tagged: DataFrame, orders: DataFrame, on: str, at: str, since: str, code: str = "PAYMENT_BEFORE_ORDER") -> DataFrame:
+    """Appends ``code`` where the instant ``at`` lies before its order's ``since``; equality, orphans and nulls pass."""
+    known = orders.select(F.col(on).alias("_on"), F.col(since).alias("_since")).dropDuplicates(["_on"])
+    out = tagged.join(known, tagged[on] == known["_on"], "left")
+    early = F.coalesce(F.col(at) < F.col("_since"), F.lit(False))
+    out = out.withColumn("error_codes", F.when(early, F.array_append("error_codes", F.lit(code))).otherwise(F.col("error_codes"))).drop("_on", "_since")
+    return out.withColumn("error_code", F.when(F.size("error_codes") > 0, F.array_join("error_codes", "|")))
+
+
+def concat_rejects(*rejected: DataFrame) -> DataFrame:
+    """All rejects of a dataset, whatever tier found them; columns that a tier lacks are null."""
+    out = rejected[0]
+    for more in rejected[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out
+
+
+def listing(rejected: DataFrame, key: str) -> DataFrame:
+    """(key, code, text): one readable line for each violation."""
+    each = rejected.select(F.col(key).cast("string").alias("key"), F.explode(F.split("error_code", r"\|")).alias("code"))
+    return each.withColumn("text", F.concat_ws(" ", "code", F.lit(f"{key} ="), F.coalesce("key", F.lit("null"))))
+
+
+def report(stats: DataFrame, run_id: str) -> DataFrame:
+    """The statistics of ``check_invariant`` with their run, shares and a last row of totals (dataset null)."""
+    total = stats.agg(F.lit(None).cast("string").alias("dataset"), *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in ("input", "valid", "rejected")])
+    out = stats.select(F.col("dataset").cast("string"), "input", "valid", "rejected").unionByName(total)
+    return out.select(F.lit(run_id).alias("run_id"), "*", (100.0 * F.col("rejected") / F.nullif("input", F.lit(0))).alias("rejected_pct"), (F.col("rejected") == 0).alias("clean"))

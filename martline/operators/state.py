@@ -21,6 +21,45 @@ def upsert(target: DataFrame, batch: DataFrame, keys: list[str], order: list[str
     return joined.select(*cols, op)
 
 
+def guard(batch: DataFrame, columns: list[str], keys: list[str]) -> None:
+    """Raises ValueError before anything is written: key columns missing, columns unknown, or a key that is null."""
+    if missing := [k for k in keys if k not in batch.columns]:
+        raise ValueError(f"missing key columns: {', '.join(missing)}")
+    if unknown := [c for c in batch.columns if c not in columns]:
+        raise ValueError(f"unknown columns: {', '.join(unknown)}")
+    if not batch.filter(F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))).isEmpty():
+        raise ValueError(f"null key: {', '.join(keys)}")
+
+
+def as_of_version(facts: DataFrame, dim: DataFrame, key: str, day: str) -> DataFrame:
+    """``facts`` with the columns of the version of their key that was valid on their day; the key is an equi-join, the
+    interval a filter on it. Facts without a version keep nulls."""
+    d = dim.withColumnsRenamed({key: "_key", "valid_from": "_from", "valid_to": "_to"})
+    on = (facts[key] == d["_key"]) & facts[day].cast("date").between(d["_from"], d["_to"])
+    return facts.join(d, on, "left").drop("_key", "_from", "_to")
+
+
+def update_from(target: DataFrame, source: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """``target`` with ``columns`` overwritten (nulls too) where ``source``, of one row a key, has the key."""
+    s = source.select(*keys, *[F.col(c).alias(f"_{c}") for c in columns], F.lit(True).alias("_in"))
+    return target.join(s, keys, "left").select(*[F.when(F.col("_in"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in target.columns])
+
+
+def delete_with_children(parents: DataFrame, children: DataFrame, gone: DataFrame, key: str, blockers: list[DataFrame] = ()) -> tuple[DataFrame, DataFrame]:
+    """(parents, children) without the keys in ``gone``; raises ValueError, deleting nothing, while a blocker refers to one."""
+    gone = gone.select(key).distinct()
+    for other in blockers:
+        if not other.join(gone, key, "left_semi").isEmpty():
+            raise ValueError(f"{key} is still referred to")
+    return parents.join(gone, key, "left_anti"), children.join(gone, key, "left_anti")
+
+
+def advance(before: DataFrame, loaded: DataFrame) -> DataFrame:
+    """(resource, watermark): per resource the later of what stood and what was loaded; neither an empty increment nor an
+    older one moves it back."""
+    return before.unionByName(loaded).groupBy("resource").agg(F.max("watermark").alias("watermark"))
+
+
 def append_new(target: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
     """``target`` and the rows of ``batch`` whose key it lacks; existing rows never change."""
     return target.unionByName(batch.dropDuplicates(keys).join(target, keys, "left_anti"), allowMissingColumns=True)
@@ -88,11 +127,15 @@ class Versions:
         row = None if manifest is None else manifest.filter(F.col("table") == table).orderBy(F.desc("seq")).first()
         return None if row is None else self.spark.read.parquet(row["path"])
 
+    def is_published(self, run: str) -> bool:
+        manifest = self._manifest()
+        return manifest is not None and not manifest.filter(F.col("run") == run).isEmpty()
+
     def publish(self, run: str, tables: dict[str, DataFrame], audit=None) -> int:
         """Write, audit, publish. ``audit(staged)`` gets the written tables and raises to refuse. A run that is already
         published is skipped, so a replayed batch changes nothing."""
-        seq, manifest = self.sequence(), self._manifest()
-        if manifest is not None and not manifest.filter(F.col("run") == run).isEmpty():
+        seq = self.sequence()
+        if self.is_published(run):
             return seq
         paths = {name: f"{self.root}/{name}/v={uuid.uuid4().hex}" for name in tables}
         for name, df in tables.items():

@@ -81,15 +81,24 @@ def rfm(c: Core) -> DataFrame:
     return _rfm(c).withColumn("monetary", F.col("monetary").cast("double"))
 
 
+#: The segments in the order in which they are tried.
+_SEGMENTS = """CASE WHEN r >= 4 AND f >= 4 AND m >= 4 THEN 'Champions' WHEN r >= 3 AND f >= 3 THEN 'Loyal' WHEN r >= 4 AND f <= 2 THEN 'New / Promising'
+    WHEN r <= 2 AND f >= 3 THEN 'At Risk' WHEN r <= 2 AND f <= 2 THEN 'Hibernating' ELSE 'Need Attention' END"""
+
+
 @query(
-    f", {_RFM}, s AS (SELECT *, ceil(5 * cume_dist() OVER (ORDER BY recency_days DESC))::INT AS r, ceil(5 * cume_dist() OVER (ORDER BY frequency))::INT AS f, ceil(5 * cume_dist() OVER (ORDER BY monetary))::INT AS m FROM rfm) SELECT customer_id, r || '' || f || '' || m AS code, CASE WHEN r >= 4 AND f >= 4 AND m >= 4 THEN 'Champions' WHEN f >= 4 THEN 'Loyal' WHEN r >= 4 THEN 'Recent' WHEN r <= 2 AND f >= 3 THEN 'At risk' WHEN r <= 2 THEN 'Lost' ELSE 'Regular' END AS segment FROM s"
+    f", {_RFM}, s AS (SELECT *, ceil(5 * cume_dist() OVER (ORDER BY recency_days DESC))::INT AS r, ceil(5 * cume_dist() OVER (ORDER BY frequency))::INT AS f, "
+    f"ceil(5 * cume_dist() OVER (ORDER BY monetary))::INT AS m FROM rfm) SELECT customer_id, r || '' || f || '' || m AS code, {_SEGMENTS} AS segment, "
+    "monetary::DOUBLE / nullif(frequency, 0) AS aov, monetary::DOUBLE AS ltv FROM s"
 )
 def rfm_segments(c: Core) -> DataFrame:
     s = rel.quintile(_rfm(c), "recency_days", ascending=False, name="r")
     s = rel.quintile(rel.quintile(s, "frequency", name="f"), "monetary", name="m")
     r, f, m = F.col("r"), F.col("f"), F.col("m")
-    segment = F.when((r >= 4) & (f >= 4) & (m >= 4), "Champions").when(f >= 4, "Loyal").when(r >= 4, "Recent").when((r <= 2) & (f >= 3), "At risk").when(r <= 2, "Lost").otherwise("Regular")
-    return s.select("customer_id", F.concat("r", "f", "m").alias("code"), segment.alias("segment"))
+    segment = F.when((r >= 4) & (f >= 4) & (m >= 4), "Champions").when((r >= 3) & (f >= 3), "Loyal").when((r >= 4) & (f <= 2), "New / Promising")
+    segment = segment.when((r <= 2) & (f >= 3), "At Risk").when((r <= 2) & (f <= 2), "Hibernating").otherwise("Need Attention")
+    spent = F.col("monetary").cast("double")
+    return s.select("customer_id", F.concat("r", "f", "m").alias("code"), segment.alias("segment"), (spent / F.nullif("frequency", F.lit(0))).alias("aov"), spent.alias("ltv"))
 
 
 @query("SELECT customer_id, datediff('day', max(order_date), (SELECT max(order_date) FROM core_orders))::INT AS days_since, sum(order_total)::DOUBLE AS lifetime FROM core_orders GROUP BY 1 HAVING max(order_date) < (SELECT max(order_date) FROM core_orders) - INTERVAL 30 DAY")

@@ -44,9 +44,11 @@ def agg_violation_counts(c: Core) -> DataFrame:
     return dq.violations(dq.split(_tagged(c))[1])
 
 
-@query(f"{_TAG} SELECT 'events' AS dataset, count(*) AS input, count(*) FILTER (len(e) = 0) AS valid, count(*) FILTER (len(e) > 0) AS rejected FROM codes")
+@query(f"{_TAG} SELECT event_type AS dataset, count(*) AS input, count(*) FILTER (len(e) = 0) AS valid, count(*) FILTER (len(e) > 0) AS rejected FROM codes JOIN events USING (event_id) GROUP BY 1")
 def dq_invariant(c: Core) -> DataFrame:
-    return dq.check_invariant(_tagged(c).withColumn("dataset", F.lit("events")))
+    """Counted in three frames: what came in, and both outputs of the split."""
+    tagged = _tagged(c).join(c.raw("events").select("event_id", F.col("event_type").alias("dataset")), "event_id")
+    return dq.check_invariant(c.raw("events").select(F.col("event_type").alias("dataset")), *dq.split(tagged))
 
 
 @query(f", {_RAW} SELECT event_id, (CASE WHEN trim(email) = '' THEN 67 ELSE 100 END)::INT AS score, CASE WHEN trim(email) = '' THEN 'email' ELSE '' END AS missing FROM raw")
@@ -110,12 +112,27 @@ def page_slice(c: Core) -> DataFrame:
     return c.orders.orderBy("order_id").offset(200).limit(100).select("order_id")
 
 
-@query("SELECT n.order_id AS order_id, lpad(n.order_id::VARCHAR, 8, '0') AS code, CASE WHEN n.order_id % 100 < 78 THEN 'completed' WHEN n.order_id % 100 < 87 THEN 'shipped' WHEN n.order_id % 100 < 92 THEN 'confirmed' WHEN n.order_id % 100 < 97 THEN 'pending' ELSE 'cancelled' END AS status FROM core_orders n", name="synthetic_orders")
+_SYNTH = """SELECT 'ORD' || lpad(g::VARCHAR, 10, '0') AS order_id, 'CUS' || lpad((g % 100000 + 1)::VARCHAR, 8, '0') AS customer_id,
+    TIMESTAMP '2023-12-31 17:00:00' + to_days((g % 730)::INT) + to_seconds(g % 86400) AS order_date,
+    CASE WHEN g % 100 < 78 THEN 'completed' WHEN g % 100 < 87 THEN 'shipped' WHEN g % 100 < 92 THEN 'confirmed' WHEN g % 100 < 97 THEN 'cancelled' ELSE 'pending' END AS status,
+    ((50000 + g % 4500000) / 100)::DOUBLE AS order_total FROM (SELECT unnest(generate_series(1, (SELECT max(order_id) FROM core_orders))) AS g)"""
+
+
+def orders_made(c: Core, n: int) -> DataFrame:
+    """``n`` deterministic orders by modular arithmetic; days start at midnight seven hours east."""
+    g, slot = F.col("id"), F.col("id") % 100
+    status = F.when(slot < 78, "completed").when(slot < 87, "shipped").when(slot < 92, "confirmed").when(slot < 97, "cancelled").otherwise("pending")
+    day = F.lit("2023-12-31 17:00:00").cast("timestamp_ntz") + F.make_dt_interval((g % 730).cast("int"), F.lit(0), F.lit(0), g % 86400)
+    return c.spark.range(1, n + 1).select(
+        F.concat(F.lit("ORD"), F.lpad(g.cast("string"), 10, "0")).alias("order_id"), F.concat(F.lit("CUS"), F.lpad((g % 100000 + 1).cast("string"), 8, "0")).alias("customer_id"),
+        day.alias("order_date"), status.alias("status"), ((50000 + g % 4500000) / 100).alias("order_total"),
+    )
+
+
+@query(_SYNTH)
 def synthetic_orders(c: Core) -> DataFrame:
-    """Deterministic statuses by modular arithmetic, one for each order there is."""
-    slot = F.col("order_id") % 100
-    status = F.when(slot < 78, "completed").when(slot < 87, "shipped").when(slot < 92, "confirmed").when(slot < 97, "pending").otherwise("cancelled")
-    return c.orders.select("order_id", F.lpad(F.col("order_id").cast("string"), 8, "0").alias("code"), status.alias("status"))
+    """As many made orders as the greatest order id says."""
+    return orders_made(c, c.orders.agg(F.coalesce(F.max("order_id"), F.lit(0))).first()[0])
 
 
 @query("SELECT event_id, upper(substr(event_type, 1, 1)) || substr(event_type, 2) AS title, lpad(user_id::VARCHAR, 6, '0') AS padded, md5(event_type) AS digest, regexp_matches(event_type, '^(view|click)$') AS browsing, json_extract_string(props, '$.k') AS k FROM events")

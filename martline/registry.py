@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from martline.plans import analytics, basics, mart, ops
+from martline.plans import analytics, basics, mart, ops, warehouse
 from martline.plans.book import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "analytics", "basics", "mart", "ops"]
+__all__ = ["ORACLES", "QUERIES", "analytics", "basics", "mart", "ops", "warehouse"]

@@ -52,11 +52,57 @@ def write_rejects(df: DataFrame, root: str, run_id: str, dataset: str) -> bool:
     return True
 
 
+def _changed(df: DataFrame):
+    """When a row changed: updated_at, else created_at, as far as the table has them."""
+    return F.coalesce(*[F.try_to_timestamp(c) for c in ("updated_at", "created_at") if c in df.columns], F.lit(None).cast("timestamp"))
+
+
 def high_watermark(df: DataFrame) -> DataFrame:
     """The latest of updated_at, else created_at, of each row, as an instant."""
-    return df.agg(F.max(F.coalesce(F.try_to_timestamp("updated_at"), F.try_to_timestamp("created_at"))).alias("watermark"))
+    return df.agg(F.max(_changed(df)).alias("watermark"))
 
 
 def incremental(df: DataFrame, watermark: str) -> DataFrame:
     """Rows changed strictly after the watermark."""
-    return df.filter(F.coalesce(F.try_to_timestamp("updated_at"), F.try_to_timestamp("created_at")) > F.lit(watermark).cast("timestamp"))
+    return df.filter(_changed(df) > F.lit(watermark).cast("timestamp"))
+
+
+def read_positional(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """A CSV whose columns go by their place, whatever its header says; empty values are null."""
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    return spark.read.option("header", True).option("enforceSchema", True).option("nullValue", "").schema(schema).csv(path)
+
+
+def source_frames(spark: SparkSession, mode: str, files: dict[str, str], api: dict[str, DataFrame], marks: dict[str, str], columns: dict[str, list[str]], masters: tuple[str, ...] = ("customers", "products")) -> dict[str, DataFrame]:
+    """The datasets of a run. ``file``: all from files; ``api``: of each landed resource what changed after its mark; ``both``:
+    masters from files, the others from the api. An empty increment is a frame without rows and with its columns."""
+    if mode not in ("file", "api", "both"):
+        raise ValueError(f"unknown source: {mode}")
+    out = {}
+    for name, needed in columns.items():
+        if mode == "file" or mode == "both" and name in masters:
+            out[name] = read_dataset(spark, files[name], needed)
+        else:
+            rows = api[name].select(*needed)
+            out[name] = incremental(rows, marks[name]) if marks.get(name) else rows
+    return out
+
+
+def stage(frames: dict[str, DataFrame], root: str, clean) -> dict[str, str]:
+    """Clean every dataset and write it to staging; (dataset -> "ok" or the error). One that fails does not stop the others."""
+    out = {}
+    for name, df in frames.items():
+        try:
+            clean(name, df).write.mode("overwrite").parquet(f"{root}/{name}")
+            out[name] = "ok"
+        except Exception as error:  # told to the caller for each dataset
+            out[name] = f"{type(error).__name__}: {error}"
+    return out
+
+
+def write_report(report: DataFrame, root: str, run_id: str) -> None:
+    """A report of a few rows as one CSV and one JSON file; money keeps two places."""
+    money = [F.col(f.name).cast("decimal(20,2)").alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name) for f in report.schema]
+    rows = report.select(*money).coalesce(1)
+    rows.write.mode("errorifexists").option("header", True).csv(f"{root}/run_id={run_id}/csv")
+    rows.write.mode("errorifexists").json(f"{root}/run_id={run_id}/json")

@@ -20,7 +20,7 @@ def test_normalize(spark):
         normalize(spark.createDataFrame([(1, 2)], ["A", "a "]))
 
 
-@pytest.mark.parametrize("value,bad", [("bad", True), ("a@@b.com", True), ("a@b", True), ("a b@c.com", True), ("a@b.c\nextra", True), ("a@b.co", False), (" ", False), (None, False)])
+@pytest.mark.parametrize("value,bad", [("nobody", True), ("one@@shop.org", True), ("one@shop", True), ("one two@shop.org", True), ("one@shop.org\nmore", True), ("a@b.co", False), (" ", False), (None, False)])
 def test_email(spark, value, bad):
     row = dq.tag(spark.createDataFrame([(value,)], "email string"), [dq.email("email")]).first()
     assert (row["error_code"] == "INVALID_EMAIL") is bad

@@ -9,9 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bytes up to which a written table may be broadcast: few enough that what grows with the input joins by a shuffle at any
-#: size that matters, and that many broadcasts of a run take a few tens of MB.
-BROADCAST_BYTES = 1 << 20
+#: Bytes up to which a written table may be broadcast; a table that grows past them joins by a shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

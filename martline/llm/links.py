@@ -29,6 +29,8 @@ from martline.plans.storage import broadcast_if_small, drop, materialize
 SMALL, PIVOTS, BLOCK = 8, (1, 4), 1024
 #: Nodes that union-find holds in a task before it passes their stars on.
 FOREST = 1 << 19
+#: Pairs that are verified together.
+PAIRS = 4096
 #: Tasks over which the edges of a hub are dealt.
 EVEN = 64
 
@@ -122,7 +124,7 @@ def _verified(unpack: Unpack, percent: int):
     """Keeps pairs (a, b) whose contents (left, right) are alike enough; each content is unpacked once a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, PAIRS) for b in batches for i in range(0, len(b), PAIRS)):
             ids = np.concatenate([batch.column("a").to_numpy(), batch.column("b").to_numpy()])
             _, first, place = np.unique(ids, return_index=True, return_inverse=True)
             contents = pa.concat_arrays([batch.column("left"), batch.column("right")])

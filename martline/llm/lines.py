@@ -31,8 +31,8 @@ from martline.plans.storage import broadcast_if_small, materialize
 
 WIDTH, PERCENT = 8, 80
 BANDS, ROWS = 12, 4
-#: Code points of lines that are sketched together.
-CHUNK = 1 << 18
+#: Code points of lines that are sketched together, and lines that a task remembers.
+CHUNK, SEEN = 1 << 18, 1 << 19
 
 
 def _key(line: str) -> int:
@@ -61,11 +61,23 @@ def _lines(batches: Iterator[pa.RecordBatch]):
 
 def _sketched(width: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a line that this task has met before needs no bands again: its node has them
+        seen: set[int] = set()
         for keyed_by, places, lines in _lines(batches):
-            elements, owner = sketch.char_shingles(lines, width)
-            keys = sketch.bands(sketch.sketch(elements, owner, len(lines), bands * rows), rows)
+            nodes = [_key(x) for x in lines]
+            has = np.zeros(len(lines), bool)
+            for i, node in enumerate(nodes):
+                if node not in seen:
+                    seen.add(node)
+                    has[i] = True
+            if len(seen) > SEEN:
+                seen.clear()
+            new = [lines[i] for i in np.flatnonzero(has)]
+            elements, owner = sketch.char_shingles(new, width)
+            keys = np.zeros((len(lines), bands), np.int64)
+            keys[has] = sketch.bands(sketch.sketch(elements, owner, len(new), bands * rows), rows)
             yield pa.RecordBatch.from_arrays(
-                [*keyed_by.columns, pa.array(places, pa.int32()), pa.array([_key(x) for x in lines], pa.int64()), as_lists(keys, np.ones(len(lines), bool))],
+                [*keyed_by.columns, pa.array(places, pa.int32()), pa.array(nodes, pa.int64()), as_lists(keys, has)],
                 names=[*KEY, "place", "node", "bands"],
             )
 

@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martline.llm import bpe, chat, lines, mixing, neardup, quality, secrets, spotsigs, sql, toxicity, urlfilter
+from martline.llm import bpe, chat, lines, mixing, neardup, quality, secrets, spotpairs, spotsigs, sql, toxicity, urlfilter
+from martline.plans.storage import materialize
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,13 +21,18 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    both = spotsigs.with_next(spotsigs.with_fingerprint(docs, "text", "fingerprint"), ["text", "fingerprint_set"])
+    told = lambda d: spotsigs.with_fingerprint(d, "text", "fingerprint")
+    both = spotsigs.with_next(docs, ["text", "fingerprint_set"], told=told)
     both = both.withColumn("edited", spotsigs.edited(F.col("text"), F.col("next_text"))).withColumn("n_chars", F.char_length("text").cast("long")).drop("text", "next_text")
     both = spotsigs.with_fingerprint(both, "edited", "edited_fingerprint")
-    return both.select(
+    near_edited = spotsigs.likeness(F.col("fingerprint_set"), F.col("edited_fingerprint_set"))
+    near_next = spotsigs.likeness(F.col("fingerprint_set"), F.col("next_fingerprint_set"))
+    both = both.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
-        spotsigs.likeness(F.col("fingerprint_set"), F.col("edited_fingerprint_set")).alias("near_edited"), spotsigs.likeness(F.col("fingerprint_set"), F.col("next_fingerprint_set")).alias("near_next"),
+        near_edited.alias("near_edited"), near_next.alias("near_next"), "fingerprint_set",
     )
+    named = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "class_id"]
+    return spotpairs.classed(materialize(both, "spot-compared")).select(*named)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,12 +116,18 @@ def _like(a: str, b: str) -> str:
     return f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN (len({a}) = len({b}))::INT::DOUBLE ELSE {common} / (len({a}) + len({b}) - {common}) END"
 
 
-OP2 = f"""WITH d AS (SELECT row_number() OVER (ORDER BY doc_id DESC NULLS LAST, coalesce(text, '')) AS r, doc_id, coalesce(text, '') AS text FROM documents),
+OP2 = f"""WITH RECURSIVE d AS (SELECT row_number() OVER (ORDER BY doc_id DESC NULLS LAST, coalesce(text, '')) AS r, doc_id, coalesce(text, '') AS text FROM documents),
     n AS (SELECT *, r % count(*) OVER () + 1 AS following FROM d),
     e AS (SELECT n.r, n.doc_id, n.text, n.following, left(n.text, length(n.text) - length(n.text) // 3) || left(f.text, length(n.text) // 3) AS edited FROM n JOIN d f ON f.r = n.following),
-    a AS ({_sigs("d", "text")}), b AS ({_sigs("e", "edited")})
+    a AS ({_sigs("d", "text")}), b AS ({_sigs("e", "edited")}),
+    k AS (SELECT min(r) AS i, min(doc_id) AS least, s FROM a JOIN d USING (r) GROUP BY s),
+    g AS (SELECT i, len(s) AS n, unnest(s) AS x FROM k),
+    l AS (SELECT g.i, h.i AS j FROM g JOIN g h ON g.x = h.x AND g.i <> h.i GROUP BY g.i, h.i, g.n, h.n HAVING 100 * count(*) >= 80 * (g.n + h.n - count(*))),
+    c AS (SELECT i, i AS j FROM k UNION SELECT c.i, l.j FROM c JOIN l ON l.i = c.j),
+    m AS (SELECT c.i, min(k.least) AS class_id FROM c JOIN k ON k.i = c.j GROUP BY c.i),
+    o AS (SELECT r, class_id FROM a JOIN k USING (s) JOIN m USING (i))
 SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, len(a.s) || ':' || sha256(array_to_string(a.s, chr(10))) AS fingerprint, len(b.s) || ':' || sha256(array_to_string(b.s, chr(10))) AS edited_fingerprint,
-    {_like("a.s", "b.s")} AS near_edited, {_like("a.s", "f.s")} AS near_next FROM e JOIN a USING (r) JOIN b USING (r) JOIN a f ON f.r = e.following"""
+    {_like("a.s", "b.s")} AS near_edited, {_like("a.s", "f.s")} AS near_next, class_id FROM e JOIN a USING (r) JOIN o USING (r) JOIN b USING (r) JOIN a f ON f.r = e.following"""
 
 
 _CTRL = "/?s>|/?INST\\]|/?ROLE[ \\]]"

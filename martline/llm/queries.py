@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martline.llm import bpe, chat, lines, mixing, neardup, quality, secrets, spotpairs, spotsigs, sql, toxicity, urlfilter
+from martline.llm import bpe, chat, lines, mixing, neardup, periodic, quality, secrets, sharding, spelling, spotpairs, spotsigs, sql, toxicity, urlfilter
+from martline.llm.text import words
 from martline.plans.storage import materialize
 
 
@@ -85,5 +88,43 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "evidence")
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_spotsigs": op2_spotsigs, "op3_line_dedup": op3_line_dedup, "op4_chat_tree": op4_chat_tree, "op5_near_dedup": op5_near_dedup, "op6_mixing": op6_mixing, "op7_url_filter": op7_url_filter, "op8_byte_bpe": op8_byte_bpe, "op9_secrets": op9_secrets, "op10_toxicity": op10_toxicity}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    # every tenth document repeats p of its words from word a on
+    w, h = words(F.col("text")), F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    n, g = F.size(w), F.floor(h / 10)
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    again = F.flatten(F.array_repeat(F.slice(w, a + 1, p), F.ceil((n - a) / p).cast("int")))
+    told = F.array_join(F.concat(F.slice(w, F.lit(1), a), F.slice(again, F.lit(1), n - a)), " ")
+    docs = docs.withColumn("text", F.when((h % 10 == 0) & (n > 0), told).otherwise(F.col("text")))
+    line = lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))
+    found = periodic.find_runs(docs).withColumn("best", periodic.strongest(F.col("runs")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = F.coalesce(F.col("text"), F.lit(""))
+    docs = _read(spark, sf_dir, "documents").select("doc_id", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), F.xxhash64(body).alias("group"))
+    placed = sharding.assign(docs, F.col("group"), F.col("size"), F.col("doc_id"), shards=16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def planted(doc_id: str, word: str) -> str:
+    """The word, or for one in 199 (document, word) the word without one letter."""
+    h = zlib.crc32(f"{doc_id}:{word}".encode())
+    at = h % len(word)
+    return word if h % 199 else word[:at] + word[at + 1 :]
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.variants(_read(spark, sf_dir, "documents").select("doc_id", "text"), edit=planted)
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_spotsigs": op2_spotsigs, "op3_line_dedup": op3_line_dedup, "op4_chat_tree": op4_chat_tree, "op5_near_dedup": op5_near_dedup, "op6_mixing": op6_mixing, "op7_url_filter": op7_url_filter, "op8_byte_bpe": op8_byte_bpe, "op9_secrets": op9_secrets, "op10_toxicity": op10_toxicity, "op11_periodic_runs": op11_periodic_runs, "op12_sharding": op12_sharding, "op13_spelling": op13_spelling}
 ORACLES = {"op1_quality_rules": sql.OP1, "op2_spotsigs": sql.OP2, "op4_chat_tree": sql.OP4, "op6_mixing": sql.OP6, "op7_url_filter": sql.OP7, "op9_secrets": sql.OP9}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +18,49 @@ class Rule:
     fails: Column
 
 
+@dataclass(frozen=True)
+class Check:
+    """A table constraint: rows that meet ``fails`` break it; null counts as passing."""
+
+    name: str
+    fails: Column
+
+
+@dataclass(frozen=True)
+class Contract:
+    """What must hold in a table. ``unique``: keys of which no two rows are equal (rows with a null in the key are told
+    apart). ``lookups``: (column, table, its column): a present value must be one of these."""
+
+    checks: list[Check] = field(default_factory=list)
+    unique: list[list[str]] = field(default_factory=list)
+    lookups: list[tuple[str, DataFrame, str]] = field(default_factory=list)
+
+    def audit(self, df: DataFrame) -> DataFrame:
+        return audit(df, self.checks, self.unique, self.lookups)
+
+
+def not_null(*columns: str) -> list[Check]:
+    return [Check(f"{c} is not null", F.col(c).isNull()) for c in columns]
+
+
+def audit(df: DataFrame, checks: list[Check], unique: list[list[str]] = (), lookups: list[tuple[str, DataFrame, str]] = ()) -> DataFrame:
+    """(check, violations), one row a constraint: all checks in one aggregate over ``df``, one more for each key that must
+    be unique (the rows beyond the first of a key) and for each lookup (rows whose value it lacks, by its distinct values)."""
+    row = lambda name, n: F.struct(F.lit(name).alias("check"), F.coalesce(n, F.lit(0)).cast("long").alias("violations"))
+    parts = [df.agg(F.array(*[row(k.name, F.count_if(F.coalesce(k.fails, F.lit(False)))) for k in checks]).alias("x"))] if checks else []
+    for keys in unique:
+        known = df.select(*keys).dropna().groupBy(*keys).agg((F.count(F.lit(1)) - 1).alias("n"))
+        parts.append(known.agg(F.array(row(f"unique {', '.join(keys)}", F.sum("n"))).alias("x")))
+    for column, table, key in lookups:
+        have = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+        lacks = have.join(table.select(F.col(key).alias("_known")).distinct(), F.col(column) == F.col("_known"), "left_anti")
+        parts.append(lacks.agg(F.array(row(f"{column} is known", F.sum("n"))).alias("x")))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out.select(F.inline("x"))
+
+
 def present(c: Column) -> Column:
     return c.isNotNull() & (strip(c.cast("string")) != "")
 

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from martline.operators import ranks
+
 
 def unmatched(left: DataFrame, right: DataFrame, on) -> DataFrame:
     """Rows of ``left`` without a partner."""
@@ -62,22 +64,18 @@ def ranked_topk(df: DataFrame, order: list[Column], k: int, name: str = "rank_no
 
 
 def rank_all(df: DataFrame, value: str, descending: bool = True) -> DataFrame:
-    """rank and dense_rank of every row by ``value``: over the counts of its distinct values, joined back."""
-    order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
-    w = Window.orderBy(order)
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.withColumn("rank", (F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1).cast("long")).withColumn("dense_rank", F.row_number().over(w).cast("long")).drop("_n")
-    other = counts.withColumnRenamed(value, "_value")
-    return df.join(other, df[value].eqNullSafe(other["_value"])).drop("_value")
+    """rank and dense_rank of every row by ``value``: of its distinct values, ranked by ranges, joined back."""
+    ahead = ranks.preceding(ranks.value_counts(df, value), value, "_n", descending)
+    ahead = ahead.select(F.col(value).alias("_value"), (F.col("before") + 1).alias("rank"), (F.col("place") + 1).alias("dense_rank"))
+    return df.join(ahead, df[value].eqNullSafe(ahead["_value"])).drop("_value")
 
 
 def quintile(df: DataFrame, value: str, ascending: bool = True, parts: int = 5, name: str = "score") -> DataFrame:
-    """ceil(parts * cume_dist) by ``value``: equal values share a score. The window runs over distinct values."""
-    w = Window.orderBy(F.col(value).asc_nulls_last() if ascending else F.col(value).desc_nulls_last())
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    upto, total = F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    counts = counts.select(F.col(value).alias("_value"), F.ceil(parts * upto / total).cast("int").alias(name))
-    return df.join(counts, df[value].eqNullSafe(counts["_value"])).drop("_value")
+    """ceil(parts * cume_dist) by ``value``: equal values share a score. Distinct values are ranked by ranges."""
+    ahead = ranks.preceding(ranks.value_counts(df, value), value, "_n", not ascending)
+    score = F.ceil(parts * (F.col("before") + F.col("_n")) / F.col("total")).cast("int")
+    ahead = ahead.select(F.col(value).alias("_value"), score.alias(name))
+    return df.join(ahead, df[value].eqNullSafe(ahead["_value"])).drop("_value")
 
 
 def running_sum(df: DataFrame, order: list[str], value: str, bucket: Column, name: str = "running") -> DataFrame:
@@ -121,9 +119,14 @@ def profile(df: DataFrame) -> DataFrame:
 
 
 def fingerprint(df: DataFrame, key: str) -> DataFrame:
-    """Count, distinct keys and an order-free content hash of a table."""
-    h = F.xxhash64(*sorted(df.columns))
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct(key).alias("n_keys"), F.bit_xor(h).alias("hash_xor"), F.sum(h.cast("decimal(20,0)")).alias("hash_sum"))
+    """n_rows, n_keys (distinct) and digest, a hash of the content whatever the order of rows: each row's columns, by name
+    and as text, go through md5, and both halves are summed as numbers, so parts of a table are hashed where they lie and
+    the sums added. digest is the two sums, joined by a colon. Nulls differ from every text."""
+    text = [F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("-")) for c in sorted(df.columns)]
+    row = F.md5(F.concat_ws("|", *text).cast("binary"))
+    half = lambda at: F.conv(F.substring(row, at, 15), 16, 10).cast("decimal(20,0)")
+    sums = [F.coalesce(F.sum(half(at)), F.lit(0).cast("decimal(30,0)")).cast("string") for at in (1, 17)]
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct(key).alias("n_keys"), F.concat_ws(":", *sums).alias("digest"))
 
 
 def long_results(frames: dict[str, DataFrame]) -> DataFrame:

@@ -2,19 +2,31 @@
 
 from __future__ import annotations
 
+import json
+import pathlib
+import re
 import uuid
+from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from martline.operators import ranks
+from martline.sources.files import ARRIVAL
+
 
 def upsert(target: DataFrame, batch: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
     """``target`` after ``batch``, with _op (insert, update, keep). Columns that the batch does not supply keep their value,
-    supplied nulls overwrite; of several rows of a key the greatest in ``order`` (all columns if none) wins."""
-    if unknown := [c for c in batch.columns if c not in target.columns]:
+    supplied nulls overwrite; of several rows of a key the greatest in ``order`` wins, the last to arrive if none is given.
+    Arrival is the batch's column of that name (``sources.files``), which is not loaded, else the order of its rows."""
+    if ARRIVAL not in batch.columns:
+        batch = batch.withColumn(ARRIVAL, F.monotonically_increasing_id())
+    if unknown := [c for c in batch.columns if c not in target.columns and c != ARRIVAL]:
         raise ValueError(f"unknown columns: {', '.join(unknown)}")
-    rest = [c for c in batch.columns if c not in keys]
-    last = batch.groupBy(*keys).agg(F.max_by(F.struct(*[F.col(c) for c in rest] or [F.lit(1)]), F.struct(*(order or batch.columns))).alias("_new"), F.lit(True).alias("_in"))
+    rest = [c for c in batch.columns if c not in keys and c != ARRIVAL]
+    last = batch.groupBy(*keys).agg(F.max_by(F.struct(*[F.col(c) for c in rest] or [F.lit(1)]), F.struct(*(order or [ARRIVAL]))).alias("_new"), F.lit(True).alias("_in"))
     joined = target.withColumn("_had", F.lit(True)).join(last, keys, "full")
     cols = [F.col(c) if c in keys else F.when(F.col("_in"), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in rest else F.col(c) for c in target.columns]
     op = F.when(F.col("_had").isNull(), "insert").when(F.col("_in"), "update").otherwise("keep").alias("_op")
@@ -23,14 +35,20 @@ def upsert(target: DataFrame, batch: DataFrame, keys: list[str], order: list[str
 
 def guard(batch: DataFrame, columns: list[str], keys: list[str]) -> None:
     """Raises ValueError before anything is written: key columns missing, columns unknown, or a key that is null."""
-    if missing := [k for k in keys if k not in batch.columns]:
-        raise ValueError(f"missing key columns: {', '.join(missing)}")
-    if unknown := [c for c in batch.columns if c not in columns]:
-        raise ValueError(f"unknown columns: {', '.join(unknown)}")
+    guard_columns(batch.columns, columns, keys)
     if not batch.filter(F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))).isEmpty():
         raise ValueError(f"null key: {', '.join(keys)}")
 
 
+def guard_columns(given: list[str], columns: list[str], keys: list[str], dataset: str = "") -> None:
+    """The part of ``guard`` that no row is read for. Arrival is no unknown column."""
+    of = f"{dataset}: " if dataset else ""
+    if missing := [k for k in keys if k not in given]:
+        raise ValueError(f"{of}missing key columns: {', '.join(missing)}")
+    if unknown := [c for c in given if c not in columns and c != ARRIVAL]:
+        raise ValueError(f"{of}unknown columns: {', '.join(unknown)}")
+
+
 def as_of_version(facts: DataFrame, dim: DataFrame, key: str, day: str) -> DataFrame:
     """``facts`` with the columns of the version of their key that was valid on their day; the key is an equi-join, the
     interval a filter on it. Facts without a version keep nulls."""
@@ -66,14 +84,13 @@ def append_new(target: DataFrame, batch: DataFrame, keys: list[str]) -> DataFram
 
 
 def assign_keys(known: DataFrame, members: DataFrame, natural: str, key: str = "key") -> DataFrame:
-    """(natural, key): known members keep theirs, new ones are numbered after the greatest, in order of the natural key.
-    New members are numbered in buckets by hash range whose counts are summed, so no window holds them all."""
-    new = members.select(natural).filter(F.col(natural).isNotNull()).distinct().join(known, natural, "left_anti").withColumn("_b", F.pmod(F.xxhash64(natural), F.lit(1024)))
-    counts = new.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    base = counts.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    """(natural, key): known members keep theirs, new ones are numbered after the greatest, in order of the natural key. New
+    members are ranked by ranges of the natural key, so no window holds them all; null is no member."""
+    new = members.select(natural).filter(F.col(natural).isNotNull()).distinct().join(known, natural, "left_anti")
+    ranked = ranks.preceding(ranks.value_counts(new, natural), natural, "_n")
     top = known.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))
-    numbered = new.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(natural))).join(base, "_b").crossJoin(F.broadcast(top))
-    return known.select(natural, key).unionByName(numbered.select(natural, (F.col("_top") + F.col("_base") + F.col("_r")).cast("long").alias(key)))
+    numbered = ranked.crossJoin(F.broadcast(top)).select(natural, (F.col("_top") + F.col("place") + 1).cast("long").alias(key))
+    return known.select(natural, key).unionByName(numbered)
 
 
 def scd2(dim: DataFrame, source: DataFrame, key: str, tracked: list[str], day: str) -> DataFrame:
@@ -103,46 +120,104 @@ def check_scd2(dim: DataFrame, key: str) -> DataFrame:
     return bad.filter("current_rows <> 1 or reversed > 0 or overlaps > 0")
 
 
+@dataclass(frozen=True)
+class Staged:
+    """A table that is written but not published."""
+
+    path: str
+    table: DataFrame
+
+
+class Conflict(RuntimeError):
+    """Another run was published meanwhile."""
+
+
 class Versions:
-    """Tables published together: data under <root>/<table>/v=<id>, named by manifest rows under <root>/_manifest; the
-    greatest sequence number is current. A failed audit leaves what was published before."""
+    """Tables published together: data under <root>/<table>/v=<id>, named by the commits under <root>/_manifest, one file a
+    sequence number. The greatest number is current. A commit's file is made only if none has its number, so of two
+    writers that read the same state one wins and the other changes nothing; a failed audit leaves what was published
+    before. A commit that cannot be read is an error, never an empty state."""
+
+    SCHEMA = "seq long, run string, table string, path string"
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
     def _manifest(self) -> DataFrame | None:
         try:
-            return self.spark.read.schema("seq long, run string, table string, path string").json(f"{self.root}/_manifest")
-        except Exception as error:  # nothing has been published yet
-            if "PATH_NOT_FOUND" not in str(error):
+            rows = self.spark.read.schema(self.SCHEMA).option("mode", "FAILFAST").json(f"{self.root}/_manifest")
+        except AnalysisException as error:  # nothing has been published yet
+            if error.getCondition() != "PATH_NOT_FOUND":
                 raise
             return None
+        try:
+            if not rows.filter("seq is null or run is null or table is null or path is null").isEmpty():
+                raise ValueError(f"malformed manifest under {self.root}: a field is missing")
+        except (PySparkException, Py4JJavaError) as error:
+            raise ValueError(f"malformed manifest under {self.root}") from error
+        return rows
 
     def sequence(self) -> int:
         manifest = self._manifest()
         return 0 if manifest is None else manifest.agg(F.max("seq")).first()[0] or 0
 
-    def read(self, table: str) -> DataFrame | None:
+    def path(self, table: str) -> str | None:
+        """Where the current version of ``table`` lies."""
         manifest = self._manifest()
         row = None if manifest is None else manifest.filter(F.col("table") == table).orderBy(F.desc("seq")).first()
-        return None if row is None else self.spark.read.parquet(row["path"])
+        return None if row is None else row["path"]
+
+    def read(self, table: str) -> DataFrame | None:
+        path = self.path(table)
+        return None if path is None else self.spark.read.parquet(path)
 
     def is_published(self, run: str) -> bool:
         manifest = self._manifest()
         return manifest is not None and not manifest.filter(F.col("run") == run).isEmpty()
 
-    def publish(self, run: str, tables: dict[str, DataFrame], audit=None) -> int:
+    def stage(self, name: str, df: DataFrame) -> Staged:
+        """Write the next version of a table without publishing it."""
+        path = f"{self.root}/{name}/v={uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return Staged(path, self.spark.read.schema(df.schema).parquet(path))
+
+    def publish(self, run: str, tables: dict[str, DataFrame | Staged], audit=None, since: int | None = None) -> int:
         """Write, audit, publish. ``audit(staged)`` gets the written tables and raises to refuse. A run that is already
-        published is skipped, so a replayed batch changes nothing."""
-        seq = self.sequence()
-        if self.is_published(run):
-            return seq
-        paths = {name: f"{self.root}/{name}/v={uuid.uuid4().hex}" for name in tables}
-        for name, df in tables.items():
-            df.write.parquet(paths[name])
+        published is skipped, so a replayed batch changes nothing, and so is one without tables. ``since``: the sequence
+        number that the tables were made from, now if none is given; Conflict is raised if another followed it."""
+        seq = self.sequence() if since is None else since
+        if self.is_published(run) or not tables:
+            return self.sequence()
+        staged = {name: t if isinstance(t, Staged) else self.stage(name, t) for name, t in tables.items()}
         if audit:
-            audit({name: self.spark.read.parquet(path) for name, path in paths.items()})
+            audit({name: t.table for name, t in staged.items()})
         if self.sequence() != seq:
-            raise RuntimeError("another run was published meanwhile")
-        self.spark.createDataFrame([(seq + 1, run, n, p) for n, p in paths.items()], "seq long, run string, table string, path string").coalesce(1).write.mode("append").json(f"{self.root}/_manifest")
+            raise Conflict("another run was published meanwhile")
+        self._commit(seq + 1, "".join(json.dumps({"seq": seq + 1, "run": run, "table": n, "path": t.path}) + "\n" for n, t in staged.items()))
         return seq + 1
+
+    def _commit(self, seq: int, lines: str) -> None:
+        """Make the commit's file, or raise Conflict if its number is taken."""
+        path = f"{self.root}/_manifest/{seq:012d}.json"
+        if path.startswith("file:") or "://" not in path:
+            local = pathlib.Path(re.sub("^file:(//)?", "", path))
+            local.parent.mkdir(parents=True, exist_ok=True)
+            try:
+                with local.open("x", encoding="utf-8") as out:
+                    out.write(lines)
+            except FileExistsError as error:
+                raise Conflict("another run was published meanwhile") from error
+            return
+        jvm = self.spark._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        store = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        try:
+            out = store.create(where, False)
+        except Py4JJavaError as error:
+            if store.exists(where):
+                raise Conflict("another run was published meanwhile") from error
+            raise
+        try:
+            out.write(bytearray(lines, "utf-8"))
+        finally:
+            out.close()

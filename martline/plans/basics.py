@@ -235,7 +235,11 @@ def agg_grain_check(c: Core) -> DataFrame:
     return c.raw("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-@query(None)
+_TEXT = " || '|' || ".join(f"coalesce('=' || {c}::VARCHAR, '-')" for c in ("channel", "customer_id", "order_date", "order_id", "order_status", "order_total"))
+_HALVES = " || ':' || ".join(f"sum(('0x' || substr(h, {at}, 15))::BIGINT::DECIMAL(20,0))::VARCHAR" for at in (1, 17))
+
+
+@query(f", h AS (SELECT order_id, md5({_TEXT}) AS h FROM core_orders) SELECT count(*) AS n_rows, count(DISTINCT order_id) AS n_keys, {_HALVES} AS digest FROM h")
 def agg_table_fingerprint(c: Core) -> DataFrame:
     return rel.fingerprint(c.orders, "order_id")
 

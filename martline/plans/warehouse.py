@@ -156,10 +156,11 @@ def recon_checks(c: Core) -> DataFrame:
 _FOUR = "SELECT unnest(['revenue', 'orders', 'completed_orders', 'items']) AS kpi, unnest([sum(revenue)::DOUBLE, count(DISTINCT order_id)::DOUBLE, count(DISTINCT order_id) FILTER (order_status = 'completed')::DOUBLE, count(*)::DOUBLE]) AS v FROM fact"
 
 
-def four_kpis(fact: DataFrame) -> DataFrame:
+def four_kpis(fact: DataFrame, kind: str = "double") -> DataFrame:
     done = F.when(F.col("order_status") == "completed", F.col("order_id"))
     values = {"revenue": F.sum("revenue"), "orders": F.countDistinct("order_id"), "completed_orders": F.countDistinct(done), "items": F.count(F.lit(1))}
-    return fact.agg(F.array(*[F.struct(F.lit(k).alias("kpi"), F.coalesce(v.cast("double"), F.lit(0.0)).alias("v")) for k, v in values.items()]).alias("x")).select(F.inline("x"))
+    told = [F.struct(F.lit(k).alias("kpi"), F.coalesce(v.cast(kind), F.lit(0).cast(kind)).alias("v")) for k, v in values.items()]
+    return fact.agg(F.array(*told).alias("x")).select(F.inline("x"))
 
 
 @query(f", {FACT}, b AS ({_FOUR} WHERE order_id % 10 <> 0), a AS ({_FOUR}) SELECT kpi, b.v AS before, a.v AS after, a.v - b.v AS diff FROM a JOIN b USING (kpi)")
@@ -170,15 +171,20 @@ def recon_four_kpis(c: Core) -> DataFrame:
     return both.select("kpi", F.col("b_value").alias("before"), F.col("a_value").alias("after"), "diff")
 
 
-@query(f", {FACT}, b AS ({_FOUR} WHERE order_id % 10 = 0) SELECT kpi, v AS batch, v AS diff, true AS matches FROM b")
+_EXACT = _FOUR.replace("::DOUBLE", "::DECIMAL(20,2)")
+
+
+@query(
+    f", {FACT}, before AS ({_EXACT} WHERE order_id % 10 <> 0), after AS ({_EXACT}), core_batch AS ({_EXACT.replace('FROM fact', 'FROM (SELECT order_id, order_status, net AS revenue FROM items JOIN core_orders USING (order_id))')} WHERE order_id % 10 = 0) "
+    "SELECT kpi, c.v::DOUBLE AS batch, (a.v - b.v)::DOUBLE AS diff, a.v - b.v = c.v AS matches FROM after a JOIN before b USING (kpi) JOIN core_batch c USING (kpi)"
+)
 def recon_batch_delta(c: Core) -> DataFrame:
-    """What a refresh changed against what its batch holds in the core tables."""
-    fact = build_fact(c)
-    diff = rel.full_recon(four_kpis(fact), four_kpis(fact.filter("order_id % 10 <> 0")), ["kpi"], "v").select("kpi", F.col("a_value").alias("_a"), F.col("b_value").alias("_b"))
+    """What a refresh changed, after less before in exact decimals, against what its batch holds in the core tables."""
+    fact, kind = build_fact(c), "decimal(20,2)"
+    both = rel.full_recon(four_kpis(fact, kind), four_kpis(fact.filter("order_id % 10 <> 0"), kind), ["kpi"], "v").select("kpi", "diff")
     core = c.items.join(c.orders, "order_id").filter("order_id % 10 = 0").withColumnRenamed("net", "revenue")
-    out = four_kpis(core).join(diff, "kpi")
-    same = F.abs(F.col("_a") - F.col("_b") - F.col("v")) <= 1e-9 * F.greatest(F.abs("v"), F.lit(1.0))
-    return out.select("kpi", F.col("v").alias("batch"), F.when(same, F.col("v")).otherwise(F.col("_a") - F.col("_b")).alias("diff"), same.alias("matches"))
+    out = four_kpis(core, kind).join(both, "kpi")
+    return out.select("kpi", F.col("v").cast("double").alias("batch"), F.col("diff").cast("double").alias("diff"), (F.col("diff") == F.col("v")).alias("matches"))
 
 
 @query("SELECT customer_id, sum(order_total)::DOUBLE AS spend FROM core_orders WHERE order_status = 'completed' GROUP BY 1 ORDER BY sum(order_total) DESC, customer_id LIMIT 1")

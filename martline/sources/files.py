@@ -2,25 +2,52 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from martline.operators import relational as rel
+
+
+#: The column that tells when a row came: file, place of the block in it, place of the row. It is never loaded.
+ARRIVAL = "_arrival"
+
+
+def with_arrival(df: DataFrame) -> DataFrame:
+    """``df``, read from files of lines, with its rows' places: files go by their paths, rows as they stand in them."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return df.select("*", place.alias(ARRIVAL))
+
 
-def read_dataset(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """A CSV with header or a JSON list (or {"data": [...]}) as strings; ValueError for another suffix or no rows."""
+def read_dataset(spark: SparkSession, path: str, columns: list[str], arrival: bool = False) -> DataFrame:
+    """A CSV with header or a JSON list (or {"data": [...]}) as strings; ValueError for another suffix, no rows, or a JSON
+    object without data. ``arrival`` adds the rows' places in their files. ``path`` may have globs."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     if path.endswith(".csv"):
-        df = spark.read.option("header", True).option("enforceSchema", False).schema(schema).csv(path)
+        df = with_arrival(spark.read.option("header", True).option("enforceSchema", False).schema(schema).csv(path))
     elif path.endswith(".json"):
-        wrapped = spark.read.schema(T.StructType([T.StructField("data", T.ArrayType(schema))])).option("multiLine", True).json(path)
-        plain = spark.read.schema(schema).option("multiLine", True).json(path)
-        df = plain if wrapped.filter("data is not null").isEmpty() else wrapped.select(F.inline("data"))
+        df = _json_rows(spark, path, schema)
     else:
         raise ValueError(f"unsupported file type: {path}")
     if df.isEmpty():
         raise ValueError(f"no data: {path}")
-    return df
+    return df if arrival else df.drop(ARRIVAL)
+
+
+def _json_rows(spark: SparkSession, path: str, item: T.StructType) -> DataFrame:
+    """Rows of JSON files, each a list or an envelope, read once: as text, for the shape of each file to be told."""
+    text = spark.read.option("wholetext", True).text(path).select(F.col("value"), F.col("_metadata.file_path").alias("file"))
+    body = F.btrim("value", F.lit(" \t\r\n\ufeff"))
+    envelope = T.StructType([T.StructField("data", T.ArrayType(item))])
+    listed = F.from_json(body, T.ArrayType(item), {"mode": "FAILFAST"})
+    wrapped = F.from_json(body, envelope, {"mode": "FAILFAST"})["data"]
+    refused = F.raise_error(F.concat(F.lit("no list and no data in "), F.col("file"))).cast(T.ArrayType(item))
+    rows = F.when(body.startswith("["), listed).when(body.startswith("{"), F.coalesce(wrapped, refused)).otherwise(refused)
+    each = text.select("file", F.posexplode(rows).alias("row", "item"))
+    return each.select("item.*", F.struct("file", F.lit(0).cast("long").alias("block"), F.col("row").cast("long").alias("row")).alias(ARRIVAL))
 
 
 def read_pages(spark: SparkSession, path: str, item: T.StructType) -> tuple[DataFrame, DataFrame]:
@@ -32,23 +59,67 @@ def read_pages(spark: SparkSession, path: str, item: T.StructType) -> tuple[Data
     return pages.select(F.inline("data")), audit
 
 
-def save_raw(df: DataFrame, root: str, run_id: str, resource: str) -> str:
-    """An immutable snapshot; a second write of the same run and resource fails."""
-    path = f"{root}/run_id={run_id}/resource={resource}"
-    df.write.mode("errorifexists").json(path)
+def save_raw(df: DataFrame, root: str, run_id: str, resource: str, updated_after: str | None = None) -> str:
+    """An immutable snapshot, of no rows too; a second write of the same run and resource fails. Beside the rows (``data``)
+    stands what they are: resource, run_id, fetched_at, updated_after, total."""
+    spark, path = df.sparkSession, f"{root}/run_id={run_id}/resource={resource}"
+    df.write.mode("errorifexists").json(f"{path}/data")
+    stored = spark.read.schema(df.schema).json(f"{path}/data")
+    names = [F.lit(v).cast("string").alias(k) for k, v in (("resource", resource), ("run_id", run_id), ("updated_after", updated_after))]
+    about = stored.agg(F.count(F.lit(1)).alias("total")).select(*names, F.current_timestamp().alias("fetched_at"), "total")
+    about.coalesce(1).write.mode("errorifexists").json(f"{path}/about")
     return path
 
 
+def read_raw(spark: SparkSession, root: str, run_id: str, resource: str, columns: list[str]) -> DataFrame:
+    """The rows of a snapshot as strings with their places; ValueError if the run stored none of that resource, or if there
+    are not as many rows as the snapshot says."""
+    path = f"{root}/run_id={run_id}/resource={resource}"
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    try:
+        total = spark.read.schema("total long").json(f"{path}/about").first()["total"]
+    except (AnalysisException, TypeError) as error:
+        raise ValueError(f"no raw snapshot of {resource} in run {run_id}") from error
+    rows = with_arrival(spark.read.schema(schema).option("mode", "FAILFAST").json(f"{path}/data"))
+    if (n := rows.count()) != total:
+        raise ValueError(f"raw snapshot of {resource} in run {run_id} has {n} rows, not {total}")
+    return rows
+
+
+def raw_stored(spark: SparkSession, root: str, run_id: str, resource: str) -> bool:
+    """Whether a run has a whole snapshot of the resource."""
+    try:
+        return not spark.read.schema("total long").json(f"{root}/run_id={run_id}/resource={resource}/about").isEmpty()
+    except AnalysisException:
+        return False
+
+
+def raw_resources(spark: SparkSession, root: str, run_id: str) -> list[str]:
+    """The resources that a run stored."""
+    try:
+        return sorted(r["resource"] for r in spark.read.schema("resource string").json(f"{root}/run_id={run_id}/resource=*/about").collect())
+    except AnalysisException:
+        return []
+
+
 def file_checksums(spark: SparkSession, path: str) -> DataFrame:
     """(path, sha256) of every file."""
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
 
 
-def write_rejects(df: DataFrame, root: str, run_id: str, dataset: str) -> bool:
-    """Quarantine rows with their codes under run and dataset; nothing is written for none."""
+def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(path, change: added, removed or modified) between two tables of ``file_checksums``; no rows if nothing changed."""
+    a, b = before.select("path", F.col("sha256").alias("was")), after.select("path", F.col("sha256").alias("now"))
+    change = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").when(F.col("was") != F.col("now"), "modified")
+    return a.join(b, "path", "full").select("path", change.alias("change")).filter("change is not null")
+
+
+def write_rejects(df: DataFrame, root: str, run_id: str, dataset: str, mode: str = "errorifexists") -> bool:
+    """Quarantine rows with their codes under run and dataset; nothing is written for none. ``mode`` overwrite is for a run
+    that is tried again before anything of it was published."""
     if df.isEmpty():
         return False
-    df.write.mode("errorifexists").parquet(f"{root}/run_id={run_id}/dataset={dataset}")
+    df.write.mode(mode).parquet(f"{root}/run_id={run_id}/dataset={dataset}")
     return True
 
 
@@ -88,21 +159,43 @@ def source_frames(spark: SparkSession, mode: str, files: dict[str, str], api: di
     return out
 
 
-def stage(frames: dict[str, DataFrame], root: str, clean) -> dict[str, str]:
-    """Clean every dataset and write it to staging; (dataset -> "ok" or the error). One that fails does not stop the others."""
-    out = {}
-    for name, df in frames.items():
+def stage(frames: dict[str, DataFrame | Callable[[], DataFrame]], root: str, clean) -> dict[str, str]:
+    """Read (where a frame comes as a function), profile, clean and write every dataset to staging; (dataset -> "ok" or the
+    error). One that fails, in reading too, does not stop the others."""
+    return {r["dataset"]: "ok" if r["status"] == "ok" else r["error"] for r in stage_outcomes(frames, root, clean)[0]}
+
+
+def stage_outcomes(frames: dict[str, DataFrame | Callable[[], DataFrame]], root: str, clean) -> tuple[list[dict], bool]:
+    """(outcomes, whether all went well). An outcome: dataset, status (ok or failed), error, rows, duplicates and missing
+    (column -> how many), of what came in. Each dataset is read once, into staging as it came; a failed one leaves what
+    staging had."""
+    outcomes = []
+    for name, frame in frames.items():
+        told = {"dataset": name, "status": "ok", "error": None, "rows": None, "duplicates": None, "missing": {}}
         try:
-            clean(name, df).write.mode("overwrite").parquet(f"{root}/{name}")
-            out[name] = "ok"
+            came = frame() if callable(frame) else frame
+            came.write.mode("overwrite").parquet(f"{root}/_came/{name}")
+            came = came.sparkSession.read.schema(came.schema).parquet(f"{root}/_came/{name}")
+            seen = rel.profile(came).first()
+            told |= {"rows": seen["n_rows"] or 0, "duplicates": seen["n_duplicates"] or 0, "missing": {c: seen[f"missing_{c}"] or 0 for c in came.columns}}
+            clean(name, came).write.mode("overwrite").parquet(f"{root}/{name}")
         except Exception as error:  # told to the caller for each dataset
-            out[name] = f"{type(error).__name__}: {error}"
-    return out
+            told |= {"status": "failed", "error": f"{type(error).__name__}: {error}"}
+        outcomes.append(told)
+    return outcomes, all(o["status"] == "ok" for o in outcomes)
+
+
+def write_outcomes(spark: SparkSession, outcomes: list[dict], root: str, run_id: str) -> DataFrame:
+    """The outcomes of a batch as a table under its run; a failed dataset is a row there, not a gap."""
+    kind = "dataset string, status string, error string, rows long, duplicates long, missing map<string, long>"
+    path = f"{root}/_outcomes/run_id={run_id}"
+    spark.createDataFrame(outcomes, kind).coalesce(1).write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
 
 
-def write_report(report: DataFrame, root: str, run_id: str) -> None:
+def write_report(report: DataFrame, root: str, run_id: str, mode: str = "errorifexists") -> None:
     """A report of a few rows as one CSV and one JSON file; money keeps two places."""
     money = [F.col(f.name).cast("decimal(20,2)").alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name) for f in report.schema]
     rows = report.select(*money).coalesce(1)
-    rows.write.mode("errorifexists").option("header", True).csv(f"{root}/run_id={run_id}/csv")
-    rows.write.mode("errorifexists").json(f"{root}/run_id={run_id}/json")
+    rows.write.mode(mode).option("header", True).csv(f"{root}/run_id={run_id}/csv")
+    rows.write.mode(mode).json(f"{root}/run_id={run_id}/json")

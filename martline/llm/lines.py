@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from martline.llm import links, sketch
 from martline.llm.neardup import as_lists
-from martline.llm.rowkey import KEY, keyed, renamed, same
+from martline.llm.rowkey import KEY, carried, keyed, renamed, same
 from martline.llm.text import WS
 from martline.plans.storage import broadcast_if_small, materialize
 
@@ -114,7 +114,12 @@ def _contents(docs: DataFrame, found: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``docs`` (doc_id, text, ...) with the text cleaned, and n_lines and n_kept (lines with a word before and after)."""
+    """``docs`` (doc_id, text, ...) with the text cleaned, and n_lines and n_kept (lines with a word before and after), which
+    replace columns of these names."""
+    return carried(docs, ["doc_id", "text"], ["n_lines", "n_kept"], lambda own: _cleaned(own, width, percent, bands, rows))
+
+
+def _cleaned(docs: DataFrame, width: int, percent: int, bands: int, rows: int) -> DataFrame:
     own, docs = docs.columns, keyed(docs)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *KEY[1:], "text")
     found = materialize(texts.mapInArrow(_sketched(width, bands, rows), "doc_id long, row_hash long, row_nth long, place int, node long, bands array<long>"), "line-sketches")

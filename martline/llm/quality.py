@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from martline.llm.rowkey import carried
 from martline.llm.text import WS, count_chars, words
 from martline.plans.storage import broadcast_if_small, materialize
 
@@ -42,6 +43,10 @@ LEVELS = ((0, 2), (0, 1), (1, 1), (2, 1), (4, 1), (8, 1))
 PROPOSE = ("0", "1", "2", "3")
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals", "n_exclaims", "n_lines")
 
+#: Columns that ``judge`` adds, and those that it uses inside.
+MADE = (*MEASURES, "fired", "base_failed", "kept")
+INNER = ("_s", "_text", "_w", "_l", "_h", "_g", "_r", "_", "_p", "_q")
+
 
 def measures(docs: DataFrame) -> DataFrame:
     """``docs`` with the columns of MEASURES (long) instead of its text."""
@@ -137,6 +142,11 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float
     """``docs`` without text, with the measures, base_failed, kept and the rules that fired.
 
     The measures are written once to the shared folder (a narrow table); thresholds and verdicts both read it."""
+    if clash := {c.lower() for c in docs.columns} & {*INNER, *MADE, *(f"cut_{r}" for r in RULES)}:
+        used = list(dict.fromkeys(["doc_id", "text", stratum]))
+        if clash & {c.lower() for c in used}:
+            raise ValueError(f"the stratum has the name of a result: {stratum}")
+        return carried(docs, used, list(MADE), lambda own: judge(own, labels, stratum, risk, error))
     measured = measures(docs.withColumn("_s", F.coalesce(F.col(stratum).cast("string"), F.lit(""))))
     measured = materialize(measured, "quality-measures")
     cuts = materialize(certified(measured, labels, "_s", risk, error), "quality-cutoffs")

@@ -54,7 +54,8 @@ def op4_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(_read(spark, sf_dir, "documents"), width=2, percent=80)
+    found = neardup.near_duplicates(_read(spark, sf_dir, "documents"), width=2, percent=80)
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,8 @@ with their ordinals, so that every plan over them reads the same ones.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,3 +41,20 @@ def renamed(keys: DataFrame) -> DataFrame:
 def same(rows: DataFrame, keys: DataFrame) -> Column:
     """Whether a row of ``rows`` has the key of one of ``keys`` (as of ``renamed``)."""
     return rows["doc_id"].eqNullSafe(keys["_key_doc_id"]) & (rows["row_hash"] == keys["_key_row_hash"]) & (rows["row_nth"] == keys["_key_row_nth"])
+
+
+CARRIED = "_carried"
+
+
+def carried(docs: DataFrame, used: list[str], made: list[str], operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``operator`` makes of the columns ``used``, with the other columns of ``docs`` as they were, whatever their names.
+
+    The operator gets the used columns and one struct of all others, so that no name of its own can clash; it returns the
+    struct with the used columns and those in ``made``. Columns of ``docs`` with a name in ``made`` are replaced."""
+    own = {c.lower() for c in used}
+    rest = [c for c in docs.columns if c.lower() not in own]
+    others = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.struct(F.lit(None).cast("boolean").alias("none"))
+    out = operator(docs.select(*used, others.alias(CARRIED)))
+    new = {c.lower() for c in made}
+    kept = [c for c in docs.columns if c.lower() not in new and c.lower() in {x.lower() for x in out.columns} | {x.lower() for x in rest}]
+    return out.select(*[F.col(c) if c.lower() in own else F.col(CARRIED)[c].alias(c) for c in kept], *made)

@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from martline.llm.rowkey import carried
 from martline.plans.storage import materialize
 
 #: The base patterns. Letters of the key words are matched in either ASCII case.
@@ -39,6 +40,9 @@ MIXED = (0.5, 0.1)
 #: What a run or stretch must hold to be judged.
 TOLD = "[0-9].*[A-Za-z]|[A-Za-z].*[0-9]|[a-z][A-Z]"
 LEAST, LIMIT = 16, 300
+#: Columns that ``scan`` adds, and those that it uses inside.
+MADE = ("n_assign", "n_access", "n_hex", "base_spans", "spans")
+INNER = ("_text", "_assign", "_access", "_hex", "_runs", "_w")
 
 
 def spans(text: Column, pattern: str) -> Column:
@@ -91,7 +95,10 @@ def fit(scanned: DataFrame) -> DataFrame:
 
 def scan(docs: DataFrame, least: int = LEAST, limit: int = LIMIT) -> DataFrame:
     """``docs`` with n_assign, n_access, n_hex, base_spans and spans: arrays of struct<start, kind, end, match> in order
-    of start, then kind (0 assign, 1 access, 2 hex, 3 random)."""
+    of start, then kind (0 assign, 1 access, 2 hex, 3 random). Columns of these names are replaced, others are carried
+    whatever their names."""
+    if {c.lower() for c in docs.columns} & {*INNER, *MADE}:
+        return carried(docs, ["text"], list(MADE), lambda own: scan(own, least, limit))
     found = base(docs)
     model = materialize(fit(found), "secret-model")
     table = model.agg(F.transform(F.array_sort(F.collect_list(F.struct("pair", "weight"))), lambda x: x["weight"]).alias("_w"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Fixed value: what an address must look like.
 EMAIL = r"\A[^@\s]+@[^@\s]+\.[^@\s]+\z"
 
 
@@ -24,7 +25,8 @@ def instant(c: Column) -> Column:
 
 
 def normalize(df: DataFrame, lower: tuple[str, ...] = (), numeric: tuple[str, ...] = ()) -> DataFrame:
-    """Folded column names, stripped strings, lower-case enumerations, decimals, and times for *_at and *_date.
+    """Folded column names, stripped strings, lower-case enumerations, decimals, times for *_at and *_date,
+    and null for not-a-number.
     Names that fold to the same raise ValueError."""
     names = [c.strip().lower() for c in df.columns]
     if len(set(names)) < len(names):
@@ -35,5 +37,7 @@ def normalize(df: DataFrame, lower: tuple[str, ...] = (), numeric: tuple[str, ..
         c = F.col(name)
         if kind == "string":
             c = money(c) if name in numeric else instant(c) if name.endswith(("_at", "_date")) else F.lower(strip(c)) if name in lower else strip(c)
+        elif kind in ("double", "float"):
+            c = F.nullif(c, F.lit(float("nan")))
         out.append(c.alias(name))
     return df.select(*out)

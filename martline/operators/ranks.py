@@ -18,9 +18,9 @@ PARTS, SAMPLE = 64, 8192
 
 
 def splitters(values: DataFrame, column: str, parts: int = PARTS, sample: int = SAMPLE) -> DataFrame:
-    """One row with ``cuts``: up to parts - 1 rising values that cut the distinct values of ``column`` into about equal
+    """One row with ``cuts``: up to parts - 1 rising values that cut the values of ``column``, distinct ones, into about equal
     parts. The sample is that of the least hashes, the same at every run."""
-    drawn = values.select(column).filter(F.col(f"`{column}`").isNotNull()).distinct().orderBy(F.xxhash64(column), column).limit(sample)
+    drawn = values.select(column).filter(F.col(f"`{column}`").isNotNull()).orderBy(F.xxhash64(column), column).limit(sample)
     rows = [r[0] for r in drawn.orderBy(column).collect()]
     cuts = [rows[k * len(rows) // parts] for k in range(1, parts)] if len(rows) >= parts else rows[1:]
     kind = T.StructType([T.StructField("cuts", T.ArrayType(values.schema[column].dataType))])

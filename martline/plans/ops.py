@@ -112,6 +112,8 @@ def page_slice(c: Core) -> DataFrame:
     return c.orders.orderBy("order_id").offset(200).limit(100).select("order_id")
 
 
+#: The shares of the statuses in a hundred made orders, the number of customers and days, the first day's start
+#: (UTC) and the range of totals, in the SQL and in ``orders_made``.
 _SYNTH = """SELECT 'ORD' || lpad(g::VARCHAR, 10, '0') AS order_id, 'CUS' || lpad((g % 100000 + 1)::VARCHAR, 8, '0') AS customer_id,
     TIMESTAMP '2023-12-31 17:00:00' + to_days((g % 730)::INT) + to_seconds(g % 86400) AS order_date,
     CASE WHEN g % 100 < 78 THEN 'completed' WHEN g % 100 < 87 THEN 'shipped' WHEN g % 100 < 92 THEN 'confirmed' WHEN g % 100 < 97 THEN 'cancelled' ELSE 'pending' END AS status,

@@ -7,7 +7,7 @@ member of every dimension that a fact may miss. Facts join the ledgers, not the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martline.operators import quality as dq
@@ -17,6 +17,7 @@ from martline.plans.book import query
 from martline.plans.mart import dim_date
 from martline.plans.views import MONEY, Core
 from martline.plans.warehouse import STATUSES
+from martline.sources.files import write_report
 
 UNKNOWN = 0
 #: Hours that the shop's days are ahead of UTC.
@@ -158,6 +159,41 @@ def _same(a: DataFrame, b: DataFrame) -> bool:
     return rel.fingerprint(a, a.columns[0]).first() == rel.fingerprint(b, b.columns[0]).first()
 
 
+def kpis(fact: DataFrame | None, statuses: DataFrame | None) -> DataFrame:
+    """(kpi, value) of a published mart: total_revenue, order_count, completed_orders, total_items_sold as exact decimals.
+    A fact of before net_amount existed tells its revenue; a mart that was never published tells zeros. Items without
+    quantity count as 0."""
+    names = ("total_revenue", "order_count", "completed_orders", "total_items_sold")
+    kind = "decimal(20,2)"
+    if fact is None or statuses is None:
+        return SparkSession.active().range(1).select(F.inline(F.array(*[F.struct(F.lit(n).alias("kpi"), F.lit(0).cast(kind).alias("value")) for n in names])))
+    revenue = "net_amount" if "net_amount" in fact.columns else "revenue"
+    named = fact.join(statuses.select("order_status_key", "order_status"), "order_status_key")
+    done = F.when(F.col("order_status") == "completed", F.col("order_id"))
+    values = (F.sum(revenue), F.countDistinct("order_id"), F.countDistinct(done), F.sum("quantity"))
+    told = [F.struct(F.lit(n).alias("kpi"), F.coalesce(v.cast(kind), F.lit(0).cast(kind)).alias("value")) for n, v in zip(names, values)]
+    return named.agg(F.array(*told).alias("x")).select(F.inline("x"))
+
+
+def kpi_comparison(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(kpi, before, after, diff) of two tables of ``kpis``, exact."""
+    a, b = before.select("kpi", F.col("value").alias("before")), after.select("kpi", F.col("value").alias("after"))
+    return a.join(b, "kpi").select("kpi", "before", "after", (F.col("after") - F.col("before")).cast("decimal(20,2)").alias("diff"))
+
+
+def refresh_and_compare(c: Core, versions: state.Versions, run_id: str, start: str, end: str, reports: str, full: bool = False) -> DataFrame:
+    """``refresh``, and the comparison of the four figures before and after it, written as a report of the run: revenue with
+    two places, counts without. A refresh that is refused writes none."""
+    look = lambda: kpis(versions.read("fact_sales"), versions.read("dim_order_status"))
+    before = c.spark.createDataFrame(look().collect(), "kpi string, value decimal(20,2)")  # four rows
+    refresh(c, versions, run_id, start, end, full)
+    told = kpi_comparison(before, look())
+    whole = F.col("kpi") != "total_revenue"
+    text = [F.when(whole, F.col(v).cast("decimal(20,0)").cast("string")).otherwise(F.col(v).cast("string")).alias(v) for v in ("before", "after", "diff")]
+    write_report(told.select("kpi", *text), reports, run_id, "overwrite")
+    return told
+
+
 # The star as queries: every ledger is made in two refreshes, even members first, so keys of the second follow the first.
 
 def _keys(c: Core, name: str, natural: str, early) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from martline.plans import analytics, basics, contract, mart, ops, star, warehouse
+from martline.plans import analytics, basics, contract, mart, ops, questions, star, warehouse
 from martline.plans.book import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "analytics", "basics", "contract", "mart", "ops", "star", "warehouse"]
+__all__ = ["ORACLES", "QUERIES", "analytics", "basics", "contract", "mart", "ops", "questions", "star", "warehouse"]

@@ -25,11 +25,11 @@ def run_batch(spark: SparkSession, batch: DataFrame, run_id: str, versions: Vers
             if not staged[table].groupBy(*keys).count().filter("count > 1").isEmpty():
                 raise ValueError(f"{table}: duplicate keys")
 
-        before = versions.sequence()
-        if counts["valid"] and versions.publish(run_id, {table: following}, audit) > before:
-            write_rejects(rejected, quarantine, run_id, table)
-        elif not counts["valid"]:
-            write_rejects(rejected, quarantine, run_id, table)
+        # rejects first: a batch that dies before it is published is run again, one that is published is not
+        if not versions.is_published(run_id):
+            write_rejects(rejected, quarantine, run_id, table, "overwrite")
+        if counts["valid"]:
+            versions.publish(run_id, {table: following}, audit)
         return counts
     finally:
         tagged.unpersist()

@@ -86,3 +86,25 @@ def test_contracts_name_every_violation(spark):
     assert broken("payments", payment, ("1", "o", t, "cash", "success", D(1)), ("2", "q", late, "shells", "maybe", D(0)), ("2", None, t, "card", "failed", D(3))) == {
         "order_id is not null": 1, "amount > 0": 1, "payment_method is allowed": 1, "payment_status is allowed": 1, "payment_date is past": 1, "unique payment_id": 1, "order_id is known": 1}
     assert dq.audit(spark.createDataFrame([], person), [dq.Check("x", F.col("status") == "y")], [["email"]]).collect() == [("x", 0), ("unique email", 0)]
+
+
+def test_figures_before_and_after_are_written(spark, tmp_path):
+    v, reports = state.Versions(spark, f"file://{tmp_path}/mart"), f"file://{tmp_path}/reports"
+    days = ("1990-01-01", "2030-12-31")
+    first = {r["kpi"]: r for r in star.refresh_and_compare(Some(spark, "order_id % 2 = 0"), v, "r1", *days, reports).collect()}
+    assert all(r["before"] == 0 and r["diff"] == r["after"] > 0 for r in first.values()) and len(first) == 4
+    second = {r["kpi"]: r for r in star.refresh_and_compare(Some(spark, "true"), v, "r2", *days, reports).collect()}
+    assert all(second[k]["before"] == r["after"] and second[k]["diff"] == second[k]["after"] - r["after"] > 0 for k, r in first.items())
+    with pytest.raises(ValueError):
+        star.refresh_and_compare(Some(spark, "true"), v, "r3", "1990-01-01", "1990-01-02", reports, full=True)
+    rows = {r["kpi"]: r for r in spark.read.option("header", True).csv(f"{reports}/run_id=r2/csv").collect()}
+    assert rows["order_count"]["diff"].isdigit() and rows["total_revenue"]["diff"][-3] == "." and not (tmp_path / "reports" / "run_id=r3").exists()
+    older = v.read("fact_sales").drop("net_amount")
+    assert star.kpis(older, v.read("dim_order_status")).collect() == star.kpis(v.read("fact_sales"), v.read("dim_order_status")).collect()
+
+
+def test_not_a_number_is_null_in_the_load_path(spark):
+    from martline.functions.normalize import normalize
+
+    rows = normalize(spark.createDataFrame([(1.5,), (float("nan"),), (None,)], "Amount double")).collect()
+    assert [r["amount"] for r in rows] == [1.5, None, None]

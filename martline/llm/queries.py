@@ -128,4 +128,4 @@ def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_spotsigs": op2_spotsigs, "op3_line_dedup": op3_line_dedup, "op4_chat_tree": op4_chat_tree, "op5_near_dedup": op5_near_dedup, "op6_mixing": op6_mixing, "op7_url_filter": op7_url_filter, "op8_byte_bpe": op8_byte_bpe, "op9_secrets": op9_secrets, "op10_toxicity": op10_toxicity, "op11_periodic_runs": op11_periodic_runs, "op12_sharding": op12_sharding, "op13_spelling": op13_spelling}
-ORACLES = {"op1_quality_rules": sql.OP1, "op2_spotsigs": sql.OP2, "op4_chat_tree": sql.OP4, "op6_mixing": sql.OP6, "op7_url_filter": sql.OP7, "op9_secrets": sql.OP9}
+ORACLES = {"op1_quality_rules": sql.OP1, "op2_spotsigs": sql.OP2, "op3_line_dedup": sql.OP3, "op4_chat_tree": sql.OP4, "op5_near_dedup": sql.OP5, "op6_mixing": sql.OP6, "op7_url_filter": sql.OP7, "op9_secrets": sql.OP9, "op13_spelling": sql.OP13}

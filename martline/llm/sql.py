@@ -143,3 +143,56 @@ OP7 = f"""WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''),
         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
     f AS (SELECT *, CASE {_FITS} END AS fit FROM u)
 SELECT page_id, host, path, split_part(fit, ' ', 2) AS rule, coalesce(split_part(fit, ' ', 1), CASE WHEN len(list_intersect(string_split(host, '.'), {list(urlfilter.LISTED)!r})) > 0 THEN 'block' ELSE 'allow' END) AS verdict FROM f"""
+
+
+def _linked(sets: str, percent: int = 80) -> str:
+    """CTEs up to ``links`` (a, b): the pairs of ``sets`` (r, e: distinct elements) whose coefficient is percent / 100 or more.
+    Candidates share one of the rarest n - ceil(n * percent / 100) + 1 elements of either."""
+    return f"""
+    df AS MATERIALIZED (SELECT e, count(*) AS df FROM {sets} GROUP BY e), n AS MATERIALIZED (SELECT r, count(*) AS n FROM {sets} GROUP BY r),
+    ranked AS (SELECT r, e, n, row_number() OVER (PARTITION BY r ORDER BY df, e) AS k FROM {sets} JOIN df USING (e) JOIN n USING (r)),
+    head AS MATERIALIZED (SELECT r, e, n FROM ranked WHERE k <= n - ({percent} * n + 99) // 100 + 1),
+    pairs AS MATERIALIZED (SELECT DISTINCT a.r AS a, b.r AS b, a.n AS na, b.n AS nb FROM head a JOIN head b ON a.e = b.e AND a.r < b.r AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)),
+    links AS MATERIALIZED (SELECT a, b FROM pairs JOIN {sets} x ON x.r = a JOIN {sets} y ON y.r = b AND y.e = x.e GROUP BY a, b, na, nb HAVING 100 * count(*) >= {percent} * (na + nb - count(*))),
+    both_ways AS MATERIALIZED (SELECT a, b FROM links UNION SELECT b, a FROM links),
+    reach AS (SELECT a, b FROM both_ways UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a)"""
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+OP5 = f"""WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}') AS w FROM documents),
+    s AS MATERIALIZED (SELECT r, unnest(CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END) AS e FROM d),{_linked('s')},
+    least_of AS (SELECT a, min(doc_id) AS least FROM reach JOIN d ON d.r = b GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, least) AS component_id, doc_id = least(doc_id, least) AS kept FROM d LEFT JOIN n USING (r) LEFT JOIN least_of ON a = r"""
+
+#: CRC-32 of a list of bytes, by its table.
+_CRC = """crc_table AS MATERIALIZED (SELECT list(v ORDER BY i) AS crc FROM (SELECT i, list_reduce(list_concat([i], range(8)), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS v FROM (SELECT unnest(range(256)) AS i)))"""
+_CRC_OF = "xor(list_reduce(list_concat([4294967295], bytes), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295)"
+
+OP13 = f"""WITH RECURSIVE {_CRC},
+    runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[a-z\u00C0-\u00FF]+')) AS w FROM documents),
+    found AS (SELECT id, w, count(*) AS c FROM runs WHERE length(w) >= 6 GROUP BY id, w),
+    coded AS (SELECT w, c, flatten(list_transform(string_split(id || ':' || w, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195::BIGINT, unicode(x)::BIGINT - 64] END)) AS bytes FROM found),
+    hashed AS (SELECT w, c, {_CRC_OF} AS h FROM coded, crc_table),
+    edited AS (SELECT CASE WHEN h % 199 = 0 THEN left(w, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word, c FROM hashed),
+    v AS MATERIALIZED (SELECT word, sum(c)::BIGINT AS n FROM edited WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+    shorter AS MATERIALIZED (SELECT word, n, i, left(word, i::INT) || substr(word, i::INT + 2) AS x FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)),
+    near AS MATERIALIZED (SELECT a.word, b.word AS other, b.n AS other_n FROM shorter a JOIN shorter b ON a.x = b.x AND a.i = b.i AND a.word <> b.word
+        UNION SELECT v.word, d.word, d.n FROM v JOIN shorter d ON d.x = v.word UNION SELECT d.word, v.word, v.n FROM v JOIN shorter d ON d.x = v.word),
+    best AS (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS form, max(other_n) AS form_n FROM near GROUP BY word),
+    formed AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * n THEN form END AS form, CASE WHEN form_n >= 5 * n THEN form_n END AS form_n FROM v LEFT JOIN best USING (word)),
+    walk AS (SELECT word, word AS reached, 0 AS k FROM formed UNION ALL SELECT walk.word, formed.form, k + 1 FROM walk JOIN formed ON formed.word = walk.reached WHERE formed.form IS NOT NULL),
+    ends AS (SELECT word, max_by(reached, k) AS root FROM walk GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)"""
+
+# Lines with a word, by their first place; equal lines are one. Of each component the first line stays.
+OP3 = f"""WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id NULLS LAST, xxh, text) AS r, doc_id, text FROM (SELECT *, hash(text) AS xxh FROM documents)),
+    cut AS MATERIALIZED (SELECT r AS doc, generate_subscripts(string_split(text, chr(10)), 1) AS place, unnest(string_split(text, chr(10))) AS line FROM d),
+    worded AS MATERIALIZED (SELECT *, regexp_matches(line, '{_WORD}') AS has FROM cut),
+    firsts AS MATERIALIZED (SELECT line, row_number() OVER (ORDER BY doc, place) AS r, doc, place FROM (SELECT line, min(doc) AS doc, arg_min(place, doc * 100000000 + place) AS place FROM worded WHERE has GROUP BY line)),
+    s AS MATERIALIZED (SELECT r, unnest(list_distinct(list_transform(range(1, greatest(length(line) - 7, 1) + 1), lambda i: substr(line, i::INT, 8)))) AS e FROM firsts),{_linked('s')},
+    gone AS (SELECT DISTINCT a AS r FROM reach WHERE b < a),
+    stays AS (SELECT doc, place FROM firsts WHERE r NOT IN (SELECT r FROM gone)),
+    told AS (SELECT w.doc, w.place, w.line, w.has, NOT w.has OR stays.doc IS NOT NULL AS kept FROM worded w LEFT JOIN stays ON stays.doc = w.doc AND stays.place = w.place),
+    whole AS (SELECT doc, count(*) FILTER (has) AS n_lines, count(*) FILTER (has AND kept) AS n_kept, string_agg(line, chr(10) ORDER BY place) FILTER (kept) AS text FROM told GROUP BY doc)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_kept, 0) AS n_kept, CASE WHEN d.text IS NOT NULL THEN coalesce(whole.text, '') END AS text FROM d LEFT JOIN whole ON doc = r"""

@@ -11,6 +11,7 @@ from martline.operators import relational as rel
 from martline.operators import state
 from martline.plans.book import query
 from martline.plans.views import Core
+from martline.sources import files
 
 _RAW = "raw AS (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN ' ' WHEN event_id % 7 = 0 THEN 'bad' ELSE user_id || '@x.com' END AS email, CASE WHEN event_id % 13 = 0 THEN 'junk' ELSE ' ' || value::DECIMAL(14,2) || ' ' END AS amount, upper(event_type) AS status FROM events)"
 
@@ -104,7 +105,7 @@ def high_watermark(c: Core) -> DataFrame:
 @query("SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-15 00:00:00'")
 def incremental_pull(c: Core) -> DataFrame:
     """Rows strictly after the watermark; the filter is pushed to the scan."""
-    return c.raw("events").filter(F.col("ts") > F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")).select("event_id")
+    return files.incremental(c.raw("events"), "2024-01-15 00:00:00", ("ts",)).select("event_id")
 
 
 @query("SELECT order_id FROM core_orders ORDER BY order_id LIMIT 100 OFFSET 200")

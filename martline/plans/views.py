@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from martline.plans.storage import broadcast_if_small, materialize
+
 MONEY = "decimal(14,2)"
 STATUS = {"F": "completed", "O": "shipped", "P": "pending"}
 
@@ -38,12 +42,21 @@ class Core:
         status = F.coalesce(*[F.when(F.col("o_orderstatus") == k, v) for k, v in STATUS.items()], F.lit("unknown"))
         return self.raw("orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"), F.col("o_orderdate").alias("order_date"), status.alias("order_status"), F.col("o_orderpriority").alias("channel"), F.col("o_totalprice").cast(MONEY).alias("order_total"))
 
+    @cached_property
+    def repeated(self) -> DataFrame:
+        """(key_order, key_line) of the keys that lineitem has more than once; written, and broadcast if they are few."""
+        keys = self.raw("lineitem").groupBy(F.col("l_orderkey").alias("key_order"), F.col("l_linenumber").alias("key_line")).agg(F.count(F.lit(1)).alias("n"))
+        return broadcast_if_small(materialize(keys.filter("n > 1").select("key_order", "key_line"), "repeated"))
+
     @property
     def lines(self) -> DataFrame:
-        """lineitem with one row a key, the first in the order of all its columns."""
-        raw = self.raw("lineitem")
+        """lineitem with one row a key, the first in the order of all its columns. Only rows of repeated keys are put in
+        order; of the others a query reads the columns that it needs, and shuffles none for this."""
+        raw, keys = self.raw("lineitem"), self.repeated
+        on = raw["l_orderkey"].eqNullSafe(keys["key_order"]) & raw["l_linenumber"].eqNullSafe(keys["key_line"])
         by = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*[F.col(c).asc_nulls_first() for c in sorted(raw.columns)])
-        return raw.withColumn("_n", F.row_number().over(by)).filter("_n = 1").drop("_n")
+        several = raw.join(keys, on, "left_semi").withColumn("_n", F.row_number().over(by)).filter("_n = 1").drop("_n")
+        return raw.join(keys, on, "left_anti").unionByName(several)
 
     @property
     def items(self) -> DataFrame:

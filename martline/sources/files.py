@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from martline.operators import relational as rel
+from martline.plans.storage import materialize
 
 
 #: The column that tells when a row came: file, place of the block in it, place of the row. It is never loaded.
@@ -123,9 +124,15 @@ def write_rejects(df: DataFrame, root: str, run_id: str, dataset: str, mode: str
     return True
 
 
-def _changed(df: DataFrame):
-    """When a row changed: updated_at, else created_at, as far as the table has them."""
-    return F.coalesce(*[F.try_to_timestamp(c) for c in ("updated_at", "created_at") if c in df.columns], F.lit(None).cast("timestamp"))
+STAMPS = ("updated_at", "created_at")
+
+
+def _changed(df: DataFrame, columns: tuple[str, ...] = STAMPS):
+    """When a row changed: the first of ``columns`` that it has a time in. A column of times is taken as it is, so that a
+    filter on one alone reaches the files; text is parsed row by row."""
+    kinds = dict(df.dtypes)
+    told = [F.col(c) if kinds[c].startswith("timestamp") else F.try_to_timestamp(c) for c in columns if c in kinds]
+    return told[0] if len(told) == 1 else F.coalesce(*told, F.lit(None).cast("timestamp"))
 
 
 def high_watermark(df: DataFrame) -> DataFrame:
@@ -133,9 +140,10 @@ def high_watermark(df: DataFrame) -> DataFrame:
     return df.agg(F.max(_changed(df)).alias("watermark"))
 
 
-def incremental(df: DataFrame, watermark: str) -> DataFrame:
-    """Rows changed strictly after the watermark."""
-    return df.filter(_changed(df) > F.lit(watermark).cast("timestamp"))
+def incremental(df: DataFrame, watermark, columns: tuple[str, ...] = STAMPS) -> DataFrame:
+    """Rows changed strictly after the watermark (a time or its text)."""
+    kind = dict(df.dtypes).get(columns[0], "timestamp")
+    return df.filter(_changed(df, columns) > F.lit(watermark).cast(kind if kind.startswith("timestamp") else "timestamp"))
 
 
 def read_positional(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -193,6 +201,18 @@ def write_outcomes(spark: SparkSession, outcomes: list[dict], root: str, run_id:
     return spark.read.parquet(path)
 
 
+def stage_batch(spark: SparkSession, raw: str, paths: dict[str, str], columns: dict[str, list[str]], root: str, run_id: str, clean) -> tuple[DataFrame, bool]:
+    """Stage the files of a batch; (outcomes, whether all went well). The files under ``raw`` are digested before and after:
+    a batch during which one changed, came or went has not gone well, and that file is an outcome too."""
+    before = materialize(file_checksums(spark, raw), "digests")
+    frames = {name: lambda name=name: read_dataset(spark, paths[name], columns[name]) for name in paths}
+    outcomes, well = stage_outcomes(frames, root, clean)
+    changed = changed_files(before, file_checksums(spark, raw)).collect()
+    none = {"rows": None, "duplicates": None, "missing": {}}
+    outcomes += [{"dataset": r["path"], "status": "failed", "error": f"raw file {r['change']} during the batch"} | none for r in changed]
+    return write_outcomes(spark, outcomes, root, run_id), well and not changed
+
+
 def write_report(report: DataFrame, root: str, run_id: str, mode: str = "errorifexists") -> None:
     """A report of a few rows as one CSV and one JSON file; money keeps two places."""
     money = [F.col(f.name).cast("decimal(20,2)").alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name) for f in report.schema]

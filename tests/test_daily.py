@@ -282,6 +282,27 @@ def test_staging_tells_every_dataset_and_goes_on(spark, tmp_path):
     assert files.changed_files(before, files.file_checksums(spark, f"file://{tmp_path}/*.csv")).isEmpty()
 
 
+def test_a_batch_during_which_a_raw_file_changes_has_not_gone_well(spark, tmp_path):
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "a.csv").write_text("id\n1\n")
+    root, paths = f"file://{tmp_path}/stage", {"a": f"file://{tmp_path}/raw/a.csv"}
+    outcomes, well = files.stage_batch(spark, f"file://{tmp_path}/raw/*", paths, {"a": ["id"]}, root, "r1", lambda n, d: d)
+    assert well and [tuple(r)[:2] for r in outcomes.collect()] == [("a", "ok")]
+
+    def meddle(name, df):
+        (tmp_path / "raw" / "a.csv").write_text("id\n2\n")
+        return df
+
+    outcomes, well = files.stage_batch(spark, f"file://{tmp_path}/raw/*", paths, {"a": ["id"]}, root, "r2", meddle)
+    assert not well and outcomes.filter("status = 'failed' and error like 'raw file modified%'").count() == 1
+
+
+def test_a_filter_on_one_time_column_reaches_the_files(spark):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    plan = files.incremental(events, "2024-01-15 00:00:00", ("ts",))._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(ts" in plan
+
+
 def test_changed_files_are_named(spark, tmp_path):
     for name in ("same", "edited", "removed"):
         (tmp_path / f"{name}.csv").write_text(name)

@@ -198,12 +198,14 @@ def daily(
     for name, spec in contract.items():
         needed = spec.columns if spec.required is None else spec.required
         if mode == "file" or mode == "both" and name in masters:
-            frames[name] = spark.createDataFrame([], ", ".join(f"{c} string" for c in needed)) if done else files.read_dataset(spark, paths[name], needed, arrival=True)
+            none = spark.createDataFrame([], ", ".join(f"{c} string" for c in needed)) if done else None
+            # a CSV comes with the columns of its header, so that missing and unknown ones can be told
+            frames[name] = none if done else files.read_dataset(spark, paths[name], None if paths[name].endswith(".csv") else spec.columns, arrival=True)
         else:
             mark = marks.get(name)
             if not files.raw_stored(spark, raw, run_id, name):  # else a run that died is going on
                 files.save_raw(api(name, mark), raw, run_id, name, mark.isoformat() if mark else None)
-            frames[name] = files.read_raw(spark, raw, run_id, name, needed)
+            frames[name] = files.read_raw(spark, raw, run_id, name)
             landed.append(name)
     entered = batch if mode in ("file", "both") else None
     return "success", run(spark, run_id, frames, contract, versions, quarantine, move_marks=landed, source=mode, batch=entered, **how)
@@ -217,7 +219,7 @@ def replay(spark: SparkSession, raw: dict[str, DataFrame] | str, run_id: str, **
         stored = files.raw_resources(spark, raw, run_id)
         if not stored:
             raise ValueError(f"no raw snapshot of run {run_id}")
-        raw = {n: files.read_raw(spark, raw, run_id, n, s.columns if s.required is None else s.required) for n, s in contract.items() if n in stored}
+        raw = {n: files.read_raw(spark, raw, run_id, n) for n in contract if n in stored}
     return run(spark, f"replay-{run_id}", raw, source="replay", **how | {"move_marks": False})
 
 

@@ -23,12 +23,16 @@ def with_arrival(df: DataFrame) -> DataFrame:
     return df.select("*", place.alias(ARRIVAL))
 
 
-def read_dataset(spark: SparkSession, path: str, columns: list[str], arrival: bool = False) -> DataFrame:
+def read_dataset(spark: SparkSession, path: str, columns: list[str] | None, arrival: bool = False) -> DataFrame:
     """A CSV with header or a JSON list (or {"data": [...]}) as strings; ValueError for another suffix, no rows, or a JSON
-    object without data. ``arrival`` adds the rows' places in their files. ``path`` may have globs."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    object without data. ``columns``: those of the file, in its order; None takes a CSV's from its header. ``arrival`` adds
+    the rows' places in their files. ``path`` may have globs."""
+    schema = columns and T.StructType([T.StructField(c, T.StringType()) for c in columns])
     if path.endswith(".csv"):
-        df = with_arrival(spark.read.option("header", True).option("enforceSchema", False).schema(schema).csv(path))
+        reader = spark.read.option("header", True)
+        df = with_arrival((reader.option("enforceSchema", False).schema(schema) if schema else reader).csv(path))
+    elif path.endswith(".json") and not schema:
+        raise ValueError(f"the columns of a JSON file must be named: {path}")
     elif path.endswith(".json"):
         df = _json_rows(spark, path, schema)
     else:
@@ -62,25 +66,26 @@ def read_pages(spark: SparkSession, path: str, item: T.StructType) -> tuple[Data
 
 def save_raw(df: DataFrame, root: str, run_id: str, resource: str, updated_after: str | None = None) -> str:
     """An immutable snapshot, of no rows too; a second write of the same run and resource fails. Beside the rows (``data``)
-    stands what they are: resource, run_id, fetched_at, updated_after, total."""
+    stands what they are: resource, run_id, fetched_at, updated_after, total, columns."""
     spark, path = df.sparkSession, f"{root}/run_id={run_id}/resource={resource}"
     df.write.mode("errorifexists").json(f"{path}/data")
     stored = spark.read.schema(df.schema).json(f"{path}/data")
     names = [F.lit(v).cast("string").alias(k) for k, v in (("resource", resource), ("run_id", run_id), ("updated_after", updated_after))]
-    about = stored.agg(F.count(F.lit(1)).alias("total")).select(*names, F.current_timestamp().alias("fetched_at"), "total")
+    columns = F.array(*[F.lit(c) for c in df.columns]).alias("columns")
+    about = stored.agg(F.count(F.lit(1)).alias("total")).select(*names, F.current_timestamp().alias("fetched_at"), "total", columns)
     about.coalesce(1).write.mode("errorifexists").json(f"{path}/about")
     return path
 
 
-def read_raw(spark: SparkSession, root: str, run_id: str, resource: str, columns: list[str]) -> DataFrame:
-    """The rows of a snapshot as strings with their places; ValueError if the run stored none of that resource, or if there
-    are not as many rows as the snapshot says."""
+def read_raw(spark: SparkSession, root: str, run_id: str, resource: str, columns: list[str] | None = None) -> DataFrame:
+    """The rows of a snapshot as strings with their places, with the columns that it was stored with unless others are
+    named; ValueError if the run stored none of that resource, or if there are not as many rows as the snapshot says."""
     path = f"{root}/run_id={run_id}/resource={resource}"
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     try:
-        total = spark.read.schema("total long").json(f"{path}/about").first()["total"]
+        total, stored = spark.read.schema("total long, columns array<string>").json(f"{path}/about").first()
     except (AnalysisException, TypeError) as error:
         raise ValueError(f"no raw snapshot of {resource} in run {run_id}") from error
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns or stored])
     rows = with_arrival(spark.read.schema(schema).option("mode", "FAILFAST").json(f"{path}/data"))
     if (n := rows.count()) != total:
         raise ValueError(f"raw snapshot of {resource} in run {run_id} has {n} rows, not {total}")

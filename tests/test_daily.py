@@ -139,6 +139,16 @@ def test_shapes_are_refused_before_a_row_is_read(spark, tmp_path):
     assert v.sequence() == 0
 
 
+def test_the_header_of_a_file_tells_missing_and_unknown_columns(shop):
+    (shop.dir / "customers.csv").write_text("customer_id,shoe_size\nC1,7\n")
+    with pytest.raises(ValueError, match="customers: missing columns: email, updated_at"):
+        shop.run("r1")
+    (shop.dir / "customers.csv").write_text(",".join([*CUSTOMERS, "shoe_size"]) + "\nC1,a@b.co,2026-07-01,7\n")
+    with pytest.raises(ValueError, match="customers: unknown columns: shoe_size"):
+        shop.run("r1")
+    assert shop.versions.sequence() == 0
+
+
 def test_columns_that_are_not_required_keep_their_values(spark, tmp_path):
     v, bad = state.Versions(spark, f"file://{tmp_path}/core"), f"file://{tmp_path}/bad"
     spec = {"t": daily.Dataset(["id", "name", "note"], ["id"], mark=None, required=["id", "name"])}

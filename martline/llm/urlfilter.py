@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from martline.llm.rowkey import carried
 from martline.plans.storage import materialize
 
 #: Fixed values: (verdict, host, path) of the rules.
@@ -136,7 +137,9 @@ def _is_listed(sent, shards: int):
 
 def verdicts(pages: DataFrame, rules=RULES, listed: Column | None = None, limit: int = LIMIT, shard: int = SHARD) -> DataFrame:
     """``pages`` (url, ...) with host, path, rule and verdict; ``listed`` tells of a host (column ``host``) whether it is
-    on the list, and is asked once for each host of the corpus."""
+    on the list, and is asked once for each host of the corpus. Columns of these names are replaced, others are carried."""
+    if {c.lower() for c in pages.columns} & {"listed", "_rule"}:
+        return carried(pages, ["url"], ["host", "path", "rule", "verdict"], lambda own: verdicts(own, rules, listed, limit, shard))
     parts = pages.drop("host", "path", "rule", "verdict", "listed").withColumns({"host": host(F.col("url")), "path": path(F.col("url"))})
     if listed is None:
         listed = F.exists(F.split("host", "\\."), lambda x: x.isin(*LISTED))

@@ -65,6 +65,6 @@ def test_runs_and_tokens(spark):
 
 
 def test_urls(spark):
-    pages = spark.createDataFrame([(1, "https://example.com/en/a"), (1, None)], "page_id long, url string").withColumns({c: F.lit("x") for c in ("host", "listed", "a", "b", "shard")})
+    pages = spark.createDataFrame([(1, "https://example.com/en/a"), (1, None)], "page_id long, url string").withColumns({c: F.lit("x") for c in ("host", "listed", "_rule", "a", "b", "shard")})
     out = urlfilter.verdicts(pages)
-    assert len(out.columns) == len(set(out.columns)) and sorted(r["verdict"] for r in out.collect()) == ["allow", "block"] and {r["a"] for r in out.collect()} == {"x"}
+    assert len(out.columns) == len(set(out.columns)) and {(r["listed"], r["_rule"]) for r in out.collect()} == {("x", "x")} and sorted(r["verdict"] for r in out.collect()) == ["allow", "block"] and {r["a"] for r in out.collect()} == {"x"}

@@ -30,7 +30,8 @@ LOG = "run_id string, source string, batch string, status string, started_at tim
 class Dataset:
     """What a run knows of a dataset. ``references``: (column, dataset, its key, code) of each foreign key. ``mark``: None
     if its rows never move a mark. ``required``: the columns a batch must have, all of them if None. ``after``: (column,
-    dataset, its key, its column, code): an instant that must not lie before that of the row's parent."""
+    dataset, its key, its column, code): an instant that must not lie before that of the row's parent. ``renames``: names of
+    the source that are others in the core tables; they are changed before anything is checked."""
 
     columns: list[str]
     keys: list[str]
@@ -39,6 +40,7 @@ class Dataset:
     mark: str | None = "updated_at"
     required: list[str] | None = None
     after: tuple[str, str, str, str, str] | None = None
+    renames: dict[str, str] = field(default_factory=dict)
 
 
 def check_shape(contract: dict[str, Dataset], frames: dict[str, DataFrame], versions: state.Versions) -> None:
@@ -99,7 +101,7 @@ def run(
     if versions.is_published(run_id):
         return versions.read("run_audit").filter(F.col("run_id") == run_id)
     began, since = datetime.datetime.now(datetime.timezone.utc), versions.sequence()
-    frames = {name: clean(name, frame) for name, frame in frames.items()}
+    frames = {n: clean(n, frame).withColumnsRenamed(contract[n].renames if n in contract else {}) for n, frame in frames.items()}
     check_shape(contract, frames, versions)
     staged: dict[str, state.Staged] = {}
 
@@ -200,7 +202,9 @@ def daily(
         if mode == "file" or mode == "both" and name in masters:
             none = spark.createDataFrame([], ", ".join(f"{c} string" for c in needed)) if done else None
             # a CSV comes with the columns of its header, so that missing and unknown ones can be told
-            frames[name] = none if done else files.read_dataset(spark, paths[name], None if paths[name].endswith(".csv") else spec.columns, arrival=True)
+            back = {core: source for source, core in spec.renames.items()}
+            named = None if paths[name].endswith(".csv") else [back.get(c, c) for c in spec.columns]
+            frames[name] = none if done else files.read_dataset(spark, paths[name], named, arrival=True)
         else:
             mark = marks.get(name)
             if not files.raw_stored(spark, raw, run_id, name):  # else a run that died is going on

@@ -157,6 +157,15 @@ def test_columns_that_are_not_required_keep_their_values(spark, tmp_path):
     assert sorted(tuple(r) for r in v.read("t").collect()) == [("1", "b", "kept"), ("2", "c", None)]
 
 
+def test_names_of_the_source_become_those_of_the_core(spark, tmp_path):
+    v, bad = state.Versions(spark, f"file://{tmp_path}/core"), f"file://{tmp_path}/bad"
+    spec = {"orders": daily.Dataset(["order_id", "order_status"], ["order_id"], [dq.one_of("order_status", ["open"])], mark=None, renames={"status": "order_status"})}
+    (tmp_path / "orders.json").write_text('[{"order_id": "1", "status": "open"}, {"order_id": "2", "status": "lost"}]')
+    daily.daily(spark, "r1", "file", spec, v, bad, f"file://{tmp_path}/raw", {"orders": f"file://{tmp_path}/orders.json"})
+    assert [tuple(r) for r in v.read("orders").collect()] == [("1", "open")]
+    assert spark.read.parquet(f"{bad}/run_id=r1/dataset=orders").first()["error_code"] == "INVALID_ORDER_STATUS"
+
+
 def test_chronology_and_orphans_in_a_run(spark, tmp_path):
     v, bad = state.Versions(spark, f"file://{tmp_path}/core"), f"file://{tmp_path}/bad"
     link = [("order_id", "orders", "order_id", "FK_ORDER_NOT_FOUND")]

@@ -121,3 +121,11 @@ def test_scale_forms_equal_plain_windows(spark):
     assert {r["id"]: r["running"] for r in rel.running_sum(df, ["id"], "v", F.col("b")).collect()} == plain
     plain = {r["id"]: r["x"] for r in df.selectExpr("id", "cast(ceil(5 * cume_dist() over (order by v)) as int) as x").collect()}
     assert {r["id"]: r["score"] for r in rel.quintile(df, "v").collect()} == plain
+
+
+def test_parents_that_are_referred_to_are_not_deleted(spark):
+    ids = lambda *values: spark.createDataFrame([(v,) for v in values], "order_id int")
+    orders, items = state.delete_with_children(ids(1, 2, 3), ids(1, 1, 2), ids(1), "order_id", [ids(2)])
+    assert sorted(r[0] for r in orders.collect()) == [2, 3] and [r[0] for r in items.collect()] == [2]
+    with pytest.raises(ValueError, match="still referred to"):
+        state.delete_with_children(ids(1, 2), ids(1), ids(1), "order_id", [ids(5), ids(1)])

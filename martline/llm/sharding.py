@@ -6,8 +6,8 @@ range are counted. Ranges that are overfull in either are subdivided by a new sa
 that can be. A record's place in the order is (key, mix), where mix scatters the records of one key: a key with a third
 of all rows is cut by mix, while a key that fits in a range is never cut.
 
-Ranges are dealt to shards, the largest first, each to the shard that is least full. Pieces of one key go as a whole as
-long as they take at most half a shard. The driver sees the sample and the ranges, both bounded by ``MOST``.
+Ranges are dealt to shards, the largest first, each to the shard that is least full. Pieces of one key go as a whole if
+they fit in a shard and the shards come out even. The driver sees the sample and the ranges, both bounded by ``MOST``.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ RANGES, ROWS, MOST = 64, 100_000, 16_384
 #: Keys drawn for a range; an overfull range has so many times a range's share; rounds of cutting at most.
 DRAWN, OVERFULL, ROUNDS = 16, 2.0, 6
 LEAST, GREATEST = -(1 << 63), (1 << 63) - 1
+#: Part of its share that a shard may have too much before keys that fit in one are cut.
+EVEN = 0.005
 
 #: (key, mix) of the first record of every range but the first, in order.
 Splitters = list[tuple[int, int]]
@@ -115,8 +117,9 @@ def _splitters(rows: DataFrame, total: float, ranges: int, seed: int) -> tuple[S
 
 def dealt(splitters: Splitters, told: dict[int, tuple[int, int]], shards: int) -> dict[int, int]:
     """range -> shard: largest first to the least full one. Ranges that share a key (of whose splitters mix is neither end)
-    form one piece while it takes at most half a shard."""
-    half = sum(size for size, _ in told.values()) / shards / 2
+    form one piece as long as it takes no more than a shard's share; where that leaves a shard over its share by more than
+    ``EVEN``, pieces over a half of the share come apart, then over a quarter, and so on."""
+    share = sum(size for size, _ in told.values()) / shards
     pieces: list[list[int]] = []
     for number in sorted(told):
         inner = number > 0 and splitters[number - 1][1] not in (LEAST, GREATEST)
@@ -125,14 +128,21 @@ def dealt(splitters: Splitters, told: dict[int, tuple[int, int]], shards: int) -
         else:
             pieces.append([number])
     weigh = lambda piece: sum(told[n][0] for n in piece)
-    units = [u for p in pieces for u in ([p] if weigh(p) <= half else [[n] for n in p])]
-    load = [(0, 0, k) for k in range(shards)]
-    out = {}
-    for unit in sorted(units, key=lambda u: (-weigh(u), u)):
-        size, rows, k = heapq.heappop(load)
-        out |= dict.fromkeys(unit, k)
-        heapq.heappush(load, (size + weigh(unit), rows + sum(told[n][1] for n in unit), k))
-    return out
+    best, least = {}, None
+    for part in (1.0, 0.5, 0.25, 0.125, 0.0):
+        units = [u for p in pieces for u in ([p] if weigh(p) <= part * share else [[n] for n in p])]
+        load = [(0, 0, k) for k in range(shards)]
+        out = {}
+        for unit in sorted(units, key=lambda u: (-weigh(u), u)):
+            size, rows, k = heapq.heappop(load)
+            out |= dict.fromkeys(unit, k)
+            heapq.heappush(load, (size + weigh(unit), rows + sum(told[n][1] for n in unit), k))
+        most = max(load)[0]
+        if least is None or most < least:
+            best, least = out, most
+        if most <= (1 + EVEN) * share:
+            return out
+    return best
 
 
 def assign(rows: DataFrame, key: Column, size: Column, tie: Column, shards: int = 16, seed: int = 42) -> DataFrame:

@@ -128,6 +128,22 @@ def test_hot_keys_are_cut_by_rows_and_bytes(spark):
     assert above < 0.01 and below > -0.01 and spread > 1
 
 
+def test_a_group_that_fits_in_a_shard_stays_whole(spark):
+    rows = [(k, "one big group of copies", 10) for k in range(900)] + [(k, f"text {k}", 10) for k in range(3100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, size int").withColumn("g", F.xxhash64("text"))
+    told = sharding.assign(docs, F.col("g"), F.col("size"), F.col("doc_id"), shards=4).collect()
+    above, below, spread = check_shards([(r["doc_id"], r["size"], r["g"], r["shard"], r["slot"]) for r in told], 4)
+    assert above <= 0.0051 and below >= -0.02 and spread == 1
+
+
+def test_groups_come_apart_where_whole_ones_leave_shards_uneven():
+    sizes = {0: (10, 1)} | {k: (6, 1) for k in range(1, 13)}  # three groups of four ranges, then nothing to fill up with
+    inner = [(k // 4, sharding.LEAST if k % 4 == 0 else k) for k in range(12)]
+    out = sharding.dealt(inner, sizes, 2)
+    load = [sum(sizes[k][0] for k, s in out.items() if s == shard) for shard in (0, 1)]
+    assert sorted(load) in ([40, 42], [41, 41])
+
+
 def brute_variants(words, times=5):
     """words: word -> n."""
     near = {w: set() for w in words}

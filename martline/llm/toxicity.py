@@ -2,10 +2,9 @@
 
 Words are runs of letters, lower-cased. The index holds at most ``EXAMPLES`` labelled rows of each label (those of least
 hash; a bounded sample by intent), and every word of these is a term: none is left out. A text is its TF-IDF vector,
-(1 + log tf) * idf * (FLOOR + phi) for each term, scaled to length 1, where phi is what the term's presence correlates
-with the label over all labelled rows to learn from, and idf comes from all documents. Words that no example has cannot
-add to a cosine but by the text's own length, which neither the order of its neighbours nor the shares of their votes
-depend on; they are left out of that length.
+(1 + log tf) * idf for each term, scaled to length 1; idf comes from all documents, and no label has a part in it. Words
+that no example has cannot add to a cosine but by the text's own length, which the order of its neighbours does not depend
+on; they are left out of that length.
 
 The index keeps a posting list for each term: of the ``HEAD`` terms most examples have as dense rows with the largest
 weight in each block of ``BLOCK`` examples, of the others as (example, weight). Texts are searched in batches: the rare
@@ -13,9 +12,12 @@ terms' postings are added up, which gives every block a bound with the common te
 are added in those blocks alone whose bound reaches the ``NEIGHBOURS``-th best cosine found in the best two blocks. So the
 neighbours are exactly those of a full scan (cosines are compared to six digits, ties go by the index's order).
 
-Neighbours vote by cosine; a row never votes for itself. The share of the toxic votes is calibrated on all labelled rows:
-in ``BINS`` of that share the rate of label 1 among them is read off after pooling adjacent violators, so the score rises
-with the vote. A text without a neighbour takes the rate of such labelled rows.
+A neighbour's vote is its cosine, of which each shared term's part counts as much as the term tells of the label: the
+square of what its presence correlates with the label over all labelled rows to learn from. A row never votes for itself.
+The share of the toxic votes is drawn to the rate of label 1 by ``PRIOR`` votes of that rate, so that a few weak votes say
+little, and is calibrated on all labelled rows: in ``BINS`` of that share the rate of label 1 among them is read off after
+pooling adjacent violators, so the score rises with the vote. A text without a neighbour takes the rate of such labelled
+rows.
 
 Defined cases: null and empty texts have no terms; a document with several labels counts as toxic if any says so; null
 labels say nothing; of rows with one id the least text is the example; without labelled rows of both kinds the score is
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from martline.llm import sketch
 from martline.plans.storage import broadcast_if_small, materialize
 
-EXAMPLES, BLOCK, HEAD, NEIGHBOURS, BINS, FLOOR = 3000, 64, 512, 16, 20, 0.1
+EXAMPLES, BLOCK, HEAD, NEIGHBOURS, BINS, PRIOR = 3000, 64, 512, 16, 20, 0.001
 #: Code points of texts that are cut into words together, and texts that are searched together.
 CHUNK, BATCH = 1 << 21, 256
 
@@ -91,13 +93,18 @@ def _frequencies(size: int):
     return run
 
 
-def weights(n: np.ndarray, pos: np.ndarray, neg: np.ndarray, texts: int, toxic: int, clean: int) -> np.ndarray:
-    """What a term weighs: idf over all texts times FLOOR and phi, the correlation of presence and label without what one
-    degree of freedom gives by chance."""
+def idf(n: np.ndarray, texts: int) -> np.ndarray:
+    """What terms weigh that are in ``n`` of so many texts."""
+    return np.log((texts + 1) / (n + 1)) + 1
+
+
+def telling(pos: np.ndarray, neg: np.ndarray, toxic: int, clean: int) -> np.ndarray:
+    """The squared correlation of presence and label, without what one degree of freedom gives by chance, of terms that so
+    many rows of label 1 and of label 0 have."""
     both, all_ = pos + neg, toxic + clean
     below = np.maximum(both * (all_ - both) * float(toxic) * float(clean), 1.0)
     chi = (pos * (clean - neg) - neg * (toxic - pos)).astype(np.float64) ** 2 * all_ / below
-    return (np.log((texts + 1) / (n + 1)) + 1) * (FLOOR + np.sqrt(np.maximum(chi - 1, 0) / max(all_, 1)))
+    return np.maximum(chi - 1, 0) / max(all_, 1)
 
 
 def _unit(owner: np.ndarray, terms: np.ndarray, counts: np.ndarray, weight: np.ndarray, rows: int) -> np.ndarray:
@@ -111,10 +118,14 @@ def _flat(terms: pa.ListArray, counts: pa.ListArray) -> tuple[np.ndarray, np.nda
 
 
 class Index:
-    """Posting lists of the examples' terms, with block maxima of the common ones."""
-
-    def __init__(self, ids: np.ndarray, toxic: np.ndarray, owner: np.ndarray, terms: np.ndarray, counts: np.ndarray, weight: np.ndarray, block: int = BLOCK, head: int = HEAD):
-        self.weight, self.block, rows = weight, block, len(ids)
+    """Posting lists of the examples' terms, with block maxima of the common ones. ``weight`` is the terms' idf, ``tell`` what
+    they tell of the label, ``rate`` the rate of label 1."""
+
+    def __init__(
+        self, ids: np.ndarray, toxic: np.ndarray, owner: np.ndarray, terms: np.ndarray, counts: np.ndarray, weight: np.ndarray,
+        tell: np.ndarray, rate: float, block: int = BLOCK, head: int = HEAD,
+    ):
+        self.weight, self.tell, self.rate, self.block, rows = weight, tell, rate, block, len(ids)
         value = _unit(owner, terms, counts, weight, rows)
         # examples of the same heaviest term stand together, so that a block's largest weights are close to its rows'
         best = np.zeros(rows, np.int64)
@@ -133,6 +144,10 @@ class Index:
         self.dense = np.zeros((len(common), self.size), np.float32)
         self.dense[at[at >= 0], row[at >= 0]] = value[at >= 0]
         self.most = self.dense.reshape(len(common), self.size // block, block).max(axis=2)
+        # the terms of each example that tell of the label
+        says = np.flatnonzero(tell[terms] > 0)
+        says = says[np.argsort(row[says], kind="stable")]
+        self.said, self.told, self.says = np.searchsorted(row[says], np.arange(rows + 1)), terms[says], value[says]
         term, row, value = terms[at < 0], row[at < 0], value[at < 0]
         by = np.lexsort((row, term))
         self.start = np.searchsorted(term[by], np.arange(len(weight) + 1))
@@ -178,14 +193,29 @@ class Index:
         rows = self.size - 1 - key % self.size
         return rows, np.maximum(np.floor_divide(key, self.size), 0) / 1e6
 
-    def votes(self, without: list, terms: pa.ListArray, counts: pa.ListArray) -> tuple[np.ndarray, list]:
-        """The toxic share of the cosine votes (-1 without a neighbour) and the ids of the neighbours."""
+    def votes(self, near: np.ndarray, owner: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The votes of the examples in each row of ``near`` for the text of that row."""
+        value, ends = _unit(owner, terms, counts, self.weight, len(near)), np.searchsorted(owner, np.arange(len(near) + 1))
+        out, held = np.zeros(near.shape), np.zeros(len(self.weight))
+        for i, rows in enumerate(near):
+            own = terms[ends[i] : ends[i + 1]]
+            held[own] = value[ends[i] : ends[i + 1]] * self.tell[own]
+            long = self.said[rows + 1] - self.said[rows]
+            at = np.arange(long.sum()) + np.repeat(self.said[rows] - (np.cumsum(long) - long), long)
+            out[i] = np.bincount(np.repeat(np.arange(len(rows)), long), held[self.told[at]] * self.says[at], minlength=len(rows))
+            held[own] = 0
+        return out
+
+    def shares(self, without: list, terms: pa.ListArray, counts: pa.ListArray) -> tuple[np.ndarray, list]:
+        """The toxic share of the votes (-1 without a neighbour) and the ids of the neighbours."""
         if not len(self.ids):
             return np.full(len(without), -1.0), [[] for _ in without]
-        rows, cosine = self.nearest(without, *_flat(terms, counts))
-        total, rows = cosine.sum(axis=1), np.minimum(rows, len(self.ids) - 1)
-        share = np.where(total > 0, (cosine * self.toxic[rows]).sum(axis=1) / np.maximum(total, 1e-12), -1.0)
-        return share, [self.ids[r[c > 0]].tolist() for r, c in zip(rows, cosine)]
+        flat = _flat(terms, counts)
+        rows, cosine = self.nearest(without, *flat)
+        rows = np.minimum(rows, len(self.ids) - 1)
+        vote = np.where(cosine > 0, self.votes(rows, *flat), 0)
+        share = ((vote * self.toxic[rows]).sum(axis=1) + PRIOR * self.rate) / (vote.sum(axis=1) + PRIOR)
+        return np.where(cosine[:, 0] > 0, share, -1.0), [self.ids[r[c > 0]].tolist() for r, c in zip(rows, cosine)]
 
 
 def _voting(sent):
@@ -193,7 +223,7 @@ def _voting(sent):
         for batch in batches:
             for start in range(0, len(batch), BATCH):
                 part = batch.slice(start, BATCH)
-                share, near = sent.value.votes(part.column("doc_id").to_pylist(), part.column("terms"), part.column("counts"))
+                share, near = sent.value.shares(part.column("doc_id").to_pylist(), part.column("terms"), part.column("counts"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array(share), pa.array(near, pa.list_(pa.int64()))], names=["doc_id", "toxic", "share", "evidence"])
 
     return run
@@ -235,7 +265,12 @@ def score(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> DataF
     counts = np.zeros((3, len(terms)), np.int64)
     counts[:, _column(seen, "t").to_numpy()] = [_column(seen, c).to_numpy() for c in ("n", "pos", "neg")]
     rows = shown.select("doc_id", "text").mapInArrow(_vectors(number), schema).join(F.broadcast(taken), "doc_id").toArrow()
-    index = Index(*(_column(rows, c).to_numpy().astype(np.int64) for c in ("doc_id", "toxic")), *_flat(_column(rows, "terms"), _column(rows, "counts")), weights(*counts, *told))
+    n, pos, neg = counts
+    rate = told["pos"] / max(told["pos"] + told["neg"], 1)
+    index = Index(
+        *(_column(rows, c).to_numpy().astype(np.int64) for c in ("doc_id", "toxic")), *_flat(_column(rows, "terms"), _column(rows, "counts")),
+        idf(n, told["n"]), telling(pos, neg, told["pos"], told["neg"]), rate,
+    )
     voted = materialize(found.mapInArrow(_voting(spark.sparkContext.broadcast(index)), "doc_id long, toxic int, share double, evidence array<bigint>"), "toxic-votes")
     bin_ = F.when(F.col("share") < 0, -1).otherwise(F.least(F.floor(F.col("share") * BINS), F.lit(BINS - 1))).cast("int").alias("bin")
     held = voted.filter("toxic is not null").groupBy(bin_).agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).collect()

@@ -132,7 +132,7 @@ def test_block_max_search_equals_a_full_scan(head):
     dense[owner, terms] = (1 + np.log(counts)) * weight[terms]
     dense /= np.maximum(np.linalg.norm(dense, axis=1), 1e-12)[:, None]
     old, new = owner < 500, owner >= 500
-    index = toxicity.Index(np.arange(500), rng.integers(0, 2, 500), owner[old], terms[old], counts[old], weight, block=16, head=head)
+    index = toxicity.Index(np.arange(500), rng.integers(0, 2, 500), owner[old], terms[old], counts[old], weight, weight, 0.5, block=16, head=head)
     own = rng.integers(0, 500, 200).tolist()
     rows, cosines = index.nearest(own, owner[new] - 500, terms[new], counts[new], 10)
     every = dense[500:] @ dense[:500].T
@@ -141,8 +141,9 @@ def test_block_max_search_equals_a_full_scan(head):
     assert all(x not in index.ids[r[c > 0]] for x, r, c in zip(own, rows, cosines))
 
 
-def _scores(docs, labels):
-    """Shares of the toxic votes by a full scan, as toxicity describes them, and the calibrated scores of one row a document."""
+def _scores(docs, labels, evidence):
+    """The calibrated scores of one row a document by a full scan, as toxicity describes them. The neighbours given as
+    ``evidence`` must be the nearest ones, up to cosines that differ in the seventh digit."""
     words = {i: Counter(toxicity.words(t)) for i, t in docs}
     known = {i: t for i, t in labels.items() if i in words}
     examples = [i for i in known if words[i]]
@@ -156,7 +157,8 @@ def _scores(docs, labels):
             (pos if known[i] else neg)[at] += 1
     p, q = sum(known.values()), len(known) - sum(known.values())
     chi = (pos * (q - neg) - neg * (p - pos)) ** 2 * (p + q) / np.maximum((pos + neg) * (p + q - pos - neg) * p * q, 1)
-    weight = (np.log((len(docs) + 1) / (seen + 1)) + 1) * (toxicity.FLOOR + np.sqrt(np.maximum(chi - 1, 0) / (p + q)))
+    tell, rate = np.maximum(chi - 1, 0) / (p + q), p / (p + q)
+    weight = np.log((len(docs) + 1) / (seen + 1)) + 1
     vector = np.zeros((len(docs), len(terms)))
     for r, (i, _) in enumerate(docs):
         for w, n in words[i].items():
@@ -165,11 +167,15 @@ def _scores(docs, labels):
     vector /= np.maximum(np.linalg.norm(vector, axis=1), 1e-12)[:, None]
     place = {i: r for r, (i, _) in enumerate(docs)}
     cosines = vector @ vector[[place[i] for i in examples]].T
-    share = {}
+    column, share = {e: k for k, e in enumerate(examples)}, {}
     for i, _ in docs:
-        near = sorted(((c, known[e]) for c, e in zip(cosines[place[i]], examples) if e != i and c > 1e-6), reverse=True)[: toxicity.NEIGHBOURS]
-        share[i] = sum(c * t for c, t in near) / sum(c for c, _ in near) if near else -1
-    rate = p / (p + q)
+        near, cosine = evidence[i], cosines[place[i]]
+        best = sorted((c for c, e in zip(cosine, examples) if e != i and c > 1e-6), reverse=True)[: toxicity.NEIGHBOURS]
+        assert i not in near and len(set(near)) == len(near) == len(best)
+        assert np.allclose([cosine[column[e]] for e in near], best, atol=3e-6)
+        votes = [(vector[place[i]] * vector[place[e]]) @ tell for e in near]
+        toxic = sum(v * known[e] for v, e in zip(votes, near)) + toxicity.PRIOR * rate
+        share[i] = toxic / (sum(votes) + toxicity.PRIOR) if near else -1
     bins = {b: [] for b in range(-1, toxicity.BINS)}
     for i, t in known.items():
         bins[-1 if share[i] < 0 else min(int(share[i] * toxicity.BINS + 1e-9), toxicity.BINS - 1)].append(t)
@@ -186,11 +192,10 @@ def _scores(docs, labels):
 def test_toxicity_equals_brute_force(spark):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2}
-    want = _scores(docs, labels)
     got = {r["doc_id"]: r for r in QUERIES["op10_toxicity"](spark, SF).collect()}
+    want = _scores(docs, labels, {i: r["evidence"] for i, r in got.items()})
     assert set(got) == set(want)
-    # neighbours of equal cosine may be told apart in the seventh digit only
-    assert sum(abs(got[i]["score"] - want[i]) > 1e-3 for i in want) <= len(want) // 50
+    assert all(abs(got[i]["score"] - want[i]) < 1e-6 for i in want)
     assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) and r["predicted"] == int(r["score"] >= 0.3) for i, r in got.items())
 
 

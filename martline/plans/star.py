@@ -15,6 +15,7 @@ from martline.operators import relational as rel
 from martline.operators import state
 from martline.plans.book import query
 from martline.plans.mart import dim_date
+from martline.plans.storage import materialize
 from martline.plans.views import MONEY, Core
 from martline.plans.warehouse import STATUSES
 from martline.sources.files import write_report
@@ -80,16 +81,21 @@ def fact_sales(c: Core, keys: dict[str, DataFrame], items: DataFrame | None = No
     """One row an item, all statuses, with the keys of its day, customer, product, method and status: 0 where a ledger lacks
     the member. The unit price is that of the sale; net_amount is revenue by its other name. ``items``: only these."""
     local = F.col("order_date") + F.make_dt_interval(F.lit(0), F.lit(AHEAD))
-    f = (c.items if items is None else items).join(c.orders, "order_id").join(order_payments(c), "order_id", "left")
-    f = f.withColumn("payment_method", F.coalesce("payment_method", F.lit("unknown")))
-    for name, natural in DIMENSIONS.items():
-        key = f"{name.removeprefix('dim_')}_key"
-        f = f.join(keys[name].select(natural, F.col("key").alias(key)), natural, "left").withColumn(key, F.coalesce(key, F.lit(UNKNOWN).cast("long")))
+    more = [x for name, natural in DIMENSIONS.items() for x in keys[name].columns if x not in (natural, "key")]
+
+    def keyed(df: DataFrame, name: str) -> DataFrame:
+        natural, key = DIMENSIONS[name], f"{name.removeprefix('dim_')}_key"
+        return df.join(keys[name].withColumnRenamed("key", key), natural, "left").withColumn(key, F.coalesce(key, F.lit(UNKNOWN).cast("long")))
+
+    orders = keyed(keyed(c.orders, "dim_customer"), "dim_order_status")
+    paid = c.paid_items.withColumnRenamed("method", "payment_method") if items is None else items.join(order_payments(c), "order_id", "left")
+    f = paid.join(orders, "order_id").withColumn("payment_method", F.coalesce("payment_method", F.lit("unknown")))
+    f = keyed(keyed(f, "dim_payment_method"), "dim_product")
     price = (F.col("gross") / F.col("quantity")).cast(MONEY)
     return f.select(
         F.col("item_id").alias("order_item_id"), "order_id", F.date_format(local, "yyyyMMdd").cast("int").alias("date_key"), "customer_key", "product_key",
         "payment_method_key", "order_status_key", "channel", "quantity", price.alias("unit_price"), "discount", F.col("gross").alias("gross_amount"),
-        F.col("net").alias("revenue"), F.col("net").alias("net_amount"),
+        F.col("net").alias("revenue"), F.col("net").alias("net_amount"), *more,
     )
 
 
@@ -197,8 +203,8 @@ def refresh_and_compare(c: Core, versions: state.Versions, run_id: str, start: s
 # The star as queries: every ledger is made in two refreshes, even members first, so keys of the second follow the first.
 
 def _keys(c: Core, name: str, natural: str, early) -> DataFrame:
-    today = members(c)[name]
-    return ledger(ledger(None, today.filter(early), natural), today, natural)
+    today = member(c, name).select(natural)
+    return materialize(ledger(materialize(ledger(None, today.filter(early), natural), "ledger"), today, natural), "ledger")
 
 
 def _early(natural: str):
@@ -289,8 +295,7 @@ def star_fact_sales(c: Core) -> DataFrame:
 def star_kpi_by_dimensions(c: Core) -> DataFrame:
     """Items, units and revenue by attributes of three dimensions, through their surrogate keys; no method is no attribute."""
     keys = {name: _keys(c, name, natural, _early(natural)) for name, natural in DIMENSIONS.items()}
-    today = members(c)
-    dim = lambda name, natural: dimension(today[name], keys[name], natural, f"{name.removeprefix('dim_')}_key")
-    f = fact_sales(c, keys).join(dim("dim_customer", "customer_id"), "customer_key").join(dim("dim_product", "product_id").drop("status"), "product_key")
-    f = f.join(dim("dim_payment_method", "payment_method"), "payment_method_key", "left")
+    for name, attribute in {"dim_customer": "customer_segment", "dim_product": "category", "dim_payment_method": "is_digital"}.items():
+        keys[name] = keys[name].join(member(c, name).select(DIMENSIONS[name], attribute), DIMENSIONS[name])
+    f = fact_sales(c, keys).filter((F.col("customer_key") != UNKNOWN) & (F.col("product_key") != UNKNOWN))
     return f.groupBy("customer_segment", "category", "is_digital").agg(F.count(F.lit(1)).alias("items"), F.sum("quantity").alias("units"), F.sum("revenue").cast("double").alias("revenue"))

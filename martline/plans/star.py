@@ -41,26 +41,32 @@ def calendar(c: Core, start: str, end: str) -> DataFrame:
 
 
 def members(c: Core) -> dict[str, DataFrame]:
-    """What each dimension holds today, by its natural key. Customers carry neither mail nor phone, and no city is Unknown;
+    """``member`` of every dimension."""
+    return {name: member(c, name) for name in DIMENSIONS}
+
+
+def member(c: Core, name: str) -> DataFrame:
+    """What a dimension holds today, by its natural key. Customers carry neither mail nor phone, and no city is Unknown;
     products carry their category and its parent, a root being its own; cost is 70 % of the price, as the tables have none;
     cash is the one method that is not digital."""
     tree = rel.with_parent(c.categories, "category_id", "parent_id", "category_name")
     method, cents = F.col("payment_method"), F.col("unit_price") * F.lit("0.7").cast("decimal(2,1)")
     title = F.initcap(F.translate(method, "_", " "))
-    return {
-        "dim_customer": c.customers.select(
+    told = {
+        "dim_customer": lambda: c.customers.select(
             "customer_id", "full_name", F.coalesce("city", F.lit("Unknown")).alias("city"), F.col("segment").alias("customer_segment"),
             F.when(F.col("balance") < 0, "inactive").otherwise("active").alias("status"),
         ),
-        "dim_product": c.products.join(tree, "category_id").select(
+        "dim_product": lambda: c.products.join(tree, "category_id").select(
             "product_id", "product_name", "category_id", F.col("category_name").alias("category"), F.col("parent_name").alias("parent_category"),
             F.col("unit_price").alias("list_price"), F.round(cents, 2).cast(MONEY).alias("cost_price"), F.when(F.col("unit_price") < 1000, "discontinued").otherwise("active").alias("status"),
         ),
-        "dim_payment_method": c.payments.select(F.col("method").alias("payment_method")).distinct().select(
+        "dim_payment_method": lambda: c.methods.select(F.col("method").alias("payment_method")).select(
             "payment_method", title.alias("payment_method_name"), (method != "cash").alias("is_digital")
         ),
-        "dim_order_status": c.spark.createDataFrame(STATUSES, "order_status string, status_name string, status_order int, is_final boolean"),
+        "dim_order_status": lambda: c.spark.createDataFrame(STATUSES, "order_status string, status_name string, status_order int, is_final boolean"),
     }
+    return told[name]()
 
 
 def dimension(rows: DataFrame, keys: DataFrame, natural: str, key: str, unknown: dict[str, object] | None = None) -> DataFrame:
@@ -79,7 +85,9 @@ def order_payments(c: Core) -> DataFrame:
 
 def fact_sales(c: Core, keys: dict[str, DataFrame], items: DataFrame | None = None) -> DataFrame:
     """One row an item, all statuses, with the keys of its day, customer, product, method and status: 0 where a ledger lacks
-    the member. The unit price is that of the sale; net_amount is revenue by its other name. ``items``: only these."""
+    the member. The unit price is that of the sale; net_amount is revenue by its other name. ``items``: only these. What a
+    ledger has beside its keys, attributes of its members, the fact has too. What an order tells is joined to the orders, so
+    the items are shuffled by order and by product alone."""
     local = F.col("order_date") + F.make_dt_interval(F.lit(0), F.lit(AHEAD))
     more = [x for name, natural in DIMENSIONS.items() for x in keys[name].columns if x not in (natural, "key")]
 
@@ -240,12 +248,12 @@ def _dim_sql(table: str) -> str:
 
 @query(_dim_sql("dim_customer"))
 def star_dim_customer(c: Core) -> DataFrame:
-    return dimension(members(c)["dim_customer"], _keys(c, "dim_customer", "customer_id", _early("customer_id")), "customer_id", "customer_key")
+    return dimension(member(c, "dim_customer"), _keys(c, "dim_customer", "customer_id", _early("customer_id")), "customer_id", "customer_key")
 
 
 @query(_dim_sql("dim_product"))
 def star_dim_product(c: Core) -> DataFrame:
-    dim = dimension(members(c)["dim_product"], _keys(c, "dim_product", "product_id", _early("product_id")), "product_id", "product_key")
+    dim = dimension(member(c, "dim_product"), _keys(c, "dim_product", "product_id", _early("product_id")), "product_id", "product_key")
     return dim.withColumns({p: F.col(p).cast("double") for p in ("list_price", "cost_price")})
 
 
@@ -253,12 +261,12 @@ def star_dim_product(c: Core) -> DataFrame:
 def star_dim_payment_method(c: Core) -> DataFrame:
     unknown = {"payment_method": "unknown", "payment_method_name": "Unknown", "is_digital": False}
     keys = _keys(c, "dim_payment_method", "payment_method", _early("payment_method"))
-    return dimension(members(c)["dim_payment_method"], keys, "payment_method", "payment_method_key", unknown)
+    return dimension(member(c, "dim_payment_method"), keys, "payment_method", "payment_method_key", unknown)
 
 
 @query(_dim_sql("dim_order_status"))
 def star_dim_order_status(c: Core) -> DataFrame:
-    return dimension(members(c)["dim_order_status"], _keys(c, "dim_order_status", "order_status", _early("order_status")), "order_status", "order_status_key")
+    return dimension(member(c, "dim_order_status"), _keys(c, "dim_order_status", "order_status", _early("order_status")), "order_status", "order_status_key")
 
 
 @query(
@@ -293,7 +301,8 @@ def star_fact_sales(c: Core) -> DataFrame:
        "JOIN dim_customer_keys c ON c.key = customer_key JOIN dim_customer_members USING (customer_id) JOIN dim_product_keys p ON p.key = product_key JOIN dim_product_members USING (product_id) "
        "LEFT JOIN (SELECT key, is_digital FROM dim_payment_method_keys JOIN dim_payment_method_members USING (payment_method)) m ON m.key = payment_method_key GROUP BY ALL")
 def star_kpi_by_dimensions(c: Core) -> DataFrame:
-    """Items, units and revenue by attributes of three dimensions, through their surrogate keys; no method is no attribute."""
+    """Items, units and revenue by attributes of three dimensions; no method is no attribute. The ledgers bring the attributes
+    of their members along with the keys, so the fact is not shuffled a second time, by surrogate keys."""
     keys = {name: _keys(c, name, natural, _early(natural)) for name, natural in DIMENSIONS.items()}
     for name, attribute in {"dim_customer": "customer_segment", "dim_product": "category", "dim_payment_method": "is_digital"}.items():
         keys[name] = keys[name].join(member(c, name).select(DIMENSIONS[name], attribute), DIMENSIONS[name])

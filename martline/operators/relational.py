@@ -88,9 +88,9 @@ def running_sum(df: DataFrame, order: list[str], value: str, bucket: Column, nam
     return df.withColumn("_w", within).join(base, "_b").withColumn(name, F.col("_w") + F.col("_base")).drop("_b", "_w", "_base")
 
 
-def share(df: DataFrame, value: str, name: str = "share_pct", scale: int = 2) -> DataFrame:
-    """``value`` in percent of its total, from a one-row aggregate."""
-    total = df.agg(F.sum(value).alias("_total"))
+def share(df: DataFrame, value: str, name: str = "share_pct", scale: int = 2, of: DataFrame | None = None) -> DataFrame:
+    """``value`` in percent of its total, from a one-row aggregate; ``of``: the rows that make up the total, if others."""
+    total = (df if of is None else of).agg(F.sum(value).alias("_total"))
     return df.crossJoin(F.broadcast(total)).withColumn(name, F.when(F.col("_total") != 0, F.round(100.0 * F.col(value).cast("double") / F.col("_total").cast("double"), scale))).drop("_total")
 
 

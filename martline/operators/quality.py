@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from martline.functions.normalize import EMAIL, strip
+from martline.plans.storage import materialize
 
 
 @dataclass(frozen=True)
@@ -117,10 +118,10 @@ def violations(rejected: DataFrame) -> DataFrame:
 
 def check_invariant(given: DataFrame, valid: DataFrame, rejected: DataFrame, dataset: str = "dataset") -> DataFrame:
     """(dataset, input, valid, rejected), counted in the three frames; raises if input is not valid + rejected in every
-    dataset, however the totals stand."""
+    dataset, however the totals stand. The counts, one row a dataset, are written once."""
     one = lambda df, name: df.select(dataset, *[F.lit(int(name == n)).cast("long").alias(n) for n in ("input", "valid", "rejected")])
     every = one(given, "input").unionByName(one(valid, "valid")).unionByName(one(rejected, "rejected"))
-    stats = every.groupBy(dataset).agg(*[F.sum(n).alias(n) for n in ("input", "valid", "rejected")])
+    stats = materialize(every.groupBy(dataset).agg(*[F.sum(n).alias(n) for n in ("input", "valid", "rejected")]), "stats")
     if not stats.filter("input <> valid + rejected").isEmpty():
         raise ValueError("input is not valid + rejected")
     return stats

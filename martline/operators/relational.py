@@ -3,6 +3,8 @@ global ranks and sums go over aggregated values, or by buckets whose totals are
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,9 +22,13 @@ def matched(left: DataFrame, right: DataFrame, on) -> DataFrame:
 
 
 def mismatches(left: DataFrame, right: DataFrame, on: list[str], tags: tuple[str, str]) -> DataFrame:
-    """Keys that only one side has, tagged."""
-    a, b = left.select(*on).distinct(), right.select(*on).distinct()
-    return a.join(b, on, "left_anti").withColumn("side", F.lit(tags[0])).unionByName(b.join(a, on, "left_anti").withColumn("side", F.lit(tags[1])))
+    """Keys that only one side has, tagged; a key with a null has no partner. Both sides are gathered by key in one aggregate."""
+    keys = [F.col(k) for k in on]
+    side = lambda df, n: df.select(*on, F.lit(n == 0).alias("_a"), F.lit(n == 1).alias("_b"))
+    both = side(left, 0).unionByName(side(right, 1)).groupBy(*on).agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"))
+    null = reduce(lambda x, y: x | y, [k.isNull() for k in keys])
+    told = [F.when(F.col(x) & (null | ~F.col(y)), F.lit(t)) for x, y, t in zip(("_a", "_b"), ("_b", "_a"), tags)]
+    return both.select(*on, F.explode(F.array_compact(F.array(*told))).alias("side"))
 
 
 def full_recon(a: DataFrame, b: DataFrame, keys: list[str], measure: str) -> DataFrame:

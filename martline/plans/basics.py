@@ -85,7 +85,7 @@ def join_semi(c: Core) -> DataFrame:
 
 @query("SELECT order_id, 'no_items' AS side FROM core_orders WHERE order_id NOT IN (SELECT order_id FROM items) UNION ALL SELECT DISTINCT order_id, 'no_order' FROM items WHERE order_id NOT IN (SELECT order_id FROM core_orders)")
 def join_mismatch_both_ways(c: Core) -> DataFrame:
-    return rel.mismatches(c.orders, c.items, ["order_id"], ("no_items", "no_order"))
+    return rel.mismatches(c.orders, c.item_orders, ["order_id"], ("no_items", "no_order"))
 
 
 @query(", a AS (SELECT channel, count(*) AS v FROM core_orders WHERE order_status = 'completed' GROUP BY 1), b AS (SELECT channel, count(*) AS v FROM core_orders WHERE order_status <> 'completed' GROUP BY 1) SELECT coalesce(a.channel, b.channel) AS channel, coalesce(a.v, 0) AS a_value, coalesce(b.v, 0) AS b_value, coalesce(a.v, 0) - coalesce(b.v, 0) AS diff FROM a FULL JOIN b ON a.channel IS NOT DISTINCT FROM b.channel")

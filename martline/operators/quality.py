@@ -111,6 +111,13 @@ def foreign_key(df: DataFrame, col: str, reference: DataFrame, key: str, code: s
     return out.withColumn("error_code", F.when(F.size("error_codes") > 0, F.array_join("error_codes", "|")))
 
 
+def orphans(df: DataFrame, col: str, reference: DataFrame, key: str, code: str) -> DataFrame:
+    """(code, n): how many rows have a present key that the reference lacks, one row; rows are counted by key before the join."""
+    counts = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+    lacks = counts.join(reference.select(F.col(key).alias("_ref")), F.col("_key") == F.col("_ref"), "left_anti")
+    return lacks.agg(F.lit(code).alias("code"), F.coalesce(F.sum("_n"), F.lit(0)).alias("n"))
+
+
 def violations(rejected: DataFrame) -> DataFrame:
     """(code, n) over the rejected rows."""
     return rejected.select(F.explode(F.split("error_code", r"\|")).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))

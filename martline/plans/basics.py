@@ -62,7 +62,7 @@ def join_inner(c: Core) -> DataFrame:
 
 @query("SELECT category_name, sum(net)::DOUBLE AS revenue FROM items JOIN core_orders USING (order_id) JOIN products USING (product_id) JOIN categories USING (category_id) WHERE order_status = 'completed' GROUP BY 1")
 def join_star4(c: Core) -> DataFrame:
-    joined = c.items.join(c.orders.filter("order_status = 'completed'"), "order_id").join(c.products, "product_id").join(c.categories, "category_id")
+    joined = c.sold.join(c.orders.filter("order_status = 'completed'"), "order_id").join(c.products, "product_id").join(c.categories, "category_id")
     return joined.groupBy("category_name").agg(F.sum("net").cast("double").alias("revenue"))
 
 

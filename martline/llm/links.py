@@ -5,8 +5,8 @@ bucket those members go first that cannot be linked with anybody: of a set x wit
 at most |x| - u can be common with a y, which bounds the coefficient from above. The others are compared with one pivot,
 the member with the fewest elements of its own; found links merge components, and a bucket whose members are all in one
 component is settled: no pair in it can change the result. Those not settled go on with more pivots while these settle
-at least half of them, and what is left compares all pairs across components. No link between components is lost, while a bucket of m near copies
-costs about m comparisons and not m * m.
+at least half of them, and what is left is compared with all members of its bucket. No link between components is lost, while a bucket of m near
+copies costs about m comparisons and not m * m, and one of m of which k stay apart m * k.
 
 Components come from a distributed union-find: each task turns slices of its links into stars, and between these passes
 the large-star and small-star steps of Kiveris et al. (2014) link every node's neighbours to the least of them, until all
@@ -178,11 +178,12 @@ def _linkable(members: DataFrame, contents: DataFrame, unpack: Unpack, percent:
 
 
 def _block(unpack: Unpack, percent: int):
-    """Links (a, b) across components among the members of two blocks (or within one), one for each two components."""
+    """Links (a, b) across components between the rows and the columns of a block, one for each two components."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         ids, component = table["id"].to_numpy(), table["component"].to_numpy()
+        left, right = (np.flatnonzero(table[k].to_numpy()) for k in ("row", "col"))
         elements, owner = unpack(table["content"].chunk(0) if table.num_rows else pa.array([], table.schema.field("content").type))
         size = np.bincount(owner, minlength=len(ids)).astype(np.float32)
         _, column, n = np.unique(elements, return_inverse=True, return_counts=True)
@@ -191,31 +192,44 @@ def _block(unpack: Unpack, percent: int):
         column, owner = place[column[shared]], owner[shared]
         order = np.argsort(column, kind="stable")
         column, owner = column[order], owner[order]
-        common = np.zeros((len(ids), len(ids)), np.float32)
+        common = np.zeros((len(left), len(right)), np.float32)
         for start in range(0, int((n > 1).sum()), 4096):
             i, j = np.searchsorted(column, (start, start + 4096))
             part = np.zeros((len(ids), 4096), np.float32)
             part[owner[i:j], column[i:j] - start] = 1
-            common += part @ part.T
-        linked = (100 * common >= percent * (size[:, None] + size[None, :] - common)) & (common > 0) & (component[:, None] < component[None, :])
-        a, b = np.nonzero(linked)
-        _, first = np.unique(np.stack([component[a], component[b]]), axis=1, return_index=True)
+            common += part[left] @ part[right].T
+        across = component[left][:, None] != component[right][None, :]
+        linked = (100 * common >= percent * (size[left][:, None] + size[right][None, :] - common)) & (common > 0) & across
+        i, j = np.nonzero(linked)
+        a, b = left[i], right[j]
+        _, first = np.unique(np.sort(np.stack([component[a], component[b]]), axis=0), axis=1, return_index=True)
         return pa.table({"a": pa.array(ids[a[first]], pa.int64()), "b": pa.array(ids[b[first]], pa.int64())})
 
     return run
 
 
 def _rest(members: DataFrame, contents: DataFrame, unpack: Unpack, percent: int, block: int) -> DataFrame:
-    """Links across components among ``members`` (bucket, id, component), by blocks of whole groups of buckets: those that
-    are joined by common members."""
-    hubs = members.groupBy("bucket").agg(F.min("id").alias("b"))
-    group = components(members.join(broadcast_if_small(materialize(hubs, "hubs")), "bucket").select(F.col("id").alias("a"), "b"))
-    ids = members.select("id", "component").distinct().join(broadcast_if_small(group.withColumnRenamed("component", "group")), "id", "left").withColumn("group", F.coalesce("group", "id"))
-    blocks = ids.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    ids = ids.join(broadcast_if_small(materialize(blocks, "blocks")), "group").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    each = contents.join(broadcast_if_small(materialize(ids, "rest")), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    each = each.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "component", "content")
-    return each.groupBy("group", "i", "j").applyInArrow(_block(unpack, percent), "a long, b long")
+    """Links across components among those of ``members`` (bucket, id, component) that share a bucket.
+
+    Buckets whose largest component is the same are one group. Of two members in different components one at least is not
+    in that one, so its members outside it (rows) are compared with all (columns), by blocks of both. A group holds what
+    meets one component and nothing beyond, however buckets are chained by common members."""
+    each = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    most = each.groupBy("bucket").agg(F.max(F.struct("n", "component"))["component"].alias("group"))
+    ids = members.join(broadcast_if_small(materialize(most, "most")), "bucket").select("group", "id", "component").distinct()
+    ids = materialize(ids, "rest")
+    outside = F.col("component") != F.col("group")
+    sides = ids.groupBy("group").agg(F.ceil(F.sum(outside.cast("int")) / block).cast("int").alias("rows"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("cols"))
+    ids = materialize(ids.join(broadcast_if_small(materialize(sides, "sides")), "group"), "blocks")
+    row, col = (F.pmod(F.xxhash64("id"), F.col(k)).cast("int") for k in ("rows", "cols"))
+    spot = lambda i, j, r, c: F.struct(i.alias("i"), j.alias("j"), r.alias("row"), c.alias("col"))
+    along = F.transform(F.sequence(F.lit(0), F.col("cols") - 1), lambda j: spot(row, j, F.lit(True), j == col))
+    down = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda i: spot(i, col, F.lit(False), F.lit(True)))
+    spots = F.when(outside, F.concat(along, F.filter(down, lambda x: x["i"] != row))).otherwise(down)
+    met = contents.join(broadcast_if_small(ids), "id").select("group", F.explode(spots).alias("at"), "id", "component", "content").select("group", "at.*", "id", "component", "content")
+    # blocks are long work on few bytes: they are dealt over all partitions, not over as few as the bytes would fill
+    met = met.repartition(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), "group", "i", "j")
+    return met.groupBy("group", "i", "j").applyInArrow(_block(unpack, percent), "a long, b long")
 
 
 def _with(labels: DataFrame | None, new: DataFrame) -> DataFrame:
